@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from gradloom.catalog.registry import EMB, PIX, Registry, elements, pixels, r6, table
 from gradloom.functions.convert import signed_bytes, to_float_vector, to_typed, unsigned_bytes, unsigned_bytes_native
 from gradloom.functions.image import crop_chw, prepare_hwc, random_crop, rescale, subtract_mean, to_planar_rgb
+from gradloom.functions.shapes import counting, let
 from gradloom.operators.means import mean_by_position, mean_image, mean_vector
-from gradloom.operators.samples import null_counts, project, with_scalar
+from gradloom.operators.samples import null_counts, project, widen, with_scalar
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -35,37 +36,35 @@ def typed_conversion(spark, folder):
                      to_typed(df, "p_size", "double").alias("size_double"))
 
 
-BYTES = """WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
-b AS (SELECT doc_id, i, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS u FROM (
-SELECT doc_id, h, unnest(range(len(h) // 2)) AS i FROM h))
+BYTES = """WITH h AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents),
+b AS (SELECT doc_id, ('0x' || unnest(h))::INTEGER AS u, generate_subscripts(h, 1) - 1 AS i FROM h)
 """
 UNSIGNED = BYTES + """SELECT doc_id, count(*) AS n, sum(u)::DOUBLE AS total, sum(u * (i % 97))::DOUBLE AS checksum
 FROM b GROUP BY doc_id"""
 
 
 def _checksum(df, vector):
-    v = df.select("doc_id", vector.alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda t, x: t + x)
-    weighted = F.aggregate(F.transform("v", lambda x, i: x * (i % 97)), F.lit(0.0), lambda t, x: t + x)
-    return v.select("doc_id", F.size("v").cast("bigint").alias("n"), total.alias("total"), weighted.alias("checksum"))
+    values = df.select("doc_id", F.posexplode(vector).alias("i", "x"))
+    return values.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x").cast("double")).alias("total"),
+                                        F.sum(F.col("x").cast("double") * (F.col("i") % 97)).alias("checksum"))
 
 
 @query(UNSIGNED)
 def bytes_to_vector(spark, folder):
-    df = table(spark, folder, "documents").withColumn("raw", F.encode("text", "UTF-8"))
+    df = widen(table(spark, folder, "documents")).withColumn("raw", F.encode("text", "UTF-8"))
     return _checksum(df, unsigned_bytes(F.col("raw")))
 
 
 @query(UNSIGNED)
 def bytes_to_vector_native(spark, folder):
-    df = table(spark, folder, "documents").withColumn("raw", F.encode("text", "UTF-8"))
+    df = widen(table(spark, folder, "documents")).withColumn("raw", F.encode("text", "UTF-8"))
     return _checksum(df, unsigned_bytes_native(F.col("raw")))
 
 
 @query(BYTES + """SELECT doc_id, count(*) AS n, sum(s)::DOUBLE AS total, sum(s * (i % 97))::DOUBLE AS checksum
 FROM (SELECT doc_id, i, CASE WHEN u > 127 THEN u - 256 ELSE u END AS s FROM b) GROUP BY doc_id""")
 def bytes_signed(spark, folder):
-    df = table(spark, folder, "documents").withColumn("raw", F.encode("text", "UTF-8"))
+    df = widen(table(spark, folder, "documents")).withColumn("raw", F.encode("text", "UTF-8"))
     return _checksum(df, signed_bytes(F.col("raw")))
 
 
@@ -168,9 +167,9 @@ def event_features_mean(spark, folder):
 
 def image_struct():
     """Embeddings as decoded 8 x 8 images in Spark's layout: rows of blue, green, red bytes."""
-    plane = pixels()
-    mixed = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda k: F.get(
-        plane, F.when(k % 3 == 0, F.floor(k / 3)).when(k % 3 == 1, 63 - F.floor(k / 3)).otherwise((F.floor(k / 3) * 5) % 64).cast("int")))
+    third = lambda k: F.floor(k / 3).cast("int")
+    source = lambda k: F.when(k % 3 == 0, third(k)).when(k % 3 == 1, 63 - third(k)).otherwise(third(k) * 5 % 64)
+    mixed = let(pixels(), lambda plane: F.transform(counting(192), lambda k: F.get(plane, source(k))))
     data = F.unhex(F.array_join(F.transform(mixed, lambda p: F.lpad(F.hex(p), 2, "0")), ""))
     return F.struct(F.lit("").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"),
                     F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), data.alias("data"))

@@ -8,7 +8,7 @@ from gradloom.catalog.registry import EMB, Registry, elements, r6, table
 from gradloom.catalog.sampling import by_arithmetic
 from gradloom.functions.dense import argmax, dense, percent, relu, softmax, softmax_loss
 from gradloom.operators.evaluate import accuracy, batch_accuracy
-from gradloom.operators.samples import with_scalar
+from gradloom.operators.samples import widen, with_scalar
 from gradloom.operators.score import evaluate, featurize, forward
 from gradloom.operators.weights import blob_values, init_weights, l2_term, matrix_rows, weights_from_dict
 from gradloom.plans import net as n
@@ -121,7 +121,8 @@ ORDER BY vec_id) - 1 AS pos, count(*) OVER (PARTITION BY vec_id % 4) AS n FROM p
 per AS (SELECT worker, pos // 30 AS batch, avg(hit::INTEGER) AS acc FROM b WHERE pos // 30 < n // 30 GROUP BY worker, pos // 30)
 SELECT round(sum(acc) / count(*), 6) + 0.0 AS accuracy, count(*) AS batches FROM per""")
 def accuracy_by_batches(spark, folder):
-    df = by_arithmetic(scored(spark, folder, "ip", ["vec_id", "label"]))
+    df = forward(by_arithmetic(table(spark, folder, "embeddings")), NET, fixed_weights(spark, NET), ["ip"],
+                 ["worker", "pos", "worker_rows", "label"], element="double")
     return _rounded(batch_accuracy(df, argmax(F.col("ip")), F.col("label"), 30), "accuracy")
 
 
@@ -195,6 +196,6 @@ def average_pooling_flat(spark, folder):
 @query(None)
 def featurize_cifar(spark, folder):
     """The image net's `ip1` activations of tiled embeddings, with drawn initial weights."""
-    df = table(spark, folder, "embeddings").select("vec_id", F.flatten(F.array_repeat("embedding", 48)).alias("data"))
+    df = widen(table(spark, folder, "embeddings")).select("vec_id", F.flatten(F.array_repeat("embedding", 48)).alias("data"))
     net = cifar_net()
     return featurize(df, net, init_weights(spark, net, seed=1), "ip1", ["vec_id"], batch=100)

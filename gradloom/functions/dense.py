@@ -13,7 +13,7 @@ def dot(x: Column, w: Column) -> Column:
 
 def dense(x: Column, weight_rows: Column, bias: Column) -> Column:
     """`y = W x + b` with `W` as `array<array<double>>`, one inner array per output."""
-    return F.zip_with(weight_rows, bias, lambda w, b: dot(x, w) + b)
+    return let(x, lambda once: F.zip_with(weight_rows, bias, lambda w, b: dot(once, w) + b))
 
 
 def relu(v: Column) -> Column:

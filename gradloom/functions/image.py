@@ -10,6 +10,8 @@ from pyspark.sql import Column, functions as F, types as T
 
 from gradloom.functions.ndarray import nd_box, nd_subtract
 from gradloom.functions.shapes import counting, let, volume
+from gradloom.plans.batches import list_column, matrix
+from gradloom.plans.net import Prepare
 
 
 def subtract_mean(v: Column, mean: Column) -> Column:
@@ -53,20 +55,57 @@ def random_crop(v: Column, shape: Sequence[int], crop: Sequence[int], sample_id:
     if len(shape) != 3 or shape[0] != 3:
         raise ValueError(f"random_crop needs shape (3, height, width), got {tuple(shape)}")
     row, col = crop_corner(sample_id, shape, crop, round_no, seed)
-    return let(F.struct(row.alias("r"), col.alias("c")), lambda at: crop_chw(v, shape, crop, at["r"], at["c"]))
+    at_once = F.struct(v.alias("v"), row.alias("r"), col.alias("c"))
+    return let(at_once, lambda at: crop_chw(at["v"], shape, crop, at["r"], at["c"]))
 
 
 def to_hwc(v: Column, shape: Sequence[int]) -> Column:
     """Planar to interleaved: output `c + channels * p` is plane `c` at pixel `p`."""
     channels, plane = shape[0], volume(shape[1:])
-    return F.transform(counting(volume(shape)),
-                       lambda k: F.get(v, k % channels * plane + F.floor(k / channels).cast("int")))
+    return let(v, lambda once: F.transform(counting(volume(shape)), lambda k: F.get(
+        once, k % channels * plane + F.floor(k / channels).cast("int"))))
 
 
 def prepare_hwc(v: Column, mean: Column, shape: Sequence[int], crop: Sequence[int], row, col) -> Column:
     """Subtract the mean, interleave the planes, crop."""
     hwc = (shape[1], shape[2], shape[0])
-    return let(subtract_mean(v, mean), lambda d: let(to_hwc(d, shape), lambda i: crop_hwc(i, hwc, crop, row, col)))
+    return crop_hwc(to_hwc(subtract_mean(v, mean), shape), hwc, crop, row, col)
+
+
+def crop_pixels(images: np.ndarray, mean: np.ndarray, rows: np.ndarray, cols: np.ndarray, crop: Sequence[int]) -> np.ndarray:
+    """Crops of (n, channels, height, width) pixels at each image's corner, minus the mean, as float32."""
+    height, width = crop
+    out = np.empty((len(images), images.shape[1], height, width), "f4")
+    for at, (r, c) in enumerate(zip(rows, cols)):
+        window = np.s_[:, r:r + height, c:c + width]
+        np.subtract(images[at][window], mean[window], out=out[at], dtype="f4", casting="unsafe")
+    return out
+
+
+def crop_centred(data: Column, mean: np.ndarray, shape: Sequence[int], crop: Sequence[int], row: Column, col: Column) -> Column:
+    """Mean subtraction and crop of large `binary` images in one pass over Arrow buffers, as `array<float>`.
+
+    Only the cropped pixels are converted. `mean` has one value per pixel, so its size is fixed by the shape.
+    """
+    mean = np.asarray(mean, "f4").reshape(shape)
+
+    def cropped(images: pa.Array, rows: pa.Array, cols: pa.Array) -> pa.Array:
+        pixels = matrix(images, volume(shape)).reshape(-1, *shape)
+        return list_column(crop_pixels(pixels, mean, rows.to_numpy(), cols.to_numpy(), crop), pa.float32())
+
+    return F.arrow_udf(cropped, T.ArrayType(T.FloatType()))(data, row, col)
+
+
+def crop_preparation(mean: np.ndarray, shape: Sequence[int], crop: Sequence[int], row: str = "crop_row",
+                     col: str = "crop_col", interleave: bool = False) -> Prepare:
+    """The same inside a scoring or training batch: raw bytes travel to the task, floats never travel at all."""
+    mean = np.asarray(mean, "f4").reshape(shape)
+
+    def run(pixels: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        out = crop_pixels(pixels.reshape(-1, *shape), mean, rows, cols, crop)
+        return out.transpose(0, 2, 3, 1) if interleave else out
+
+    return Prepare(volume(shape), (row, col), run)
 
 
 def _planar(data: bytes, height: int, width: int, channels: int) -> np.ndarray:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from gradloom.functions.shapes import counting, flat_index, sized, strides, volume
+from gradloom.functions.shapes import counting, flat_index, let, sized, strides, volume
 
 
 def nd_array(v: Column, shape: Sequence[int]) -> Column:
@@ -36,6 +36,10 @@ def nd_box(v: Column, shape: Sequence[int], low: Sequence[int | Column], extent:
 
     Trailing axes that are taken whole join one contiguous run, so the row is copied run by run, not value by value.
     """
+    return let(v, lambda once: _box(once, shape, low, extent))
+
+
+def _box(v: Column, shape: Sequence[int], low: Sequence[int | Column], extent: Sequence[int]) -> Column:
     steps = strides(shape)
     whole = len(shape)
     while whole > 0 and extent[whole - 1] == shape[whole - 1]:
@@ -47,18 +51,17 @@ def nd_box(v: Column, shape: Sequence[int], low: Sequence[int | Column], extent:
         corner = corner + low[axis] * F.lit(steps[axis])
     if not outer:
         return F.slice(v, corner + 1, F.lit(run))
+    runs = counting(volume([extent[axis] for axis in outer]))
 
-    def offset(r: Column) -> Column:
-        at = corner
+    def offset(first: Column, r: Column) -> Column:
         for axis in outer:
             inner = volume([extent[a] for a in outer if a > axis])
-            at = at + F.floor(r / inner).cast("int") % extent[axis] * steps[axis]
-        return at
+            first = first + F.floor(r / inner).cast("int") % extent[axis] * steps[axis]
+        return first
 
-    runs = counting(volume([extent[axis] for axis in outer]))
     if run == 1:
-        return F.transform(runs, lambda r: F.get(v, offset(r)))
-    return F.flatten(F.transform(runs, lambda r: F.slice(v, offset(r) + 1, F.lit(run))))
+        return let(corner, lambda c: F.transform(runs, lambda r: F.get(v, offset(c, r))))
+    return F.flatten(let(corner, lambda c: F.transform(runs, lambda r: F.slice(v, offset(c, r) + 1, F.lit(run)))))
 
 
 def nd_subarray(v: Column, shape: Sequence[int], low: Sequence[int], high: Sequence[int]) -> Column:

@@ -17,11 +17,14 @@ def batch_accuracy(scored: DataFrame, prediction: Column, label: Column, batch:
                    counts: DataFrame | None = None) -> DataFrame:
     """Mean accuracy over each worker's full batches; the rows after a worker's last full batch are left out.
 
+    Worker sizes come from the `worker_rows` column, or from `counts`, one row per worker.
     All counted batches have the same size, so no grouping by batch is needed: one partial and one final aggregate.
     """
-    counts = (counts if counts is not None else worker_counts(scored)).select("worker", "worker_rows")
+    if counts is not None or "worker_rows" not in scored.columns:
+        counts = counts if counts is not None else worker_counts(scored)
+        scored = scored.drop("worker_rows").join(F.broadcast(counts.select("worker", "worker_rows")), "worker")
     full = F.floor(F.col("worker_rows") / batch) * batch
-    kept = scored.drop("worker_rows").join(F.broadcast(counts), "worker").filter(F.col("pos") < full)
+    kept = scored.filter(F.col("pos") < full)
     right = F.coalesce((prediction == label), F.lit(False)).cast("int")
     return kept.agg((F.sum(right) / F.count(F.lit(1))).alias("accuracy"),
                     F.floor(F.count(F.lit(1)) / batch).alias("batches"))

@@ -18,12 +18,21 @@ def project(df: DataFrame, **columns: str | Column) -> DataFrame:
 
 def bind_inputs(df: DataFrame, net: Net, keep: Sequence[str] = (), exact: bool = False) -> DataFrame:
     """The columns a net reads, by name. `exact` also refuses columns the net does not know."""
-    wanted = [i.name for i in net.inputs]
+    wanted = net.columns()
     missing = [name for name in wanted if name not in df.columns]
     unknown = [name for name in df.columns if name not in wanted and name not in keep]
     if missing or (exact and unknown):
         raise ValueError(f"net {net.name}: missing columns {missing}, unknown columns {unknown if exact else []}")
-    return df.select(*keep, *wanted)
+    return df.select(*keep, *[name for name in wanted if name not in keep])
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a table over all cores when its scan gives fewer tasks than cores; a wide scan is left as it is.
+
+    For heavy per-row work on a table that is small in bytes.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def apply_null_policy(df: DataFrame, names: Sequence[str], on_null: str = "raise") -> DataFrame:

@@ -83,7 +83,7 @@ def forward(df: DataFrame, net: Net, weights: DataFrame, blobs: Sequence[str] |
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             if rows.num_rows:
-                columns = {i.name: rows.column(i.name) for i in part.inputs}
+                columns = {c: rows.column(c) for c in part.columns()}
                 out = score_batch(part, shared(), columns, rows.num_rows, blobs, value, batch)
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *out], [*keep, *blobs])
 

@@ -36,7 +36,7 @@ def gradient(df: DataFrame, net: Net, weights: DataFrame, by: Sequence[str] = ()
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[Blobs, int]] = {}
         for rows in batches:
-            for key, columns, n in _by_key(rows, by, [i.name for i in net.inputs]):
+            for key, columns, n in _by_key(rows, by, net.columns()):
                 for low in range(0, n, batch):
                     inputs = feed(net, columns, slice(low, min(low + batch, n)))
                     size = len(inputs[net.inputs[0].name])
@@ -133,7 +133,7 @@ def local_sgd_round(window: DataFrame, weights: DataFrame, net: Net, solver: Sol
         if not rows.num_rows:
             raise ValueError(f"worker {worker} has no rows")
         rows = rows.sort_by("offset")
-        columns = {i.name: rows.column(i.name).combine_chunks() for i in net.inputs}
+        columns = {c: rows.column(c).combine_chunks() for c in net.columns()}
         start = unpack(blobs, net.dtype)
         local = {name: w for name, w in start.items() if not name[0].endswith(MOMENTUM)}
         velocity = {(layer[:-len(MOMENTUM)], b): v for (layer, b), v in start.items() if layer.endswith(MOMENTUM)}

@@ -50,16 +50,20 @@ def list_column(values: np.ndarray, element: pa.DataType) -> pa.Array:
 
 def feed(net: Net, columns: dict[str, pa.Array], rows: slice | None = None) -> dict[str, np.ndarray]:
     """The net's inputs as (rows, *shape) arrays, labels as integers."""
+    if rows is not None:
+        columns = {name: column.slice(rows.start, rows.stop - rows.start) for name, column in columns.items()}
     out = {}
     for item in net.inputs:
         column = columns[item.name]
-        if rows is not None:
-            column = column.slice(rows.start, rows.stop - rows.start)
         if item.label:
             out[item.name] = matrix(column, 1)[:, 0].astype("i8")
+            continue
+        if item.prepare:
+            extra = [matrix(columns[c], 1)[:, 0] for c in item.prepare.columns]
+            values = item.prepare.run(matrix(column, item.prepare.width), *extra)
         else:
             values = matrix(column, int(np.prod(item.shape)))
-            out[item.name] = values.astype(net.dtype).reshape(len(values), *item.shape)
+        out[item.name] = values.astype(net.dtype, copy=False).reshape(len(values), *item.shape)
     return out
 
 

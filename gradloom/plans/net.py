@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from math import ceil, prod
 
@@ -19,11 +19,23 @@ class Filler:
     std: float = 1.0
 
 
+@dataclass(frozen=True)
+class Prepare:
+    """A batch preparation of one input: rows of `width` raw values and the extra `columns` to the input's shape."""
+
+    width: int
+    columns: tuple[str, ...]
+    run: Callable[..., np.ndarray]
+
+
 @dataclass(frozen=True)
 class Input:
+    """A named column with its per-sample shape; `prepare` runs inside the batch, before the first layer."""
+
     name: str
     shape: tuple[int, ...] = (1,)
     label: bool = False
+    prepare: Prepare | None = None
 
 
 @dataclass(frozen=True)
@@ -94,6 +106,11 @@ class Net:
     l2: dict[str, float] = field(default_factory=dict)
     dtype: str = "float64"
 
+    def columns(self) -> list[str]:
+        """All columns the net reads: its inputs and what their preparations need."""
+        extra = [c for i in self.inputs if i.prepare for c in i.prepare.columns]
+        return list(dict.fromkeys([i.name for i in self.inputs] + extra))
+
     @property
     def label(self) -> str | None:
         return next((i.name for i in self.inputs if i.label), None)
