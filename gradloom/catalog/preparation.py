@@ -9,7 +9,8 @@ from gradloom.functions.convert import signed_bytes, to_float_vector, to_typed,
 from gradloom.functions.image import crop_chw, prepare_hwc, random_crop, rescale, subtract_mean, to_planar_rgb
 from gradloom.functions.shapes import counting, let
 from gradloom.operators.means import mean_by_position, mean_image, mean_vector
-from gradloom.operators.samples import null_counts, project, widen, with_scalar
+from gradloom.operators.samples import apply_null_policy, convert_inputs, null_counts, project, widen, with_scalar
+from gradloom.plans.net import softmax_regression
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -156,6 +157,20 @@ def null_inputs(spark, folder):
     return null_counts(df, ["quality", "toxic", "lang"])
 
 
+@query("SELECT documents.doc_id AS doc_id, quality FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id WHERE quality IS NOT NULL")
+def null_rows_dropped(spark, folder):
+    df = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    return apply_null_policy(df.select("doc_id", "quality"), ["quality"], "drop")
+
+
+@query(f"WITH {EMB} SELECT vec_id, pos, label::BIGINT AS label, round(x, 6) + 0.0 AS value FROM emb")
+def converted_inputs(spark, folder):
+    """A table bound to a net's inputs by name and converted to them."""
+    net = softmax_regression(64, 10, data="embedding")
+    df = convert_inputs(table(spark, folder, "embeddings"), net, ["vec_id"])
+    return elements(df, ["vec_id", "label"], F.col("embedding"))
+
+
 @query("""SELECT event_type, pos, round(avg(v), 6) + 0.0 AS value FROM (
 SELECT event_type, 0 AS pos, value AS v FROM events UNION ALL
 SELECT event_type, 1 AS pos, hour(ts)::DOUBLE AS v FROM events) GROUP BY event_type, pos""")

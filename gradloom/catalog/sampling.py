@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gradloom.catalog.registry import Registry, table
+from gradloom.session import checkpoint_root, cut_lineage
 from gradloom.operators.joins import attach_labels, gather, missing_labels
-from gradloom.operators.workers import assign_workers, batch_id, round_window, skip_rows, worker_counts
-from gradloom.sources.chunks import assign_chunks, chunk_name
+from gradloom.operators.workers import (assign_workers, assign_workers_in_place, batch_id, round_window, skip_rows,
+                                        worker_counts)
+from gradloom.sources.chunks import assign_chunks, chunk_name, write_shuffled_chunks
 from gradloom.sources.labels import parse_labels
+from gradloom.sources.tabular import read_samples
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -62,6 +67,32 @@ def batch_ids(spark, folder):
         F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low"), F.max("vec_id").alias("high"))
 
 
+WRAPPED = POS + """, win AS (SELECT *, (pos - (worker * 31 + 7) % worker_rows + worker_rows) % worker_rows AS "offset" FROM w)"""
+
+
+@query(f'WITH {WRAPPED} SELECT vec_id, worker, pos, "offset", "offset" // 10 AS batch_id FROM win WHERE "offset" < 100')
+def round_windows_wrapped(spark, folder):
+    df = by_arithmetic(table(spark, folder, "embeddings").select("vec_id"))
+    start = (F.col("worker") * 31 + 7) % F.col("worker_rows")
+    return round_window(df, worker_counts(df), 10, 10, 0, wrap=True, start=start)
+
+
+@query("SELECT count(*) AS n, count(*) AS ids, count(*) AS places FROM lineitem")
+def sample_ids(spark, folder):
+    """Ids for a table without key are distinct, and so are the places they are assigned."""
+    df = read_samples(spark, f"{folder}/lineitem.parquet").select("sample_id")
+    placed = assign_workers(df, WORKERS)
+    return placed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("ids"),
+                      F.countDistinct("worker", "pos").alias("places"))
+
+
+@query("SELECT count(*) AS n, 3::BIGINT AS workers FROM orders")
+def workers_in_place(spark, folder):
+    df = cut_lineage(assign_workers_in_place(table(spark, folder, "orders").repartition(8), 3))
+    counts = worker_counts(df)
+    return counts.agg(F.sum("worker_rows").alias("n"), F.count(F.lit(1)).alias("workers"))
+
+
 @query(f"WITH {POS} SELECT worker, pos // 30 AS batch_id, count(*) AS n FROM w GROUP BY worker, pos // 30")
 def batches_with_short_last(spark, folder):
     df = by_arithmetic(table(spark, folder, "embeddings").select("vec_id"))
@@ -82,6 +113,17 @@ def chunk_assign(spark, folder):
     return dealt.withColumn("name", chunk_name("train", F.col("chunk"), 5))
 
 
+@query("""SELECT 'train.' || lpad(i::VARCHAR, 5, '0') AS chunk, (n + 6 - i) // 7 AS "rows", n AS total FROM range(7) c(i),
+(SELECT count(*) AS n FROM documents)""")
+def shuffled_chunks(spark, folder):
+    """Documents dealt into seven chunks in hashed order, written and read back."""
+    path = f"{checkpoint_root(spark)}/chunks-{uuid.uuid4().hex}"
+    write_shuffled_chunks(table(spark, folder, "documents").select("doc_id", "text"), 7, path, "doc_id", files_per_chunk=2)
+    back = spark.read.parquet(path)
+    total = back.agg(F.countDistinct("doc_id")).scalar()
+    return back.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows")).withColumn("total", total)
+
+
 @query("""SELECT documents.doc_id AS doc_id, lang, n_chars, quality FROM documents JOIN labels ON documents.doc_id = labels.doc_id""")
 def label_join(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gradloom.catalog.registry import EMB, Registry, r6, table
@@ -16,6 +18,8 @@ from gradloom.operators.workers import assign_workers, round_window, worker_coun
 from gradloom.plans.fit import fit
 from gradloom.plans.net import softmax_regression
 from gradloom.plans.solver import Solver
+from gradloom.session import checkpoint_root
+from gradloom.sources.weights import load_weights, save_weights
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -162,6 +166,15 @@ def weights_add_divide(spark, folder):
     return flat_blobs(scalar_divide(add_weights(a, b), 3))
 
 
+@query(f"""WITH {EMB}, m AS (SELECT label, pos, avg(x) AS v FROM emb GROUP BY label, pos)
+SELECT 'ip' AS layer, 0 AS blob, (label * 64 + pos)::INTEGER AS pos, round(v, 6) + 0.0 AS value FROM m""")
+def weights_saved(spark, folder):
+    """Class means saved as weights and loaded back."""
+    path = f"{checkpoint_root(spark)}/saved-{uuid.uuid4().hex}"
+    save_weights(class_mean_weights(spark, folder), path)
+    return flat_blobs(load_weights(spark, path))
+
+
 @query(f"""WITH {WORKER_MEANS} SELECT t.tolerance AS tolerance, bool_and(abs(a.v - b.v) <= t.tolerance) AS equal FROM m a JOIN m b
 ON a.label = b.label AND a.pos = b.pos AND a.worker = 0 AND b.worker = 1, (SELECT unnest([0.0001, 1.0])::DOUBLE AS tolerance) t GROUP BY t.tolerance""")
 def weights_equal_within(spark, folder):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 #: A key counts as hot from one in this many rows, so there are at most this many hot keys.
 HOT_SHARE = 256
@@ -15,17 +15,18 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     return counts.withColumn("__total", total).filter(F.col("__n") * share >= F.col("__total")).select(key)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how: str = "inner",
-                salts: int = 32, share: int = HOT_SHARE) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 32,
+                share: int = HOT_SHARE) -> DataFrame:
     """Inner or left equi-join; the left rows of a hot key are dealt over `salts` tasks.
 
-    Only the hot keys' right rows are copied, once per salt. `spread` is any column that varies within a key. The
-    list of hot keys is the one side broadcast here, and `share` bounds its length.
+    Only the hot keys' right rows are copied, once per salt. A row's salt is a hash of its values and of the input
+    partition it is in: a repeated task deals alike, and even full copies of one row are spread. The list of hot keys
+    is the one side broadcast here, and `share` bounds its length.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join is inner or left")
     hot = F.broadcast(hot_keys(left.select(key), key, share).withColumn("__hot", F.lit(True)))
-    dealt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("int")
+    dealt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(salts))).otherwise(0).cast("int")
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_left = left.join(hot, key, "left").withColumn("__salt", dealt).drop("__hot")
     salted_right = right.join(hot, key, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
@@ -33,18 +34,17 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how
 
 
 def attach_labels(images: DataFrame, labels: DataFrame, on_missing: str = "error", key: str = "filename",
-                  label: str = "label", spread: Column | None = None) -> DataFrame:
+                  label: str = "label") -> DataFrame:
     """Add the label of each image's key. A key without label fails the job, or drops the row (`drop`).
 
     Labels hold one row per key (see `read_labels`); many images may share a key.
     """
     if on_missing not in ("error", "drop"):
         raise ValueError(f"on_missing is error or drop, not {on_missing}")
-    spread = spread if spread is not None else F.struct(*[c for c in images.columns if c != key])
     labels = labels.select(key, label)
     if on_missing == "drop":
-        return salted_join(images, labels, key, spread, "inner")
-    joined = salted_join(images, labels.withColumn("__found", F.lit(True)), key, spread, "left")
+        return salted_join(images, labels, key, "inner")
+    joined = salted_join(images, labels.withColumn("__found", F.lit(True)), key, "left")
     missing = F.raise_error(F.concat(F.lit("no label for "), F.col(key).cast("string")))
     return joined.withColumn(label, F.when(F.col("__found"), F.col(label)).otherwise(missing)).drop("__found")
 
@@ -56,4 +56,4 @@ def missing_labels(images: DataFrame, labels: DataFrame, key: str = "filename")
 
 def gather(labels: DataFrame, images: DataFrame, key: str = "filename") -> DataFrame:
     """Fetch the image of every label row: label-driven, both sides large."""
-    return salted_join(labels, images, key, F.struct(*labels.columns), "inner")
+    return salted_join(labels, images, key, "inner")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gradloom.functions.convert import Conversion, float_vector
 from gradloom.plans.net import Net
 
 
@@ -35,6 +36,22 @@ def widen(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def convert_inputs(df: DataFrame, net: Net, keep: Sequence[str] = (),
+                   conversions: Mapping[str, Conversion] | None = None) -> DataFrame:
+    """Bind a table to a net and convert each input to a vector of its shape; labels become `bigint`.
+
+    `conversions` replaces the default conversion of single inputs. Inputs with a batch preparation stay raw.
+    """
+    bound, columns = bind_inputs(df, net, keep), {}
+    for item in net.inputs:
+        convert = (conversions or {}).get(item.name, float_vector)
+        if item.label:
+            columns[item.name] = F.col(item.name).cast("bigint")
+        elif item.prepare is None:
+            columns[item.name] = convert(F.col(item.name), df.schema[item.name].dataType, item.shape)
+    return bound.withColumns(columns)
+
+
 def apply_null_policy(df: DataFrame, names: Sequence[str], on_null: str = "raise") -> DataFrame:
     """Null inputs are never passed on: `raise` fails the job, `drop` removes the rows (see `null_counts`)."""
     if on_null == "drop":

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from gradloom.operators.samples import bind_inputs
-from gradloom.operators.weights import MOMENTUM
+from gradloom.operators.weights import MOMENTUM, weights_to_dict
 from gradloom.plans.batches import Blobs, check_weights, feed, list_column, unpack
 from gradloom.plans.kernels import forward_pass
 from gradloom.plans.net import Net
@@ -29,12 +29,10 @@ def shared_weights(net: Net, weights: DataFrame, limit: int = BROADCAST_BYTES) -
     folder, where tasks read them.
     """
     spark = weights.sparkSession
-    weights = weights.filter(~F.col("layer").endswith(MOMENTUM))
     if net.size() * 8 <= limit:
-        blobs = unpack(weights.toArrow(), net.dtype)
-        check_weights(net, blobs)
-        shared = spark.sparkContext.broadcast(blobs)
+        shared = spark.sparkContext.broadcast(weights_to_dict(weights, net))
         return lambda: shared.value
+    weights = weights.filter(~F.col("layer").endswith(MOMENTUM))
     path = f"{checkpoint_root(spark)}/weights-{uuid.uuid4().hex}"
     weights.write.parquet(path)
     files = tuple(spark.read.parquet(path).inputFiles())

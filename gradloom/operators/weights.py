@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradloom.functions.ndarray import nd_equal
 from gradloom.plans.net import Net
-from gradloom.plans.batches import CHUNK, WEIGHTS_SCHEMA, draw_values, pack
+from gradloom.session import shuffle_partitions
+from gradloom.plans.batches import CHUNK, WEIGHTS_SCHEMA, check_weights, draw_values, pack, unpack
 
 MOMENTUM = "/momentum"
 
@@ -47,7 +48,7 @@ def init_weights(spark: SparkSession, net: Net, seed: int = 0) -> DataFrame:
                                              ["layer", "blob", "shape", "chunk", "values"])
 
     chunks = declared_chunks(spark, net)
-    return chunks.repartition("layer", "blob", "chunk").mapInArrow(fill, WEIGHTS_SCHEMA)
+    return chunks.repartition(shuffle_partitions(spark), "layer", "blob", "chunk").mapInArrow(fill, WEIGHTS_SCHEMA)
 
 
 def average_weights(local: DataFrame, workers: int | None = None, weight: str | None = None,
@@ -113,6 +114,13 @@ def matrix_rows(weights: DataFrame, layer: str, outputs: int, inputs: int) -> Da
         F.col("values"), o * inputs + 1, F.lit(inputs))).alias("rows"))
 
 
+def weights_to_dict(weights: DataFrame, net: Net) -> dict[tuple[str, int], np.ndarray]:
+    """A net's weights on the driver, checked against its blobs. Their size is the net's, not the data's."""
+    blobs = unpack(weights.filter(~F.col("layer").endswith(MOMENTUM)).toArrow(), net.dtype)
+    check_weights(net, blobs)
+    return blobs
+
+
 def weights_from_dict(spark: SparkSession, blobs: dict[tuple[str, int], np.ndarray]) -> DataFrame:
     """Driver arrays as a weights table, for small nets and tests."""
     return spark.createDataFrame(pack(blobs), WEIGHTS_SCHEMA)

@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradloom.operators.numbering import hash_bucket, number_rows
+from gradloom.session import shuffle_partitions
 
 #: Segment numbers per worker in a written sample table.
 SEGMENTS = 1 << 20
@@ -20,7 +21,8 @@ def assign_workers(df: DataFrame, workers: int, id_col: str = "sample_id", seed:
                    buckets: int | None = None) -> DataFrame:
     """Columns `worker`, `pos` (0-based within the worker, shuffled) and `worker_rows`.
 
-    Worker and order come from hashes of the sample id, so the shuffle is the same on every run and retry. `buckets`
+    Worker and order come from hashes of the sample id, so the shuffle is the same on every run and retry. The id must
+    be unique for the hashes to be even; `read_samples` makes one for tables that have none. `buckets`
     is the number of ranges in which a worker's rows are numbered (default: as many as shuffle partitions).
     With an own `order`, `bucket` must be given, bounded in rows and not decreasing along it.
     """
@@ -28,8 +30,8 @@ def assign_workers(df: DataFrame, workers: int, id_col: str = "sample_id", seed:
     worker = worker if worker is not None else F.pmod(F.xxhash64(identity), F.lit(workers))
     if order is None:
         order = F.xxhash64(identity, F.lit(seed))
-        buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        bucket = hash_bucket(order, math.ceil(math.log2(max(1, buckets))))
+        buckets = buckets or shuffle_partitions(df.sparkSession)
+        bucket = hash_bucket(order, math.ceil(math.log2(buckets)))
     elif bucket is None:
         raise ValueError("an own order needs a bucket")
     placed = df.withColumn("worker", worker.cast("int"))

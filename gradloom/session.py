@@ -25,6 +25,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's shuffle width.
+
+    Rows that only describe work (byte ranges, weight chunks) must name it: by their tiny size adaptive execution would
+    merge them into one task.
+    """
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and continue from there."""
     checkpoint_root(df.sparkSession)

@@ -7,6 +7,7 @@ over all tasks, so one huge archive does not hold up the job and none has to fit
 from __future__ import annotations
 
 import io
+import itertools
 import tarfile
 from collections.abc import Iterator
 
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gradloom.session import shuffle_partitions
 from gradloom.sources.files import basename, list_files, open_path, read_ranges
 
 INDEX_SCHEMA = "path string, parent string, member string, offset bigint, size bigint"
@@ -22,7 +24,18 @@ INDEX_SCHEMA = "path string, parent string, member string, offset bigint, size b
 def list_archives(spark: SparkSession, path: str, num_parts: int | None = None, glob: str | None = None) -> DataFrame:
     """All archives below `path`, one partition each unless `num_parts` is given."""
     found = list_files(spark, path, glob, recursive=True)
-    return found.repartition(num_parts, "path") if num_parts else found.repartition("path")
+    return found.repartition(num_parts or max(1, found.count()))
+
+
+def _headers(path: str, parent: str, start: int) -> Iterator[tuple[str, str, str, int, int]]:
+    """One archive's regular files, header by header; nothing is remembered between headers."""
+    with open_path(path) as file:
+        file.seek(start)
+        with tarfile.open(fileobj=file, mode="r:") as archive:
+            while (entry := archive.next()) is not None:
+                if entry.isfile():
+                    yield path, parent, entry.name, entry.offset_data, entry.size
+                archive.members = []
 
 
 def index_tar(archives: DataFrame) -> DataFrame:
@@ -33,16 +46,13 @@ def index_tar(archives: DataFrame) -> DataFrame:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                with open_path(row["path"]) as file:
-                    file.seek(row["offset"])
-                    with tarfile.open(fileobj=file, mode="r:") as archive:
-                        entries = [(row["path"], row["parent"], m.name, m.offset_data, m.size) for m in archive if m.isfile()]
-                if entries:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*entries)],
+                for part in itertools.batched(_headers(row["path"], row["parent"], row["offset"]), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)],
                                                      ["path", "parent", "member", "offset", "size"])
 
     if "member" in archives.columns:
-        starts = archives.select("path", F.col("member").alias("parent"), "offset").repartition("path", "offset")
+        starts = archives.select("path", F.col("member").alias("parent"), "offset").repartition(
+            shuffle_partitions(archives.sparkSession), "path", "offset")
     else:
         starts = archives.select("path", basename(F.col("path")).alias("parent"), F.lit(0).cast("bigint").alias("offset"))
     return starts.mapInArrow(index, INDEX_SCHEMA)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradloom.operators.numbering import hash_bucket, number_rows
+from gradloom.session import shuffle_partitions
 
 
 def assign_chunks(df: DataFrame, n_chunks: int, order: Column, bucket: Column) -> DataFrame:
@@ -27,8 +28,8 @@ def write_shuffled_chunks(df: DataFrame, n_chunks: int, path: str, id_col: str =
     `files_per_chunk` splits a chunk over several tasks when a whole one is too much for one.
     """
     key = F.xxhash64(F.col(id_col), F.lit(seed))
-    buckets = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = assign_chunks(df, n_chunks, key, hash_bucket(key, math.ceil(math.log2(buckets))))
+    bits = math.ceil(math.log2(shuffle_partitions(df.sparkSession)))
+    dealt = assign_chunks(df, n_chunks, key, hash_bucket(key, bits))
     target = F.col("chunk") * files_per_chunk + F.pmod(F.floor(F.col("position") / n_chunks), F.lit(files_per_chunk))
     (dealt.withColumn("part", target.cast("int"))
      .repartitionById(n_chunks * files_per_chunk, "part")

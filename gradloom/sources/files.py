@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gradloom.session import shuffle_partitions
+
 #: Bytes that one row of a ranged read may carry.
 RANGE_BYTES = 16 << 20
 
@@ -70,7 +72,7 @@ def read_ranges(ranges: DataFrame, num_parts: int | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*one.columns, pa.array([content], pa.binary())],
                                                  [*one.schema.names, "content"])
 
-    spread = ranges.repartition(*([num_parts] if num_parts else []), "path", "offset")
+    spread = ranges.repartition(num_parts or shuffle_partitions(ranges.sparkSession), "path", "offset")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranges.schema) + ", content binary"
     return spread.mapInArrow(read, schema)
 

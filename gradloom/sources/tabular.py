@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def create_samples(spark: SparkSession, rows: Iterable[tuple], schema: str | T.StructType) -> DataFrame:
@@ -12,6 +12,12 @@ def create_samples(spark: SparkSession, rows: Iterable[tuple], schema: str | T.S
     return spark.createDataFrame(list(rows), schema)
 
 
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table with a `sample_id` from each row's place in its file: equal on every run, also for row copies."""
+    df = spark.read.parquet(path)
+    return df.select(F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("sample_id"), *df.columns)
+
+
 def read_csv_features(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """A CSV file without header as columns C0, C1, ... A given schema saves the pass that infers the types."""
     reader = spark.read.option("ignoreLeadingWhiteSpace", True)

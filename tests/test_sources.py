@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gradloom.operators.joins import attach_labels
 from gradloom.plans.net import softmax_regression
 from gradloom.operators.weights import init_weights, weights_equal
+from gradloom.plans.runs import chunk_images
 from gradloom.sources import archives, chunks, files, idx, images, labels, records, tabular, weights
 
 RNG = np.random.default_rng(3)
@@ -136,6 +137,25 @@ def test_tar_to_labelled_images(spark, tmp_path):
         attach_labels(decoded, table).collect()
 
 
+def test_archives_to_labelled_chunks(spark, tmp_path):
+    names = [f"n{i}.png" for i in range(9)]
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.tar").write_bytes(tar_bytes({n: png(np.full((4, 4, 3), i, "u1")) for i, n in enumerate(names)}))
+    table = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "filename string, label int")
+    chunk_images(archives.read_tar(spark, str(source)), table, 3, str(tmp_path / "land"), str(tmp_path / "out"), 2, 2, prefix="val", digits=3)
+    back = spark.read.parquet(str(tmp_path / "out" / "chunks"))
+    assert {r["chunk"]: r["count"] for r in back.groupBy("chunk").count().collect()} == {f"val.00{i}": 3 for i in range(3)}
+    assert all(r["data"] == bytes([r["label"]] * 12) for r in back.collect())
+    assert labels.read_labels(spark, str(tmp_path / "out" / "labels")).count() == 9
+
+
+def test_sample_ids_from_places(spark, tmp_path):
+    spark.createDataFrame([(1,)] * 50, "x int").repartition(3).write.parquet(str(tmp_path / "t"))
+    a, b = ({r["sample_id"] for r in tabular.read_samples(spark, str(tmp_path / "t")).collect()} for _ in range(2))
+    assert a == b and len(a) == 50
+
+
 def test_nested_tar(spark, tmp_path):
     inner = {f"class{c}.tar": tar_bytes({f"img{c}_{i}.bin": bytes([c, i]) * 300 for i in range(3)}) for c in range(2)}
     (tmp_path / "all.tar").write_bytes(tar_bytes(inner))

@@ -3,6 +3,7 @@ import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
+from gradloom.functions.convert import float_vector
 from gradloom.operators.evaluate import accuracy, batch_accuracy
 from gradloom.operators.score import featurize, forward
 from gradloom.operators.train import LOSS, gradient, local_sgd_round, sgd_step
@@ -14,6 +15,7 @@ from gradloom.plans.fit import Segments, fit
 from gradloom.plans.kernels import backward_pass, forward_pass
 from gradloom.plans.net import softmax_regression
 from gradloom.plans.presets import cifar_net
+from gradloom.plans.runs import extract_features, train
 from gradloom.plans.solver import Solver
 from gradloom.streaming.rows import write_stream
 
@@ -220,6 +222,22 @@ def test_image_net_trains(spark):
     assert featurize(df, cifar_net(), result.weights, "ip1").count() == 24
 
 
+def test_presets_run_from_raw_rows(spark, samples):
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.integers(0, 256, 3072, "u1").tobytes(), i % 10) for i in range(40)]
+    df = spark.createDataFrame(rows, "sample_id long, data binary, label int").repartition(2)
+    for preset, net in (("cifar", softmax_regression(3072, 10)), ("imagenet-alexnet", softmax_regression(3072, 10))):
+        result = train(preset, df, 2, 1, test=df, net=net, solver=Solver(1e-5), wrap=True,
+                       conversions={"data": lambda c, t, shape: F.transform(float_vector(c, t, shape), lambda x: x / 255)})
+        metrics = {r["metric"] for r in result.history.collect()}
+        assert metrics == {"accuracy", "test_loss", "loss"}
+    weights = init_weights(spark, cifar_net(), 1)
+    features = extract_features("featurize", df.drop("label"), weights, "ip1")
+    assert features.columns == ["sample_id", "ip1"] and {len(r["ip1"]) for r in features.collect()} == {64}
+    with pytest.raises(Exception, match="column data is null"):
+        train("cifar", df.withColumn("data", F.lit(None).cast("binary")), 2, 1, net=softmax_regression(3072, 10), wrap=True)
+
+
 def test_scoring_a_stream(spark, samples, start, tmp_path):
     samples.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
