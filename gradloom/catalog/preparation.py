@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradloom.catalog.registry import EMB, PIX, Registry, elements, pixels, r6, table
 from gradloom.functions.convert import signed_bytes, to_float_vector, to_typed, unsigned_bytes, unsigned_bytes_native
 from gradloom.functions.image import crop_chw, prepare_hwc, random_crop, rescale, subtract_mean, to_planar_rgb
-from gradloom.functions.shapes import counting, let
+from gradloom.functions.shapes import counting, indexed, let
 from gradloom.operators.means import mean_by_position, mean_image, mean_vector
 from gradloom.operators.samples import apply_null_policy, convert_inputs, null_counts, project, widen, with_scalar
 from gradloom.plans.net import softmax_regression
@@ -45,7 +45,7 @@ FROM b GROUP BY doc_id"""
 
 
 def _checksum(df, vector):
-    values = df.select("doc_id", F.posexplode(vector).alias("i", "x"))
+    values = indexed(df, ["doc_id"], vector, "i", "x")
     return values.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x").cast("double")).alias("total"),
                                         F.sum(F.col("x").cast("double") * (F.col("i") % 97)).alias("checksum"))
 

@@ -7,6 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gradloom.functions.shapes import indexed
+from gradloom.session import ship
+
 Build = Callable[[SparkSession, str], DataFrame]
 
 
@@ -22,7 +25,11 @@ class Registry:
 
     def query(self, sql: str | None) -> Callable[[Build], Build]:
         def register(build: Build) -> Build:
-            self.queries[build.__name__] = Query(build, sql)
+            def shipped(spark: SparkSession, folder: str) -> DataFrame:
+                ship(spark)
+                return build(spark, folder)
+
+            self.queries[build.__name__] = Query(shipped, sql)
             return build
 
         return register
@@ -40,7 +47,7 @@ def r6(value: Column | str) -> Column:
 
 def elements(df: DataFrame, keys: Sequence[str], vector: Column) -> DataFrame:
     """One row per array element: keys, pos, value."""
-    return df.select(*keys, F.posexplode(vector).alias("pos", "value")).withColumn("value", r6("value"))
+    return indexed(df, keys, vector, "pos", "value").withColumn("value", r6("value"))
 
 
 def pixels(embedding: Column | str = "embedding") -> Column:

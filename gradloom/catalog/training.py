@@ -11,6 +11,7 @@ from gradloom.catalog.registry import EMB, Registry, r6, table
 from gradloom.catalog.sampling import by_arithmetic
 from gradloom.catalog.scoring import NET, PROBS, fixed_weights
 from gradloom.functions.dense import learning_rate
+from gradloom.functions.shapes import indexed
 from gradloom.operators.means import as_array, mean_by_position
 from gradloom.operators.train import LOSS, gradient, local_sgd_round, sgd_step
 from gradloom.operators.weights import MOMENTUM, add_weights, average_weights, scalar_divide, weights_equal
@@ -27,7 +28,7 @@ query = REGISTRY.query
 
 def flat_blobs(weights, *keys):
     """One row per value: (keys..., layer, blob, pos, value)."""
-    values = weights.select(*keys, "layer", "blob", "chunk", F.posexplode("values").alias("at", "v"))
+    values = indexed(weights, [*keys, "layer", "blob", "chunk"], F.col("values"), "at", "v")
     return values.select(*keys, "layer", "blob", (F.col("chunk") * 4096 + F.col("at")).alias("pos"), r6("v").alias("value"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def volume(shape: Sequence[int]) -> int:
@@ -33,6 +33,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def indexed(df: DataFrame, keys: Sequence[str | Column], array: Column, position: str, element: str) -> DataFrame:
+    """One row per element of `array`: keys, position, element.
+
+    A plain generator makes the optimizer test the array for null and size first, which evaluates a computed array
+    three times; an outer generator does not.
+    """
+    exploded = df.select(*keys, F.posexplode_outer(array).alias(position, element))
+    return exploded.filter(F.col(position).isNotNull())
+
+
 def counting(n: int) -> Column:
     """`[0, ..., n - 1]`, for n >= 1."""
     return F.sequence(F.lit(0), F.lit(n - 1))

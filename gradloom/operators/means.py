@@ -10,13 +10,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gradloom.functions.shapes import volume
+from gradloom.functions.shapes import indexed, volume
 from gradloom.plans.batches import matrix
 
 
 def mean_by_position(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., pos, n, mean): exact sums per position, combined before the shuffle. Integers are summed as integers."""
-    elements = df.select(*by, F.posexplode(col).alias("pos", "x"))
+    elements = indexed(df, by, F.col(col), "pos", "x")
     return elements.groupBy(*by, "pos").agg(F.count("x").alias("n"), (F.sum("x") / F.count("x")).alias("mean"))
 
 
@@ -46,7 +46,7 @@ def mean_image(df: DataFrame, col: str, shape: tuple[int, ...]) -> DataFrame:
 
     kind = "bigint" if integer else "double"
     partial = df.select(col).mapInArrow(sums, f"n bigint, sums array<{kind}>")
-    per_position = (partial.select("n", F.posexplode("sums").alias("pos", "s"))
+    per_position = (indexed(partial, ["n"], F.col("sums"), "pos", "s")
                     .groupBy("pos").agg((F.sum("s") / F.sum("n")).alias("m")))
     return per_position.agg(as_array("pos", "m").alias("mean"))
 

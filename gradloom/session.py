@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the executors, once per session, as `--py-files` would."""
+    context = spark.sparkContext
+    if any(path.endswith("/gradloom.zip") for path in context.listFiles):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="gradloom-"), "gradloom"), "zip", root, "gradloom")
+    context.addPyFile(archive)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle width.
 

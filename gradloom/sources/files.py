@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gradloom.functions.shapes import indexed
 from gradloom.session import shuffle_partitions
 
 #: Bytes that one row of a ranged read may carry.
@@ -97,6 +98,5 @@ def split_records(chunks: DataFrame, record_bytes: int) -> DataFrame:
     count = F.floor(F.length("content") / record_bytes).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), count - 1),
                          lambda i: F.substring(F.col("content"), i * record_bytes + 1, F.lit(record_bytes)))
-    return (chunks.filter(F.length("content") > 0)
-            .select("path", "first_record", F.posexplode(pieces).alias("at", "record"))
+    return (indexed(chunks.filter(F.length("content") > 0), ["path", "first_record"], pieces, "at", "record")
             .select("path", (F.col("first_record") + F.col("at")).alias("record_index"), "record"))

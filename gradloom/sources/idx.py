@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradloom.functions.convert import big_endian_int, byte_at, unsigned_bytes
+from gradloom.functions.shapes import indexed
 from gradloom.sources.files import RANGE_BYTES, list_files, read_ranges, split_records
 
 # The magic numbers of the format (unsigned bytes in three and in one dimension).
@@ -48,7 +49,7 @@ def decode_idx_images(chunks: DataFrame) -> DataFrame:
     size = F.col("record_bytes").cast("int")
     pieces = F.transform(F.sequence(F.lit(0), count - 1),
                          lambda i: F.substring(F.col("content"), i * size + 1, size))
-    return (chunks.select("path", "first_record", F.posexplode(pieces).alias("at", "record"))
+    return (indexed(chunks, ["path", "first_record"], pieces, "at", "record")
             .select("path", (F.col("first_record") + F.col("at")).alias("record_index"),
                     unsigned_bytes(F.col("record")).alias("data")))
 

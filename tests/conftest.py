@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from gradloom.session import ship  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -15,6 +17,7 @@ def spark(tmp_path_factory):
                .config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC")
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint"))).getOrCreate())
     session.sparkContext.setLogLevel("OFF")
+    ship(session)
     yield session
     session.stop()
 
