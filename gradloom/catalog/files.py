@@ -68,10 +68,12 @@ def idx_headers(spark, folder):
     return extents.select("label", *[F.col("e")[i].alias(n) for i, n in enumerate(("images", "height", "width"))])
 
 
-@query("""SELECT doc_id, ord(text[1]) AS first_byte FROM documents WHERE length(text) > 0 AND ord(text[1]) < 128""")
-def unsigned_first_byte(spark, folder):
+@query("""SELECT doc_id, ('0x' || substr(hex(encode(text)), 1, 2))::INTEGER AS first_byte,
+('0x' || right(hex(encode(text)), 2))::INTEGER AS last_byte FROM documents WHERE length(text) > 0""")
+def unsigned_byte_at(spark, folder):
     df = table(spark, folder, "documents").filter(F.length("text") > 0)
-    return df.select("doc_id", byte_at(F.encode("text", "UTF-8"), 0).alias("first_byte")).filter("first_byte < 128")
+    raw = F.encode("text", "UTF-8")
+    return df.select("doc_id", byte_at(raw, F.lit(0)).alias("first_byte"), byte_at(raw, F.length(raw) - 1).alias("last_byte"))
 
 
 def _archive(rows: pa.Table) -> pa.Table:

@@ -19,7 +19,8 @@ Conversion = Callable[[Column, T.DataType, Sequence[int]], Column]
 
 def _bytes_as(numpy_type: str, arrow_type: pa.DataType) -> Callable[[pa.Array], pa.Array]:
     def convert(values: pa.Array) -> pa.Array:
-        _, offsets, data = values.cast(pa.binary()).buffers()
+        values = values.cast(pa.binary())
+        _, offsets, data = values.buffers()
         starts = np.frombuffer(offsets, "i4", len(values) + 1, values.offset * 4)
         raw = np.frombuffer(data, "u1", starts[-1])[starts[0]:] if data is not None else np.empty(0, "u1")
         flat = raw.view(numpy_type).astype(arrow_type.to_pandas_dtype())

@@ -55,5 +55,5 @@ def missing_labels(images: DataFrame, labels: DataFrame, key: str = "filename")
 
 
 def gather(labels: DataFrame, images: DataFrame, key: str = "filename") -> DataFrame:
-    """Fetch the image of every label row: label-driven, both sides large."""
-    return salted_join(labels, images, key, "inner")
+    """Fetch the images of every label row. Both sides are large; the images of one name may be many."""
+    return salted_join(images, labels, key, "inner")

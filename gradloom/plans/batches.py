@@ -24,6 +24,10 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
         column = column.combine_chunks()
     if column.null_count:
         raise ValueError("null input")
+    if pa.types.is_large_binary(column.type):
+        column = column.cast(pa.binary())
+    elif pa.types.is_large_list(column.type):
+        column = column.cast(pa.list_(column.type.value_type))
     rows = len(column)
     if pa.types.is_binary(column.type):
         offsets = np.frombuffer(column.buffers()[1], "i4", rows + 1, column.offset * 4) if rows else np.zeros(1, "i4")
