@@ -6,6 +6,7 @@ A worker is a number in a column, not a process: any task may handle any worker,
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -108,9 +109,22 @@ def write_segments(assigned: DataFrame, path: str, rows: int) -> None:
      .write.partitionBy("segment").parquet(path))
 
 
-def read_round(spark: SparkSession, path: str, rows: int, counts: DataFrame, tau: int, batch: int, round_no: int,
-               seed: int = 0, wrap: bool = False) -> DataFrame:
-    """`round_window` over a table of `write_segments`: the window starts, one per worker, select the segments."""
+@dataclass(frozen=True)
+class Segments:
+    """A table written by `write_segments` with `rows` rows per segment; its folders are listed once, when it is opened."""
+
+    table: DataFrame
+    rows: int
+
+
+def open_segments(spark: SparkSession, path: str, rows: int) -> Segments:
+    return Segments(spark.read.parquet(path), rows)
+
+
+def segment_window(stored: Segments, counts: DataFrame, tau: int, batch: int, round_no: int, seed: int = 0,
+                   wrap: bool = False) -> DataFrame:
+    """`round_window` over written segments: the window starts, one per worker, select the segments to read."""
+    rows = stored.rows
     starts = round_starts(counts, tau, batch, round_no, seed, wrap).collect()
     segments = set()
     for row in starts:
@@ -118,5 +132,5 @@ def read_round(spark: SparkSession, path: str, rows: int, counts: DataFrame, tau
         spans = [(first, min(last, n - 1))] + ([(0, min(last - n, n - 1))] if last >= n else [])
         for low, high in spans:
             segments.update(row["worker"] * SEGMENTS + s for s in range(low // rows, high // rows + 1))
-    stored = spark.read.parquet(path).filter(F.col("segment").isin(sorted(segments))).drop("segment")
-    return round_window(stored, counts, tau, batch, round_no, seed, wrap)
+    selected = stored.table.filter(F.col("segment").isin(sorted(segments))).drop("segment")
+    return round_window(selected, counts, tau, batch, round_no, seed, wrap)

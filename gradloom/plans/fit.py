@@ -10,21 +10,13 @@ from pyspark.sql import DataFrame, functions as F
 from gradloom.operators.score import evaluate
 from gradloom.operators.train import LOSS, local_sgd_round
 from gradloom.operators.weights import MOMENTUM, average_weights, init_weights
-from gradloom.operators.workers import read_round, round_window, worker_counts
+from gradloom.operators.workers import Segments, round_window, segment_window, worker_counts
 from gradloom.plans.net import Net
 from gradloom.plans.solver import Solver
 from gradloom.session import cut_lineage
 from gradloom.sources.weights import HISTORY_SCHEMA, append_history
 
 
-@dataclass(frozen=True)
-class Segments:
-    """An assigned table written by `write_segments` with `rows` rows per segment."""
-
-    path: str
-    rows: int
-
-
 @dataclass(frozen=True)
 class FitResult:
     weights: DataFrame
@@ -56,7 +48,7 @@ def fit(samples: DataFrame, net: Net, solver: Solver, rounds: int, tau: int, bat
             measured = evaluate(test, net, weights).first()
             log += _logged(spark, history_path, round_no, began, accuracy=measured["accuracy"], test_loss=measured["loss"])
         if segments:
-            window = read_round(spark, segments.path, segments.rows, counts, tau, batch, round_no, seed, wrap)
+            window = segment_window(segments, counts, tau, batch, round_no, seed, wrap)
         else:
             window = round_window(samples, counts, tau, batch, round_no, seed, wrap)
         local = local_sgd_round(window, weights, net, solver, workers, tau, batch, round_no, seed, state)

@@ -9,12 +9,16 @@ from gradloom.plans.batches import Blobs
 from gradloom.plans.net import Layer, Net
 
 
-def _windows(x: np.ndarray, layer: Layer, fill: float) -> tuple[np.ndarray, tuple]:
-    """View (n, channels, out_height, out_width, kernel, kernel) of the padded input, and the padding."""
-    (height, width), pads = layer.window(*x.shape[2:])
-    padded = np.pad(x, ((0, 0), (0, 0), *pads), constant_values=fill)
-    view = sliding_window_view(padded, (layer.kernel, layer.kernel), axis=(2, 3))
-    return view[:, :, ::layer.stride, ::layer.stride][:, :, :height, :width], pads
+def _padded(x: np.ndarray, layer: Layer, fill: float) -> tuple[np.ndarray, tuple[int, int], tuple]:
+    """The padded input, the output size and the padding."""
+    size, pads = layer.window(*x.shape[2:])
+    return np.pad(x, ((0, 0), (0, 0), *pads), constant_values=fill), size, pads
+
+
+def _at(grid: np.ndarray, layer: Layer, i: int, j: int, size: tuple[int, int]) -> np.ndarray:
+    """The values that kernel position (i, j) meets, one per output pixel."""
+    rows, cols = (slice(at, at + layer.stride * n, layer.stride) for at, n in zip((i, j), size))
+    return grid[:, :, rows, cols]
 
 
 def _fold(pieces, shape: tuple[int, ...], layer: Layer, pads: tuple) -> np.ndarray:
@@ -24,8 +28,7 @@ def _fold(pieces, shape: tuple[int, ...], layer: Layer, pads: tuple) -> np.ndarr
     for i, j, piece in pieces:
         if total is None:
             total = np.zeros((*piece.shape[:2], height, width), piece.dtype)
-        rows, cols = (slice(at, at + layer.stride * n, layer.stride) for at, n in zip((i, j), piece.shape[2:]))
-        total[:, :, rows, cols] += piece
+        _at(total, layer, i, j, piece.shape[2:])[...] += piece
     return total[:, :, pads[0][0]:pads[0][0] + shape[2], pads[1][0]:pads[1][0] + shape[3]]
 
 
@@ -38,33 +41,45 @@ def dense_forward(layer, x, w, b):
     return flat @ w.T + b, (flat, x.shape)
 
 
-def dense_backward(layer, g, cache, w):
+def dense_backward(layer, g, cache, w, into_input=True):
     flat, shape = cache
-    return (g @ w).reshape(shape), g.T @ flat, g.sum(axis=0)
+    return (g @ w).reshape(shape) if into_input else None, g.T @ flat, g.sum(axis=0)
 
 
 def conv_forward(layer, x, w, b):
-    view, pads = _windows(x, layer, 0.0)
-    y = np.tensordot(view, w, axes=((1, 4, 5), (1, 2, 3)))
-    return np.moveaxis(y + b, 3, 1), (view, pads, x.shape)
-
-
-def conv_backward(layer, g, cache, w):
-    view, pads, shape = cache
-    dw = np.tensordot(g, view, axes=((0, 2, 3), (0, 2, 3)))
+    padded, (height, width), pads = _padded(x, layer, 0.0)
+    windows = sliding_window_view(padded, (layer.kernel, layer.kernel), axis=(2, 3))
+    windows = windows[:, :, ::layer.stride, ::layer.stride][:, :, :height, :width]
+    y = np.tensordot(windows, w, axes=((1, 4, 5), (1, 2, 3)))
+    return np.moveaxis(y + b, 3, 1), (windows, pads, x.shape)
+
+
+def conv_backward(layer, g, cache, w, into_input=True):
+    windows, pads, shape = cache
+    dw, db = np.tensordot(g, windows, axes=((0, 2, 3), (0, 2, 3))), g.sum(axis=(0, 2, 3))
+    if not into_input:
+        return None, dw, db
     pieces = ((i, j, np.moveaxis(np.tensordot(g, w[:, :, i, j], axes=(1, 0)), 3, 1)) for i, j in _positions(layer))
-    return _fold(pieces, shape, layer, pads), dw, g.sum(axis=(0, 2, 3))
+    return _fold(pieces, shape, layer, pads), dw, db
 
 
 def pool_forward(layer, x):
-    view, pads = _windows(x, layer, -np.inf if layer.pool == "max" else 0.0)
-    flat = view.reshape(*view.shape[:4], -1)
-    if layer.pool == "max":
-        best = flat.argmax(axis=4)
-        return np.take_along_axis(flat, best[..., None], axis=4)[..., 0], (best, pads, x.shape)
-    inside, _ = _windows(np.ones((1, 1, *x.shape[2:]), x.dtype), layer, 0.0)
-    count = inside.sum(axis=(4, 5))
-    return flat.sum(axis=4) / count, (count, pads, x.shape)
+    largest = layer.pool == "max"
+    padded, size, pads = _padded(x, layer, -np.inf if largest else 0.0)
+    if not largest:
+        inside, _, _ = _padded(np.ones((1, 1, *x.shape[2:]), x.dtype), layer, 0.0)
+        count = sum(_at(inside, layer, i, j, size) for i, j in _positions(layer))
+        return sum(_at(padded, layer, i, j, size) for i, j in _positions(layer)) / count, (count, pads, x.shape)
+    best, where = None, None
+    for at, (i, j) in enumerate(_positions(layer)):
+        value = _at(padded, layer, i, j, size)
+        if best is None:
+            best, where = value.copy(), np.zeros(value.shape, "i4")
+        else:
+            better = value > best
+            np.copyto(best, value, where=better)
+            where[better] = at
+    return best, (where, pads, x.shape)
 
 
 def pool_backward(layer, g, cache):
@@ -117,6 +132,7 @@ def forward_pass(net: Net, weights: Blobs, inputs: dict[str, np.ndarray], train:
 
 def backward_pass(net: Net, weights: Blobs, caches: list) -> Blobs:
     """Gradient of the mean loss (with its L2 term) for every parameter blob."""
+    inputs = {i.name for i in net.inputs}
     flowing: dict[str, np.ndarray] = {}
     grads: Blobs = {}
     for layer, cache in zip(reversed(net.layers), reversed(caches)):
@@ -131,7 +147,8 @@ def backward_pass(net: Net, weights: Blobs, caches: list) -> Blobs:
             g = flowing.pop(layer.top)
             if layer.kind in ("dense", "conv"):
                 run = dense_backward if layer.kind == "dense" else conv_backward
-                back, grads[layer.name, 0], grads[layer.name, 1] = run(layer, g, cache, weights[layer.name, 0])
+                back, grads[layer.name, 0], grads[layer.name, 1] = run(
+                    layer, g, cache, weights[layer.name, 0], layer.bottom[0] not in inputs)
             elif layer.kind == "pool":
                 back = pool_backward(layer, g, cache)
             elif layer.kind == "reshape":
@@ -139,6 +156,8 @@ def backward_pass(net: Net, weights: Blobs, caches: list) -> Blobs:
             else:
                 back = g * np.asarray(cache, g.dtype)
         source = layer.bottom[0]
+        if source in inputs:
+            continue
         flowing[source] = flowing[source] + back if source in flowing else back
     for (name, blob), w in weights.items():
         if name in net.l2 and (name, blob) in grads:

@@ -9,9 +9,9 @@ from gradloom.operators.score import featurize, forward
 from gradloom.operators.train import LOSS, gradient, local_sgd_round, sgd_step
 from gradloom.operators.weights import (MOMENTUM, add_weights, average_weights, init_weights, scalar_divide, weights_equal,
                                         weights_from_dict)
-from gradloom.operators.workers import assign_workers, round_window, worker_counts, write_segments
+from gradloom.operators.workers import assign_workers, open_segments, round_window, worker_counts, write_segments
 from gradloom.plans.batches import unpack
-from gradloom.plans.fit import Segments, fit
+from gradloom.plans.fit import fit
 from gradloom.plans.kernels import backward_pass, forward_pass
 from gradloom.plans.net import softmax_regression
 from gradloom.plans.presets import cifar_net
@@ -158,11 +158,11 @@ def test_loss_falls_and_history_is_kept(spark, samples, tmp_path):
     assert early.history.count() < 10
 
 
-def test_segments_and_weights_by_size(samples, start, tmp_path):
+def test_segments_and_weights_by_size(spark, samples, start, tmp_path):
     df = assign_workers(samples, 4).cache()
     write_segments(df, str(tmp_path / "seg"), 16)
     direct = fit(df, NET, Solver(0.2), 2, 2, 10, weights=start)
-    stored = fit(df, NET, Solver(0.2), 2, 2, 10, weights=start, segments=Segments(str(tmp_path / "seg"), 16))
+    stored = fit(df, NET, Solver(0.2), 2, 2, 10, weights=start, segments=open_segments(spark, str(tmp_path / "seg"), 16))
     assert same(blobs_of(direct.weights), blobs_of(stored.weights))
     weighted = fit(df, NET, Solver(0.2), 1, 2, 10, weights=start, weighted=True)
     counts = {r["worker"]: r["worker_rows"] for r in worker_counts(df).collect()}

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 from gradloom.operators.joins import attach_labels, gather, hot_keys, missing_labels, salted_join
 from gradloom.operators.numbering import number_rows
 from gradloom.operators.samples import persisted, widen
-from gradloom.operators.workers import (assign_workers, assign_workers_in_place, read_round, round_starts, round_window,
-                                        skip_rows, worker_counts, write_segments)
+from gradloom.operators.workers import (assign_workers, assign_workers_in_place, open_segments, round_starts,
+                                        round_window, segment_window, skip_rows, worker_counts, write_segments)
 
 
 def placed(df):
@@ -83,8 +83,9 @@ def test_segments_give_the_same_window(spark, samples, tmp_path, wrap):
     df = assign_workers(samples, 4)
     counts = worker_counts(df)
     write_segments(df, str(tmp_path / "s"), 25)
+    opened = open_segments(spark, str(tmp_path / "s"), 25)
     for round_no in range(3):
-        stored = read_round(spark, str(tmp_path / "s"), 25, counts, 3, 10, round_no, 2, wrap)
+        stored = segment_window(opened, counts, 3, 10, round_no, 2, wrap)
         direct = round_window(df, counts, 3, 10, round_no, 2, wrap)
         assert {tuple(r) for r in stored.select(direct.columns).collect()} == {tuple(r) for r in direct.collect()}
     plan = stored._jdf.queryExecution().executedPlan().toString()
