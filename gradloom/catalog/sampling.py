@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gradloom.catalog.registry import Registry, table
-from gradloom.session import checkpoint_root, cut_lineage
+from gradloom.session import shared_path, stored
 from gradloom.operators.joins import attach_labels, gather, missing_labels
 from gradloom.operators.workers import (assign_workers, assign_workers_in_place, batch_id, round_window, skip_rows,
                                         worker_counts)
@@ -88,7 +86,7 @@ def sample_ids(spark, folder):
 
 @query("SELECT count(*) AS n, 3::BIGINT AS workers FROM orders")
 def workers_in_place(spark, folder):
-    df = cut_lineage(assign_workers_in_place(table(spark, folder, "orders").repartition(8), 3))
+    df = stored(assign_workers_in_place(table(spark, folder, "orders").repartition(8), 3), "workers")
     counts = worker_counts(df)
     return counts.agg(F.sum("worker_rows").alias("n"), F.count(F.lit(1)).alias("workers"))
 
@@ -117,7 +115,7 @@ def chunk_assign(spark, folder):
 (SELECT count(*) AS n FROM documents)""")
 def shuffled_chunks(spark, folder):
     """Documents dealt into seven chunks in hashed order, written and read back."""
-    path = f"{checkpoint_root(spark)}/chunks-{uuid.uuid4().hex}"
+    path = shared_path(spark, "chunks")
     write_shuffled_chunks(table(spark, folder, "documents").select("doc_id", "text"), 7, path, "doc_id", files_per_chunk=2)
     back = spark.read.parquet(path)
     total = back.agg(F.countDistinct("doc_id")).scalar()

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gradloom.catalog.registry import EMB, Registry, r6, table
@@ -19,7 +17,7 @@ from gradloom.operators.workers import assign_workers, round_window, worker_coun
 from gradloom.plans.fit import fit
 from gradloom.plans.net import softmax_regression
 from gradloom.plans.solver import Solver
-from gradloom.session import checkpoint_root
+from gradloom.session import shared_path
 from gradloom.sources.weights import load_weights, save_weights
 
 REGISTRY = Registry()
@@ -171,7 +169,7 @@ def weights_add_divide(spark, folder):
 SELECT 'ip' AS layer, 0 AS blob, (label * 64 + pos)::INTEGER AS pos, round(v, 6) + 0.0 AS value FROM m""")
 def weights_saved(spark, folder):
     """Class means saved as weights and loaded back."""
-    path = f"{checkpoint_root(spark)}/saved-{uuid.uuid4().hex}"
+    path = shared_path(spark, "saved")
     save_weights(class_mean_weights(spark, folder), path)
     return flat_blobs(load_weights(spark, path))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -15,7 +14,7 @@ from gradloom.operators.weights import MOMENTUM, weights_to_dict
 from gradloom.plans.batches import Blobs, check_weights, feed, list_column, unpack
 from gradloom.plans.kernels import forward_pass
 from gradloom.plans.net import Net
-from gradloom.session import checkpoint_root
+from gradloom.session import stored
 from gradloom.sources.files import open_path
 
 #: Weights up to this size are broadcast; a net's parameter count proves the bound before anything is collected.
@@ -28,14 +27,11 @@ def shared_weights(net: Net, weights: DataFrame, limit: int = BROADCAST_BYTES) -
     Up to `limit` bytes they are broadcast. Larger ones never pass through the driver: they are written to the shared
     folder, where tasks read them.
     """
-    spark = weights.sparkSession
     if net.size() * 8 <= limit:
-        shared = spark.sparkContext.broadcast(weights_to_dict(weights, net))
+        shared = weights.sparkSession.sparkContext.broadcast(weights_to_dict(weights, net))
         return lambda: shared.value
     weights = weights.filter(~F.col("layer").endswith(MOMENTUM))
-    path = f"{checkpoint_root(spark)}/weights-{uuid.uuid4().hex}"
-    weights.write.parquet(path)
-    files = tuple(spark.read.parquet(path).inputFiles())
+    files = tuple(stored(weights, "weights").inputFiles())
 
     def load() -> Blobs:
         blobs = load_published(files, net.dtype)

@@ -24,14 +24,14 @@ def assign_workers(df: DataFrame, workers: int, id_col: str = "sample_id", seed:
 
     Worker and order come from hashes of the sample id, so the shuffle is the same on every run and retry. The id must
     be unique for the hashes to be even; `read_samples` makes one for tables that have none. `buckets`
-    is the number of ranges in which a worker's rows are numbered (default: as many as shuffle partitions).
+    is the number of ranges in which a worker's rows are numbered (default: about four per shuffle partition in all).
     With an own `order`, `bucket` must be given, bounded in rows and not decreasing along it.
     """
     identity = F.col(id_col)
     worker = worker if worker is not None else F.pmod(F.xxhash64(identity), F.lit(workers))
     if order is None:
         order = F.xxhash64(identity, F.lit(seed))
-        buckets = buckets or shuffle_partitions(df.sparkSession)
+        buckets = buckets or max(1, 4 * shuffle_partitions(df.sparkSession) // workers)
         bucket = hash_bucket(order, math.ceil(math.log2(buckets)))
     elif bucket is None:
         raise ValueError("an own order needs a bucket")
@@ -42,7 +42,7 @@ def assign_workers(df: DataFrame, workers: int, id_col: str = "sample_id", seed:
 def assign_workers_in_place(df: DataFrame, workers: int) -> DataFrame:
     """The variant without a shuffle: merged input partitions are the workers, rows keep their order.
 
-    It follows the physical layout of the input, so write or checkpoint the result before using it twice.
+    It follows the physical layout of the input, so store the result (`stored`, `write_segments`) before using it twice.
     """
     merged = df.coalesce(workers)
     rank = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -99,14 +99,16 @@ def segment_of(worker, pos, rows: int):
     return worker * SEGMENTS + F.floor(pos / rows)
 
 
-def write_segments(assigned: DataFrame, path: str, rows: int) -> None:
+def write_segments(assigned: DataFrame, path: str, rows: int, regroup: bool = False) -> None:
     """Write an assigned table in segments of at most `rows` rows of one worker, one folder each.
 
-    A training round then reads the few segments its windows touch instead of scanning every row.
+    A training round then reads the few segments its windows touch instead of scanning every row. An assigned table is
+    already clustered by ranges of positions, so it is written without another shuffle; `regroup` shuffles it to one
+    file per segment, for tables that have been rearranged since.
     """
-    (assigned.withColumn("segment", segment_of(F.col("worker").cast("bigint"), F.col("pos"), rows))
-     .repartition("segment").sortWithinPartitions("segment", "pos")
-     .write.partitionBy("segment").parquet(path))
+    cut = assigned.withColumn("segment", segment_of(F.col("worker").cast("bigint"), F.col("pos"), rows))
+    cut = cut.repartition("segment") if regroup else cut
+    cut.sortWithinPartitions("segment", "pos").write.partitionBy("segment").parquet(path)
 
 
 @dataclass(frozen=True)

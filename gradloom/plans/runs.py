@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,12 +10,12 @@ from gradloom.functions.convert import Conversion
 from gradloom.operators.joins import gather
 from gradloom.operators.samples import apply_null_policy, convert_inputs, persisted
 from gradloom.operators.score import featurize
-from gradloom.operators.workers import assign_workers, assign_workers_in_place
+from gradloom.operators.workers import assign_workers, assign_workers_in_place, open_segments, write_segments
 from gradloom.plans.fit import FitResult, fit
 from gradloom.plans.net import Net
 from gradloom.plans.presets import NETS, RUNS, SOLVERS
 from gradloom.plans.solver import Solver
-from gradloom.session import cut_lineage
+from gradloom.session import shared_path, stored
 from gradloom.sources.chunks import write_shuffled_chunks
 from gradloom.sources.images import read_archived_images
 from gradloom.sources.labels import publish_labels
@@ -27,18 +26,24 @@ def train(preset: str, samples: DataFrame, workers: int, rounds: int, test: Data
           seed: int = 0, **options) -> FitResult:
     """Train a preset's net on (sample_id, inputs...) rows; `net` and `solver` override the preset's.
 
-    Rows are shuffled over the workers or left where they are, and kept in memory or not, as the preset says.
+    Rows are shuffled over the workers or left where they are, as the preset says. Either they are kept in memory, or
+    they are written in segments and each round reads its own.
     """
     run, net, solver = RUNS[preset], net or NETS[preset](), solver or SOLVERS[preset]
     prepare = lambda df: convert_inputs(apply_null_policy(df, net.columns(), on_null), net, ["sample_id"], conversions)
-    if run.shuffle:
-        assigned = assign_workers(prepare(samples), workers, seed=seed)
-    else:
-        assigned = cut_lineage(assign_workers_in_place(prepare(samples), workers))
+    assigned = (assign_workers(prepare(samples), workers, seed=seed) if run.shuffle
+                else assign_workers_in_place(prepare(samples), workers))
     test = prepare(test) if test is not None else None
-    kept = persisted(*[t for t in (assigned, test) if t is not None]) if run.cached else nullcontext()
-    with kept:
-        return fit(assigned, net, solver, rounds, run.tau, run.batch, test=test, eval_every=run.eval_every, seed=seed, **options)
+    options = {"test": test, "eval_every": run.eval_every, "seed": seed, **options}
+    if not run.cached:
+        path, rows = shared_path(samples.sparkSession, "samples"), 4 * run.tau * run.batch
+        write_segments(assigned, path, rows)
+        segments = open_segments(samples.sparkSession, path, rows)
+        return fit(segments.table, net, solver, rounds, run.tau, run.batch, segments=segments, **options)
+    if not run.shuffle:
+        assigned = stored(assigned, "samples")
+    with persisted(*[t for t in (assigned, test) if t is not None]):
+        return fit(assigned, net, solver, rounds, run.tau, run.batch, **options)
 
 
 def extract_features(preset: str, samples: DataFrame, weights: DataFrame, blob: str, net: Net | None = None,

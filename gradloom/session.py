@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as a new Parquet table in the shared folder and read it back: the lineage cut for large tables."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors, once per session, as `--py-files` would."""
     context = spark.sparkContext

@@ -43,15 +43,15 @@ def _chunks(spark: SparkSession, path: str, dims: int, magic: int) -> DataFrame:
         (count * F.col("record_bytes")).alias("size")))
 
 
-def decode_idx_images(chunks: DataFrame) -> DataFrame:
-    """(path, record_index, data) from headerless chunks that carry their `record_bytes`."""
+def decode_idx_images(chunks: DataFrame, raw: bool = False) -> DataFrame:
+    """(path, record_index, data) from headerless chunks that carry their `record_bytes`; `raw` keeps bytes."""
     count = F.floor(F.length("content") / F.col("record_bytes")).cast("int")
     size = F.col("record_bytes").cast("int")
     pieces = F.transform(F.sequence(F.lit(0), count - 1),
                          lambda i: F.substring(F.col("content"), i * size + 1, size))
     return (indexed(chunks, ["path", "first_record"], pieces, "at", "record")
             .select("path", (F.col("first_record") + F.col("at")).alias("record_index"),
-                    unsigned_bytes(F.col("record")).alias("data")))
+                    (F.col("record") if raw else unsigned_bytes(F.col("record"))).alias("data")))
 
 
 def decode_idx_labels(chunks: DataFrame) -> DataFrame:
@@ -60,9 +60,9 @@ def decode_idx_labels(chunks: DataFrame) -> DataFrame:
         "path", "record_index", byte_at(F.col("record"), F.lit(0)).cast("bigint").alias("label"))
 
 
-def read_idx_images(spark: SparkSession, path: str) -> DataFrame:
+def read_idx_images(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
     """Images of an IDX3 file; count and extents come from its header."""
-    return decode_idx_images(_chunks(spark, path, 3, IMAGE_MAGIC))
+    return decode_idx_images(_chunks(spark, path, 3, IMAGE_MAGIC), raw)
 
 
 def read_idx_labels(spark: SparkSession, path: str) -> DataFrame:

@@ -53,6 +53,8 @@ def test_fixed_records(spark, tmp_path):
     (tmp_path / "readme.html").write_text("not records")
     df = records.read_fixed_records(spark, str(tmp_path))
     rows = {(r["split"], r["record_index"]): r for r in df.collect()}
+    kept = {(r["split"], r["record_index"]): r["data"] for r in records.read_fixed_records(spark, str(tmp_path), raw=True).collect()}
+    assert all(list(kept[k]) == rows[k]["data"] for k in rows)
     assert len(rows) == 12 and len({r["sample_id"] for r in rows.values()}) == 12
     for split, data in [("train", train), ("test", test)]:
         for at, expected in enumerate(data):

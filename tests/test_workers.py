@@ -78,11 +78,11 @@ def test_small_workers_fail_or_wrap(samples):
     assert all(sorted(r["offset"] for r in rows if r["worker"] == w) == list(range(100)) for w in range(4))
 
 
-@pytest.mark.parametrize("wrap", [False, True])
-def test_segments_give_the_same_window(spark, samples, tmp_path, wrap):
+@pytest.mark.parametrize("wrap,regroup", [(False, False), (True, False), (True, True)])
+def test_segments_give_the_same_window(spark, samples, tmp_path, wrap, regroup):
     df = assign_workers(samples, 4)
     counts = worker_counts(df)
-    write_segments(df, str(tmp_path / "s"), 25)
+    write_segments(df, str(tmp_path / "s"), 25, regroup)
     opened = open_segments(spark, str(tmp_path / "s"), 25)
     for round_no in range(3):
         stored = segment_window(opened, counts, 3, 10, round_no, 2, wrap)
