@@ -12,11 +12,10 @@ import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.session import shuffle_partitions
-from gradloom.sources.files import basename, list_files, open_path, read_ranges
+from gradloom.sources.files import basename, file_system, list_files, open_path, read_ranges, whole_files
 
 INDEX_SCHEMA = "path string, parent string, member string, offset bigint, size bigint"
 
@@ -64,8 +63,15 @@ def read_members(index: DataFrame, num_parts: int | None = None) -> DataFrame:
         "path", "parent", "member", basename(F.col("member")).alias("filename"), "content")
 
 
-def read_tar(spark: SparkSession, path: str, num_parts: int | None = None, glob: str | None = None) -> DataFrame:
-    """Every regular file of every archive below `path`."""
+def read_tar(spark: SparkSession, path: str, num_parts: int | None = None, glob: str | None = None,
+             whole: bool = False) -> DataFrame:
+    """Every regular file of every archive below `path`. `whole` reads archives through Spark (see `whole_files`)."""
+    if whole:
+        archives = whole_files(spark, path, glob, recursive=True)
+        archives = archives.repartition(num_parts) if num_parts else archives
+        members = expand_tar(archives.select("path", "content"))
+        return members.select("path", basename(F.col("path")).alias("parent"), "member",
+                              basename(F.col("member")).alias("filename"), "content")
     return read_members(index_tar(list_archives(spark, path, num_parts, glob)), num_parts)
 
 
@@ -104,7 +110,7 @@ def land_members(members: DataFrame, directory: str) -> DataFrame:
         "-", F.hex(F.xxhash64("path", "parent", "member")), "filename").alias("landed"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = pyarrow.fs.FileSystem.from_uri(directory)
+        files, root = file_system(directory)
         files.create_dir(root, recursive=True)
         for batch in batches:
             for row in range(batch.num_rows):

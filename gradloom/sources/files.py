@@ -46,14 +46,32 @@ def require_files(spark: SparkSession, directory: str, names: Sequence[str]) ->
         raise FileNotFoundError(f"{directory} lacks {', '.join(missing)}")
 
 
-def open_path(path: str) -> pa.NativeFile:
-    """Open a Spark file path inside a task."""
+def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The Arrow file system and inner path of a Spark path."""
     if path.startswith("file:"):
         path = "/" + path[len("file:"):].lstrip("/")
-    files, name = pyarrow.fs.FileSystem.from_uri(path)
+    scheme, colon, rest = path.partition("://")
+    if scheme in ("s3a", "s3n"):
+        path = f"s3{colon}{rest}"
+    return pyarrow.fs.FileSystem.from_uri(path)
+
+
+def open_path(path: str) -> pa.NativeFile:
+    """Open a Spark path inside a task."""
+    files, name = file_system(path)
     return files.open_input_file(name)
 
 
+def whole_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """(path, first_record, content): every file as one chunk, read by Spark.
+
+    For stores that only Spark can open; a file must stay below 2 GB and is handled by one task.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    reader = reader.option("pathGlobFilter", glob) if glob else reader
+    return reader.load(path).select("path", F.lit(0).cast("bigint").alias("first_record"), "content")
+
+
 def read_ranges(ranges: DataFrame, num_parts: int | None = None) -> DataFrame:
     """Append `content`, the bytes [offset, offset + size) of `path`, to every row.
 
@@ -95,7 +113,9 @@ def record_ranges(files: DataFrame, record_bytes: int, header_bytes: int = 0,
 
 def split_records(chunks: DataFrame, record_bytes: int) -> DataFrame:
     """One row per record: (path, record_index, record). `chunks` has path, first_record and content."""
-    count = F.floor(F.length("content") / record_bytes).cast("int")
+    length = F.length("content")
+    count = F.when(length % record_bytes == 0, F.floor(length / record_bytes)).otherwise(F.raise_error(F.concat(
+        F.col("path"), F.lit(f" is not a whole number of {record_bytes}-byte records")))).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), count - 1),
                          lambda i: F.substring(F.col("content"), i * record_bytes + 1, F.lit(record_bytes)))
     return (indexed(chunks.filter(F.length("content") > 0), ["path", "first_record"], pieces, "at", "record")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.functions.convert import byte_at, unsigned_bytes
 from gradloom.functions.shapes import sized, volume
-from gradloom.sources.files import basename, list_files, read_ranges, record_ranges, require_files, split_records
+from gradloom.sources.files import basename, list_files, read_ranges, record_ranges, require_files, split_records, whole_files
 
 # The file names of the 32x32 image set.
 TRAIN_FILES = ["data_batch_1.bin", "data_batch_2.bin", "data_batch_3.bin", "data_batch_4.bin", "data_batch_5.bin"]
@@ -34,9 +34,14 @@ def decode_fixed_records(chunks: DataFrame, shape: Sequence[int], test_file: str
 
 
 def read_fixed_records(spark: SparkSession, path: str, shape: Sequence[int] = (3, 32, 32), glob: str = "*.bin",
-                       required: Sequence[str] | None = None, raw: bool = False) -> DataFrame:
-    """Records of `1 + volume(shape)` bytes; a file that ends inside a record is an error."""
+                       required: Sequence[str] | None = None, raw: bool = False, whole: bool = False) -> DataFrame:
+    """Records of `1 + volume(shape)` bytes; a file that ends inside a record is an error.
+
+    `whole` reads files through Spark (see `whole_files`).
+    """
     if required:
         require_files(spark, path, required)
+    if whole:
+        return decode_fixed_records(whole_files(spark, path, glob), shape, raw=raw)
     ranges = record_ranges(list_files(spark, path, glob), 1 + volume(shape))
     return decode_fixed_records(read_ranges(ranges), shape, raw=raw)

@@ -55,6 +55,8 @@ def test_fixed_records(spark, tmp_path):
     rows = {(r["split"], r["record_index"]): r for r in df.collect()}
     kept = {(r["split"], r["record_index"]): r["data"] for r in records.read_fixed_records(spark, str(tmp_path), raw=True).collect()}
     assert all(list(kept[k]) == rows[k]["data"] for k in rows)
+    through_spark = records.read_fixed_records(spark, str(tmp_path), whole=True)
+    assert {r["sample_id"] for r in through_spark.collect()} == {r["sample_id"] for r in rows.values()}
     assert len(rows) == 12 and len({r["sample_id"] for r in rows.values()}) == 12
     for split, data in [("train", train), ("test", test)]:
         for at, expected in enumerate(data):
@@ -74,8 +76,9 @@ def test_truncated_record_fails(spark, tmp_path):
     write_records(tmp_path / "data_batch_1.bin", 2)
     with open(tmp_path / "data_batch_1.bin", "ab") as f:
         f.write(b"\1\2")
-    with pytest.raises(Exception, match="not a whole number of 3073-byte records"):
-        records.read_fixed_records(spark, str(tmp_path)).collect()
+    for whole in (False, True):
+        with pytest.raises(Exception, match="not a whole number of 3073-byte records"):
+            records.read_fixed_records(spark, str(tmp_path), whole=whole).collect()
 
 
 def test_required_files(spark, tmp_path):
@@ -123,6 +126,8 @@ def test_tar_to_labelled_images(spark, tmp_path):
     (source / "train.00000.tar").write_bytes(body)
     members = archives.read_tar(spark, str(source))
     assert sorted(r["member"] for r in members.collect()) == ["x/broken.png", "x/n1.png", "x/n2.png", "x/n3.png"]
+    through_spark = archives.read_tar(spark, str(source), whole=True)
+    assert through_spark.exceptAll(members).count() == 0 and through_spark.count() == 4
     decoded = images.read_archived_images(members, str(landing), 3, 4)
     rows = {r["filename"]: np.frombuffer(r["data"], "u1").reshape(3, 3, 4) for r in decoded.collect()}
     assert set(rows) == set(colours)
@@ -220,3 +225,16 @@ def test_weights_round_trip(spark, tmp_path):
 def test_create_samples(spark):
     df = tabular.create_samples(spark, [([1.0], 2)], "data array<float>, label int")
     assert df.first() == ([1.0], 2)
+
+
+def test_paths_of_other_stores(tmp_path):
+    for path in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert files.file_system(path)[1] == str(tmp_path)
+
+
+def test_range_reads_keep_their_width(spark, tmp_path):
+    write_records(tmp_path / "data_batch_1.bin", 64)
+    ranges = files.record_ranges(files.list_files(spark, str(tmp_path)), 3073, range_bytes=3073)
+    read = files.read_ranges(ranges, 16)
+    used = read.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > 8
