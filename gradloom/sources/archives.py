@@ -101,13 +101,15 @@ def expand_tar(archives: DataFrame, content: str = "content") -> DataFrame:
     return archives.mapInArrow(expand, schema + "member string, content binary")
 
 
-def land_members(members: DataFrame, directory: str) -> DataFrame:
+def land_members(members: DataFrame, directory: str, unique_names: bool = False) -> DataFrame:
     """Write members as single files, for readers that open files only; returns (filename, landed).
 
-    Names are hashed from archive and member, so a repeated task overwrites its own files with the same bytes.
+    Unless file names are unique, a hash of archive and member goes before them. A repeated task overwrites its own
+    files with the same bytes.
     """
-    named = members.select("filename", "content", F.concat_ws(
-        "-", F.hex(F.xxhash64("path", "parent", "member")), "filename").alias("landed"))
+    name = F.col("filename") if unique_names else F.concat_ws(
+        "-", F.hex(F.xxhash64("path", "parent", "member")), "filename")
+    named = members.select("filename", "content", name.alias("landed"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = file_system(directory)
