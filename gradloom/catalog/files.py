@@ -12,7 +12,7 @@ from gradloom.catalog.preparation import PLANES, image_struct, pixel_bytes
 from gradloom.catalog.registry import Registry, elements, table
 from gradloom.functions.convert import byte_at, unsigned_bytes
 from gradloom.operators.joins import attach_labels
-from gradloom.session import shared_path
+from gradloom.session import shared_path, stored
 from gradloom.sources.archives import expand_tar, land_members, read_nested_tar, read_tar
 from gradloom.sources.files import basename
 from gradloom.sources.idx import (IMAGE_MAGIC, LABEL_MAGIC, decode_idx_images, decode_idx_labels, idx_header, read_idx_images,
@@ -197,7 +197,7 @@ def image_archives(spark, folder):
     labels_path = shared_path(spark, "labels")
     publish_labels(df.select(F.concat(F.lit("y/"), name).alias("filename"), "label"), labels_path)
     members = read_tar(spark, _landed(spark, archives, "image-tars"))
-    images = read_archived_images(members, shared_path(spark, "images"), 4, 4)
+    images = stored(read_archived_images(members, shared_path(spark, "images"), 4, 4), "decoded")
     labelled = attach_labels(images, read_labels(spark, labels_path))
     rows = labelled.select(F.split("filename", "[.]")[0].cast("bigint").alias("vec_id"), "label", unsigned_bytes(F.col("data")).alias("v"))
     return elements(rows, ["vec_id", "label"], F.col("v"))

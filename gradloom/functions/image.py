@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 import numpy as np
@@ -114,6 +115,7 @@ def _planar(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return pixels.transpose(2, 0, 1)
 
 
+@functools.lru_cache(maxsize=64)
 def resampling(source: int, target: int) -> np.ndarray:
     """Weights (target, source) along one axis: box average when shrinking, linear interpolation when growing."""
     if target <= source:

@@ -37,7 +37,8 @@ def attach_labels(images: DataFrame, labels: DataFrame, on_missing: str = "error
                   label: str = "label") -> DataFrame:
     """Add the label of each image's key. A key without label fails the job, or drops the row (`drop`).
 
-    Labels hold one row per key (see `read_labels`); many images may share a key.
+    Labels hold one row per key (see `read_labels`); many images may share a key. To find hot keys the images are read
+    twice more, for their key only, so store them first when they are expensive to make.
     """
     if on_missing not in ("error", "drop"):
         raise ValueError(f"on_missing is error or drop, not {on_missing}")

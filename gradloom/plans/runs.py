@@ -68,7 +68,7 @@ def weights_of(weights: DataFrame, net: Net) -> DataFrame:
 def chunk_images(members: DataFrame, labels: DataFrame, n_chunks: int, landing: str, path: str, height: int, width: int,
                  seed: int = 0, prefix: str = "train", digits: int = 5, files_per_chunk: int = 1) -> None:
     """Archive members and labels to shuffled chunks of resized, labelled images, with the label file beside them."""
-    images = read_archived_images(members, landing, height, width)
+    images = stored(read_archived_images(members, landing, height, width), "images")
     labelled = gather(labels, images)
     write_shuffled_chunks(labelled, n_chunks, f"{path}/chunks", "filename", seed, prefix, digits, files_per_chunk)
     publish_labels(labels, f"{path}/labels")

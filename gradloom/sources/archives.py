@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.session import shuffle_partitions
-from gradloom.sources.files import basename, file_system, list_files, open_path, read_ranges, whole_files
+from gradloom.sources.files import BATCH_BYTES, basename, file_system, list_files, open_path, read_ranges, whole_files
 
 INDEX_SCHEMA = "path string, parent string, member string, offset bigint, size bigint"
 
@@ -72,35 +72,51 @@ def read_tar(spark: SparkSession, path: str, num_parts: int | None = None, glob:
         members = expand_tar(archives.select("path", "content"))
         return members.select("path", basename(F.col("path")).alias("parent"), "member",
                               basename(F.col("member")).alias("filename"), "content")
-    return read_members(index_tar(list_archives(spark, path, num_parts, glob)), num_parts)
+    width = num_parts or shuffle_partitions(spark)
+    return read_members(index_tar(list_archives(spark, path, width, glob)), width)
 
 
 def read_nested_tar(spark: SparkSession, path: str, num_parts: int | None = None) -> DataFrame:
     """Every file inside the archives that an archive consists of."""
-    return read_members(index_tar(index_tar(list_archives(spark, path, num_parts))), num_parts)
+    width = num_parts or shuffle_partitions(spark)
+    return read_members(index_tar(index_tar(list_archives(spark, path, width))), width)
 
 
 def expand_tar(archives: DataFrame, content: str = "content") -> DataFrame:
-    """Members of archives that are already held as bytes; the other columns are kept. Entries leave one by one."""
+    """Members of archives that are already held as bytes; the other columns are kept. Entries leave in small batches."""
     kept = [c for c in archives.columns if c != content]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in archives.schema if f.name != content)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                body = io.BytesIO(one.column(content)[0].as_py())
-                with tarfile.open(fileobj=body, mode="r|") as archive:
-                    for entry in archive:
-                        if entry.isfile():
-                            data = archive.extractfile(entry).read()
-                            yield pa.RecordBatch.from_arrays(
-                                [*(one.column(c) for c in kept), pa.array([entry.name]), pa.array([data], pa.binary())],
-                                [*kept, "member", "content"])
+                one = batch.slice(row, 1).select(kept)
+                names, bodies, held_bytes = [], [], 0
+                for name, data in _members(batch.column(content)[row].as_py()):
+                    names.append(name)
+                    bodies.append(data)
+                    held_bytes += len(data)
+                    if held_bytes >= BATCH_BYTES:
+                        yield emit(one, names, bodies)
+                        names, bodies, held_bytes = [], [], 0
+                if names:
+                    yield emit(one, names, bodies)
+
+    def emit(one: pa.RecordBatch, names: list[str], bodies: list[bytes]) -> pa.RecordBatch:
+        repeated = [column.take(pa.array([0] * len(names))) for column in one.columns]
+        return pa.RecordBatch.from_arrays([*repeated, pa.array(names), pa.array(bodies, pa.binary())],
+                                          [*kept, "member", "content"])
 
     return archives.mapInArrow(expand, schema + "member string, content binary")
 
 
+def _members(archive: bytes) -> Iterator[tuple[str, bytes]]:
+    with tarfile.open(fileobj=io.BytesIO(archive), mode="r|") as entries:
+        for entry in entries:
+            if entry.isfile():
+                yield entry.name, entries.extractfile(entry).read()
+
+
 def land_members(members: DataFrame, directory: str, unique_names: bool = False) -> DataFrame:
     """Write members as single files, for readers that open files only; returns (filename, landed).
 

@@ -17,6 +17,8 @@ from gradloom.session import shuffle_partitions
 
 #: Bytes that one row of a ranged read may carry.
 RANGE_BYTES = 16 << 20
+#: Bytes after which a task hands on the small contents it has gathered.
+BATCH_BYTES = 4 << 20
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
@@ -72,6 +74,10 @@ def whole_files(spark: SparkSession, path: str, glob: str | None = None, recursi
     return reader.load(path).select("path", F.lit(0).cast("bigint").alias("first_record"), "content")
 
 
+def with_content(rows: pa.RecordBatch, contents: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(contents, pa.binary())], [*rows.schema.names, "content"])
+
+
 def read_ranges(ranges: DataFrame, num_parts: int | None = None) -> DataFrame:
     """Append `content`, the bytes [offset, offset + size) of `path`, to every row.
 
@@ -80,16 +86,17 @@ def read_ranges(ranges: DataFrame, num_parts: int | None = None) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             opened: dict[str, pa.NativeFile] = {}
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                path, offset, size = (one.column(c)[0].as_py() for c in ("path", "offset", "size"))
+            held, first, held_bytes = [], 0, 0
+            for row, (path, offset, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "size")))):
                 if path not in opened:
                     opened = {path: open_path(path)}
-                content = opened[path].read_at(size, offset)
-                if len(content) != size:
+                held.append(opened[path].read_at(size, offset))
+                if len(held[-1]) != size:
                     raise EOFError(f"{path} ends before byte {offset + size}")
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([content], pa.binary())],
-                                                 [*one.schema.names, "content"])
+                held_bytes += size
+                if held_bytes >= BATCH_BYTES or row == batch.num_rows - 1:
+                    yield with_content(batch.slice(first, len(held)), held)
+                    held, first, held_bytes = [], row + 1, 0
 
     spread = ranges.repartition(num_parts or shuffle_partitions(ranges.sparkSession), "path", "offset")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranges.schema) + ", content binary"
