@@ -17,7 +17,7 @@ from gradloom.operators.workers import assign_workers, round_window, worker_coun
 from gradloom.plans.fit import fit
 from gradloom.plans.net import softmax_regression
 from gradloom.plans.solver import Solver
-from gradloom.session import shared_path
+from gradloom.session import cut_lineage, shared_path
 from gradloom.sources.weights import load_weights, save_weights
 
 REGISTRY = Registry()
@@ -31,13 +31,16 @@ def flat_blobs(weights, *keys):
 
 
 def class_mean_weights(spark, folder, worker=None):
-    """Weights derived from data: row c of layer `ip` is the mean embedding of class c."""
+    """Weights derived from data: row c of layer `ip` is the mean embedding of class c.
+
+    Checkpointed as a trained table would be; with constant keys in the plan a join on them would lose its keys.
+    """
     keys = ["worker"] if worker is not None else []
     df = table(spark, folder, "embeddings").withColumns({"worker": worker} if worker is not None else {})
     means = mean_by_position(df, "embedding", [*keys, "label"]).withColumn("pos", F.col("label") * 64 + F.col("pos"))
     rows = means.groupBy(*keys).agg(as_array("pos", "mean").alias("values"))
-    return rows.select(*keys, F.lit("ip").alias("layer"), F.lit(0).alias("blob"), F.array(F.lit(10), F.lit(64)).alias("shape"),
-                       F.lit(0).alias("chunk"), "values")
+    return cut_lineage(rows.select(*keys, F.lit("ip").alias("layer"), F.lit(0).alias("blob"),
+                                   F.array(F.lit(10), F.lit(64)).alias("shape"), F.lit(0).alias("chunk"), "values"))
 
 
 GRADIENT = f"""{PROBS}, onehot AS (SELECT vec_id, c, p - (c = label)::INTEGER AS d FROM p),
