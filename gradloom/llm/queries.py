@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.catalog.registry import Registry, table
-from gradloom.llm import licenses, mixing, warc
+from gradloom.llm import licenses, mixing, toxicity, warc
 from gradloom.session import shared_path
 
 REGISTRY = Registry()
@@ -50,4 +50,9 @@ def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(table(spark, folder, "documents"))
 
 
+@REGISTRY.query(None)
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = REGISTRY.queries
