@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.catalog.registry import Registry, table
-from gradloom.llm import licenses, mixing, toxicity, warc
+from gradloom.llm import language_model, licenses, mixing, toxicity, warc
 from gradloom.session import shared_path
 
 REGISTRY = Registry()
@@ -55,4 +55,9 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@REGISTRY.query(None)
+def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_corpus(table(spark, folder, "documents"))
+
+
 QUERIES = REGISTRY.queries
