@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.catalog.registry import Registry, table
-from gradloom.llm import language_model, licenses, mixing, toxicity, warc
-from gradloom.session import shared_path
+from gradloom.llm import language_model, licenses, mixing, near_duplicates, toxicity, warc
+from gradloom.session import shared_path, stored
 
 REGISTRY = Registry()
 # Fixed value: the base32 alphabet.
@@ -60,4 +60,13 @@ def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.score_corpus(table(spark, folder, "documents"))
 
 
+@REGISTRY.query(None)
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """class_id is the smallest doc_id of the class, or null if all are null."""
+    classes = near_duplicates.near_duplicates(table(spark, folder, "documents"))
+    classes = stored(classes, "document-classes")
+    names = stored(classes.groupBy("class_id").agg(F.min("doc_id").alias("name"), F.count("*").alias("members")), "class-names")
+    return classes.join(names, "class_id").select("doc_id", F.col("name").alias("class_id"), "members")
+
+
 QUERIES = REGISTRY.queries
