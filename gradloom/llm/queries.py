@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.catalog.registry import Registry, table
-from gradloom.llm import language_model, licenses, mixing, near_duplicates, toxicity, warc
+from gradloom.llm import decontaminate, language_model, licenses, mixing, near_duplicates, toxicity, warc
 from gradloom.session import shared_path, stored
 
 REGISTRY = Registry()
@@ -69,4 +69,19 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return classes.join(names, "class_id").select("doc_id", F.col("name").alias("class_id"), "members")
 
 
+SHINGLES_SQL = r"""{0}_words AS (SELECT {1} AS id, rowid AS n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT *, row_number() OVER () AS rowid FROM {0})),
+{0}_shingles AS (SELECT DISTINCT id, n, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS x FROM {0}_words)"""
+CONTAINED_SQL = "WITH " + SHINGLES_SQL.format("documents", "doc_id") + ", " + SHINGLES_SQL.format("benchmark", "item_id") + """,
+sizes AS (SELECT id, n, count(*) AS item_shingles FROM benchmark_shingles GROUP BY id, n),
+hits AS (SELECT d.id AS doc_id, d.n AS dn, b.id AS item_id, b.n AS bn, count(*) AS shared FROM documents_shingles d JOIN benchmark_shingles b USING (x) GROUP BY ALL)
+SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS containment FROM hits JOIN sizes ON bn = sizes.n WHERE shared >= 0.8 * item_shingles - 1e-9"""
+
+
+@REGISTRY.query(CONTAINED_SQL)
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("row_id")
+
+
 QUERIES = REGISTRY.queries
