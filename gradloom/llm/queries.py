@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.catalog.registry import Registry, table
-from gradloom.llm import decontaminate, language_model, licenses, mixing, near_duplicates, toxicity, warc
+from gradloom.llm import decontaminate, language_model, licenses, mixing, near_duplicates, suffixes, toxicity, warc
 from gradloom.session import shared_path, stored
 
 REGISTRY = Registry()
@@ -84,4 +84,9 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("row_id")
 
 
+@REGISTRY.query(None)
+def op7_shared_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.shared_passages(table(spark, folder, "documents")).drop("row_id")
+
+
 QUERIES = REGISTRY.queries
