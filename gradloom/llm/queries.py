@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.catalog.registry import Registry, table
-from gradloom.llm import decontaminate, language_model, licenses, mixing, near_duplicates, suffixes, toxicity, warc
+from gradloom.llm import decontaminate, language_model, licenses, mixing, near_duplicates, privacy, suffixes, toxicity, warc
 from gradloom.session import shared_path, stored
 
 REGISTRY = Registry()
@@ -89,4 +89,9 @@ def op7_shared_passages(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.shared_passages(table(spark, folder, "documents")).drop("row_id")
 
 
+@REGISTRY.query(None)
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return privacy.digest(privacy.personal_data(table(spark, folder, "documents")))
+
+
 QUERIES = REGISTRY.queries
