@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.catalog.registry import Registry, table
-from gradloom.llm import decontaminate, language_model, licenses, mixing, near_duplicates, privacy, suffixes, toxicity, warc
+from gradloom.llm import decontaminate, language_model, licenses, mixing, near_duplicates, privacy, suffixes, toxicity, vector_search, warc
 from gradloom.session import shared_path, stored
 
 REGISTRY = Registry()
@@ -94,4 +94,9 @@ def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return privacy.digest(privacy.personal_data(table(spark, folder, "documents")))
 
 
+@REGISTRY.query(None)
+def op4_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_search.nearest(table(spark, folder, "embeddings"))
+
+
 QUERIES = REGISTRY.queries

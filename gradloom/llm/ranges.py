@@ -84,3 +84,10 @@ def neighbours(df: DataFrame, key: str, row: str, order: Sequence[str] = ()) ->
     across = (found.where("NOT twin").select("key", F.lag("a").over(before).alias("a"), "b", F.lag("edge").over(before).alias("was"), "edge")
               .where("a IS NOT NULL AND was % 2 = 1 AND edge % 2 = 0").select("key", "a", "b"))
     return inside.unionByName(across).where("a <> b").distinct()
+
+
+def first_by_hash(df: DataFrame, n: int, most: int, column: str = "h") -> DataFrame:
+    """The `most` rows of the least 64-bit hash in `column`, of n rows. Only about that many leave their tasks, however many tasks there are."""
+    share = min(1.0, 1.2 * most / max(n, 1))
+    limit = min(int(-(1 << 63) + share * (1 << 64)), (1 << 63) - 1)
+    return df.where(F.col(column) <= limit).orderBy(column).limit(most)
