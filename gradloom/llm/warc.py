@@ -183,6 +183,8 @@ def dechunk(body: bytes) -> bytes:
         length = int(body[at:end].split(b";")[0], 16)
         at = end + 2
         if length == 0:
+            while (end := body.index(b"\r\n", at)) > at:  # trailers, up to an empty line
+                at = end + 2
             return b"".join(parts)
         if body[at + length:at + length + 2] != b"\r\n":
             raise ValueError("a chunk ends elsewhere than its length says")
