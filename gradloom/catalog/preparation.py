@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from gradloom.catalog.registry import EMB, PIX, Registry, elements, pixels, r6, table
 from gradloom.functions.convert import signed_bytes, to_float_vector, to_typed, unsigned_bytes, unsigned_bytes_native
-from gradloom.functions.image import crop_chw, prepare_hwc, random_crop, rescale, subtract_mean, to_planar_rgb
+from gradloom.functions.image import crop_chw, crop_corner, prepare_hwc, random_crop, rescale, subtract_mean, to_planar_rgb
 from gradloom.functions.shapes import counting, indexed, let
 from gradloom.operators.means import mean_by_position, mean_image, mean_vector
 from gradloom.operators.samples import apply_null_policy, convert_inputs, null_counts, project, widen, with_scalar
 from gradloom.plans.net import softmax_regression
+from gradloom.session import shuffle_partitions
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -52,20 +53,20 @@ def _checksum(df, vector):
 
 @query(UNSIGNED)
 def bytes_to_vector(spark, folder):
-    df = widen(table(spark, folder, "documents")).withColumn("raw", F.encode("text", "UTF-8"))
+    df = widen(table(spark, folder, "documents"), shuffle_partitions(spark)).withColumn("raw", F.encode("text", "UTF-8"))
     return _checksum(df, unsigned_bytes(F.col("raw")))
 
 
 @query(UNSIGNED)
 def bytes_to_vector_native(spark, folder):
-    df = widen(table(spark, folder, "documents")).withColumn("raw", F.encode("text", "UTF-8"))
+    df = widen(table(spark, folder, "documents"), shuffle_partitions(spark)).withColumn("raw", F.encode("text", "UTF-8"))
     return _checksum(df, unsigned_bytes_native(F.col("raw")))
 
 
 @query(BYTES + """SELECT doc_id, count(*) AS n, sum(s)::DOUBLE AS total, sum(s * (i % 97))::DOUBLE AS checksum
 FROM (SELECT doc_id, i, CASE WHEN u > 127 THEN u - 256 ELSE u END AS s FROM b) GROUP BY doc_id""")
 def bytes_signed(spark, folder):
-    df = widen(table(spark, folder, "documents")).withColumn("raw", F.encode("text", "UTF-8"))
+    df = widen(table(spark, folder, "documents"), shuffle_partitions(spark)).withColumn("raw", F.encode("text", "UTF-8"))
     return _checksum(df, signed_bytes(F.col("raw")))
 
 
@@ -143,11 +144,17 @@ def crop_chw_to_hwc(spark, folder):
     return elements(centred, ["vec_id"], vector)
 
 
-@query(None)
+@query("SELECT vec_id, 90 AS size, true AS same, true AS inside FROM embeddings")
 def crop_random(spark, folder):
-    """The corners are hashes that other engines do not have; tests check them by brute force."""
+    """Each random crop is the image at its corner, value by value, and the corner leaves room for it."""
     image = F.concat("embedding", F.reverse("embedding"), F.transform("embedding", lambda x: -x))
-    return elements(table(spark, folder, "embeddings"), ["vec_id"], random_crop(image, (3, 8, 8), (5, 6), F.col("vec_id")))
+    row, col = crop_corner(F.col("vec_id"), (3, 8, 8), (5, 6))
+    df = table(spark, folder, "embeddings").select("vec_id", image.alias("image"), row.alias("row"), col.alias("col"),
+                                                   random_crop(image, (3, 8, 8), (5, 6), F.col("vec_id")).alias("crop"))
+    at = lambda i: F.floor(i / 30) * 64 + (F.col("row") + F.floor(i % 30 / 6)) * 8 + F.col("col") + i % 6
+    expected = F.transform(F.sequence(F.lit(0), F.lit(89)), lambda i: F.get("image", at(i).cast("int")))
+    return df.select("vec_id", F.size("crop").alias("size"), (F.col("crop") == expected).alias("same"),
+                     (F.col("row").between(0, 3) & F.col("col").between(0, 2)).alias("inside"))
 
 
 @query("""SELECT count(*) FILTER (WHERE quality IS NULL) AS quality, count(*) FILTER (WHERE toxic IS NULL) AS toxic,

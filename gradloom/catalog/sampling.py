@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gradloom.catalog.registry import Registry, table
 from gradloom.session import shared_path, stored
-from gradloom.operators.joins import attach_labels, gather, missing_labels
+from gradloom.operators.joins import attach_labels, gather, missing_images, missing_labels
 from gradloom.operators.workers import (assign_workers, assign_workers_in_place, batch_id, round_window, skip_rows,
                                         worker_counts)
 from gradloom.sources.chunks import assign_chunks, chunk_name, write_shuffled_chunks
@@ -42,10 +42,16 @@ def worker_positions(spark, folder):
     return by_arithmetic(table(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
 
 
-@query(None)
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS ids, sum(o_orderkey)::BIGINT AS total, 4::BIGINT AS workers, true AS complete FROM orders")
 def worker_shuffle(spark, folder):
-    """Workers and order from hashes; tests check that positions are complete."""
-    return assign_workers(table(spark, folder, "orders").select("o_orderkey"), WORKERS, "o_orderkey")
+    """Workers and order from hashes: every row once, and each worker's positions are 0 to its size less 1."""
+    placed = assign_workers(table(spark, folder, "orders").select("o_orderkey"), WORKERS, "o_orderkey")
+    each = placed.groupBy("worker").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("ids"), F.sum("o_orderkey").alias("total"), F.countDistinct("pos").alias("places"),
+        F.min("pos").alias("low"), F.max("pos").alias("high"), F.min("worker_rows").alias("least"), F.max("worker_rows").alias("most"))
+    whole = (F.col("places") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("least") == F.col("n")) & (F.col("most") == F.col("n"))
+    return each.agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("workers"),
+                    F.bool_and(whole).alias("complete"))
 
 
 def _window(spark, folder):
@@ -84,11 +90,14 @@ def sample_ids(spark, folder):
                       F.countDistinct("worker", "pos").alias("places"))
 
 
-@query("SELECT count(*) AS n, 3::BIGINT AS workers FROM orders")
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS ids, sum(o_orderkey)::BIGINT AS total, 3::BIGINT AS workers, true AS complete FROM orders")
 def workers_in_place(spark, folder):
+    """Every row once, and each worker's positions without repeats."""
     df = stored(assign_workers_in_place(table(spark, folder, "orders").repartition(8), 3), "workers")
-    counts = worker_counts(df)
-    return counts.agg(F.sum("worker_rows").alias("n"), F.count(F.lit(1)).alias("workers"))
+    each = df.groupBy("worker").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("ids"), F.sum("o_orderkey").alias("total"),
+                                    F.countDistinct("pos").alias("places"))
+    return each.agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("workers"),
+                    F.bool_and(F.col("places") == F.col("n")).alias("complete"))
 
 
 @query(f"WITH {POS} SELECT worker, pos // 30 AS batch_id, count(*) AS n FROM w GROUP BY worker, pos // 30")
@@ -111,15 +120,16 @@ def chunk_assign(spark, folder):
     return dealt.withColumn("name", chunk_name("train", F.col("chunk"), 5))
 
 
-@query("""SELECT 'train.' || lpad(i::VARCHAR, 5, '0') AS chunk, (n + 6 - i) // 7 AS "rows", n AS total FROM range(7) c(i),
-(SELECT count(*) AS n FROM documents)""")
+@query("""SELECT doc_id, md5(text) AS text, sizes AS chunk_sizes FROM documents, (SELECT list((n + 6 - i) // 7 ORDER BY i) AS sizes FROM range(7) c(i),
+(SELECT count(*) AS n FROM documents))""")
 def shuffled_chunks(spark, folder):
-    """Documents dealt into seven chunks in hashed order, written and read back."""
+    """Documents dealt into seven chunks in hashed order, written and read back: every text, and the chunks' sizes."""
     path = shared_path(spark, "chunks")
     write_shuffled_chunks(table(spark, folder, "documents").select("doc_id", "text"), 7, path, "doc_id", files_per_chunk=2)
     back = spark.read.parquet(path)
-    total = back.agg(F.countDistinct("doc_id")).scalar()
-    return back.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows")).withColumn("total", total)
+    sizes = back.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "n"))), lambda x: x["n"]).alias("sizes"))  # seven rows
+    return back.select("doc_id", F.md5("text").alias("text")).withColumn("chunk_sizes", sizes.scalar())
 
 
 @query("""SELECT documents.doc_id AS doc_id, lang, n_chars, quality FROM documents JOIN labels ON documents.doc_id = labels.doc_id""")
@@ -148,6 +158,17 @@ def label_gather(spark, folder):
     return gather(table(spark, folder, "labels").select("doc_id", "toxic"), docs, "doc_id")
 
 
+@query("SELECT documents.doc_id AS doc_id, lang, toxic FROM documents JOIN labels ON documents.doc_id = labels.doc_id")
+def label_gather_dropped(spark, folder):
+    """The documents stand for label rows, of which many have nothing to fetch."""
+    return gather(table(spark, folder, "documents").select("doc_id", "lang"), table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id", "drop")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def gather_missing(spark, folder):
+    return missing_images(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id")
+
+
 @query("""SELECT f AS filename, arg_max(n, page_id)::INTEGER AS label, count(*) AS lines FROM (
 SELECT page_id, list_last(string_split(url, '/')) AS f, length(html) AS n FROM pages) GROUP BY f""")
 def label_lines(spark, folder):

@@ -13,6 +13,7 @@ from gradloom.operators.score import evaluate, featurize, forward
 from gradloom.operators.weights import blob_values, init_weights, l2_term, matrix_rows, weights_from_dict
 from gradloom.plans import net as n
 from gradloom.plans.presets import cifar_net
+from gradloom.session import shuffle_partitions
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -196,6 +197,6 @@ def average_pooling_flat(spark, folder):
 @query(None)
 def featurize_cifar(spark, folder):
     """The image net's `ip1` activations of tiled embeddings, with drawn initial weights."""
-    df = widen(table(spark, folder, "embeddings")).select("vec_id", F.flatten(F.array_repeat("embedding", 48)).alias("data"))
+    df = widen(table(spark, folder, "embeddings"), shuffle_partitions(spark)).select("vec_id", F.flatten(F.array_repeat("embedding", 48)).alias("data"))
     net = cifar_net()
     return featurize(df, net, init_weights(spark, net, seed=1), "ip1", ["vec_id"], batch=100)

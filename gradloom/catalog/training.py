@@ -13,7 +13,7 @@ from gradloom.functions.shapes import indexed
 from gradloom.operators.means import as_array, mean_by_position
 from gradloom.operators.train import LOSS, gradient, local_sgd_round, sgd_step
 from gradloom.operators.weights import MOMENTUM, add_weights, average_weights, scalar_divide, weights_equal
-from gradloom.operators.workers import assign_workers, round_window, worker_counts
+from gradloom.operators.workers import round_window, worker_counts
 from gradloom.plans.fit import fit
 from gradloom.plans.net import softmax_regression
 from gradloom.plans.solver import Solver
@@ -90,29 +90,33 @@ def local_round_one_step(spark, folder):
     return flat_blobs(average_weights(local, 4))
 
 
-def _two_steps():
-    """SQL of two momentum steps per worker on windows of 2 x 10 rows, and their average."""
+def _rounds(rounds, state="average"):
+    """SQL of rounds of two momentum steps per worker on windows of 2 x 10 rows, with the average of the weights after each."""
     parts = ["""src AS (SELECT vec_id, label, (vec_id % 4) AS worker, embedding, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1
-AS rn, count(*) OVER (PARTITION BY vec_id % 4) AS n FROM embeddings),
-win AS (SELECT vec_id, label, worker, embedding, (rn - (worker * 31 + 7) % (n - 20)) // 10 AS step FROM src
-WHERE rn - (worker * 31 + 7) % (n - 20) BETWEEN 0 AND 19),
-x AS (SELECT vec_id, label, worker, step, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM win
-UNION ALL SELECT vec_id, label, worker, step, 1.0::DOUBLE AS x, 64 AS i FROM win),
-w0 AS (SELECT worker, c, i, CASE WHEN i < 64 THEN ((c * 7 + i) % 5 - 2) / 10.0::DOUBLE ELSE c / 100.0::DOUBLE END AS w, 0.0::DOUBLE AS v
-FROM range(4) s(worker), range(10) a(c), range(65) b(i))"""]
-    for s in (0, 1):
-        parts.append(f"""z{s} AS (SELECT x.worker, vec_id, label, c, sum(x * w) AS z FROM x JOIN w{s} ON x.i = w{s}.i AND x.worker = w{s}.worker
+AS rn, count(*) OVER (PARTITION BY vec_id % 4) AS n FROM embeddings)"""]
+    carried = {"average": "avg(v) OVER (PARTITION BY c, i)", "local": "v", "reset": "0.0::DOUBLE"}[state]
+    for r in range(rounds):
+        parts.append(f"""win{r} AS (SELECT vec_id, label, worker, embedding, (rn - (worker * 31 + 7 + {13 * r}) % (n - 20)) // 10 AS step FROM src
+WHERE rn - (worker * 31 + 7 + {13 * r}) % (n - 20) BETWEEN 0 AND 19),
+x{r} AS (SELECT vec_id, label, worker, step, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM win{r}
+UNION ALL SELECT vec_id, label, worker, step, 1.0::DOUBLE AS x, 64 AS i FROM win{r})""")
+        parts.append("""w0_0 AS (SELECT worker, c, i, CASE WHEN i < 64 THEN ((c * 7 + i) % 5 - 2) / 10.0::DOUBLE ELSE c / 100.0::DOUBLE END AS w, 0.0::DOUBLE AS v
+FROM range(4) s(worker), range(10) a(c), range(65) b(i))""" if r == 0 else
+                     f"w{r}_0 AS (SELECT worker, c, i, avg(w) OVER (PARTITION BY c, i) AS w, {carried} AS v FROM w{r - 1}_2)")
+        for s in (0, 1):
+            t = f"{r}_{s}"
+            parts.append(f"""z{t} AS (SELECT x.worker, vec_id, label, c, sum(x * w) AS z FROM x{r} x JOIN w{t} w ON x.i = w.i AND x.worker = w.worker
 WHERE step = {s} GROUP BY x.worker, vec_id, label, c),
-e{s} AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM z{s}),
-d{s} AS (SELECT worker, vec_id, c, e / sum(e) OVER (PARTITION BY vec_id) - (c = label)::INTEGER AS d FROM e{s}),
-g{s} AS (SELECT d{s}.worker, c, i, avg(d * x) AS g FROM d{s} JOIN x ON d{s}.vec_id = x.vec_id GROUP BY d{s}.worker, c, i),
-w{s + 1} AS (SELECT w{s}.worker, w{s}.c, w{s}.i, w + 0.9::DOUBLE * v - 0.5::DOUBLE * (g + 0.01::DOUBLE * w) AS w,
-0.9::DOUBLE * v - 0.5::DOUBLE * (g + 0.01::DOUBLE * w) AS v FROM w{s} JOIN g{s} ON w{s}.worker = g{s}.worker AND w{s}.c = g{s}.c AND w{s}.i = g{s}.i)""")
-    return "WITH " + ", ".join(parts) + """ SELECT 'ip' AS layer, (i = 64)::INTEGER AS blob,
-(CASE WHEN i < 64 THEN c * 64 + i ELSE c END)::INTEGER AS pos, round(avg(w), 6) + 0.0 AS value FROM w2 GROUP BY c, i"""
+e{t} AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM z{t}),
+d{t} AS (SELECT worker, vec_id, c, e / sum(e) OVER (PARTITION BY vec_id) - (c = label)::INTEGER AS d FROM e{t}),
+g{t} AS (SELECT d.worker, c, i, avg(d * x) AS g FROM d{t} d JOIN x{r} x ON d.vec_id = x.vec_id GROUP BY d.worker, c, i),
+w{r}_{s + 1} AS (SELECT w.worker, w.c, w.i, w + 0.9::DOUBLE * v - 0.5::DOUBLE * (g + 0.01::DOUBLE * w) AS w,
+0.9::DOUBLE * v - 0.5::DOUBLE * (g + 0.01::DOUBLE * w) AS v FROM w{t} w JOIN g{t} g ON w.worker = g.worker AND w.c = g.c AND w.i = g.i)""")
+    return "WITH " + ", ".join(parts) + f""" SELECT 'ip' AS layer, (i = 64)::INTEGER AS blob,
+(CASE WHEN i < 64 THEN c * 64 + i ELSE c END)::INTEGER AS pos, round(avg(w), 6) + 0.0 AS value FROM w{rounds - 1}_2 GROUP BY c, i"""
 
 
-@query(_two_steps())
+@query(_rounds(1))
 def local_round_two_steps(spark, folder):
     """A round of two momentum steps on each worker's window, then the average."""
     df = by_arithmetic(table(spark, folder, "embeddings"))
@@ -199,11 +203,24 @@ def lr_schedule(spark, folder):
         learning_rate(step, "fixed", 0.001).alias("fixed"))
 
 
-@query(None)
+def _fit(spark, folder, state):
+    df = cut_lineage(by_arithmetic(table(spark, folder, "embeddings")))
+    solver = Solver(0.5, momentum=0.9, decay=0.01, momentum_state=state)
+    start = lambda round_no: (F.col("worker") * 31 + 7 + 13 * round_no) % (F.col("worker_rows") - 20)
+    return flat_blobs(fit(df, NET, solver, rounds=2, tau=2, batch=10, weights=fixed_weights(spark, NET), start=start).weights)
+
+
+@query(_rounds(2))
 def fit_rounds(spark, folder):
-    """Three rounds of four steps on four workers with hashed workers, order and windows: the loss per round."""
-    df = assign_workers(table(spark, folder, "embeddings"), 4, "vec_id").persist()
-    solver = Solver(0.5, momentum=0.9)
-    result = fit(df, NET, solver, rounds=3, tau=4, batch=10, weights=fixed_weights(spark, NET), test=df, eval_every=1)
-    df.unpersist()
-    return result.history.select("round", "metric", r6("value").alias("value"))
+    """Two rounds of two steps on four workers; the momentum is averaged with the weights."""
+    return _fit(spark, folder, "average")
+
+
+@query(_rounds(2, "local"))
+def fit_rounds_local_momentum(spark, folder):
+    return _fit(spark, folder, "local")
+
+
+@query(_rounds(2, "reset"))
+def fit_rounds_reset_momentum(spark, folder):
+    return _fit(spark, folder, "reset")

@@ -48,7 +48,8 @@ def signed_bytes(col: Column) -> Column:
 
 def unsigned_bytes_native(col: Column) -> Column:
     """`binary` -> `array<int>` without leaving the JVM; suits short values."""
-    return F.transform(F.split(F.decode(col, "ISO-8859-1"), ""), lambda c: F.ascii(c))
+    values = F.transform(F.split(F.decode(col, "ISO-8859-1"), ""), lambda c: F.ascii(c))
+    return F.when(F.length(col) == 0, F.array().cast("array<int>")).otherwise(values)
 
 
 def byte_at(col: Column, position) -> Column:

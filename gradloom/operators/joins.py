@@ -4,32 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: A key counts as hot from one in this many rows, so there are at most this many hot keys.
-HOT_SHARE = 256
+from gradloom.session import shuffle_partitions
 
 
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys that hold at least 1/share of the rows: at most `share` of them, whatever the table's size."""
+def hot_keys(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """(key, __salts) of the keys that hold more rows than one of `tasks` tasks should: fewer than `tasks` keys.
+
+    A key is dealt over as many salts as it has such shares, so the salts of all keys are at most twice the tasks.
+    """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.withColumn("__total", total).filter(F.col("__n") * share >= F.col("__total")).select(key)
+    total = counts.agg(F.sum("__n")).scalar()
+    shares = F.ceil(F.col("__n") * tasks / F.col("__total")).cast("int")
+    return counts.withColumn("__total", total).filter(F.col("__n") * tasks > F.col("__total")).select(key, shares.alias("__salts"))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 32,
-                share: int = HOT_SHARE) -> DataFrame:
-    """Inner or left equi-join; the left rows of a hot key are dealt over `salts` tasks.
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", tasks: int | None = None) -> DataFrame:
+    """Inner or left equi-join over `tasks` tasks (the session's shuffle width); the left rows of a hot key are dealt over several.
 
     Only the hot keys' right rows are copied, once per salt. A row's salt is a hash of its values and of the input
     partition it is in: a repeated task deals alike, and even full copies of one row are spread. The list of hot keys
-    is the one side broadcast here, and `share` bounds its length.
+    is the one side broadcast here; it has fewer rows than there are tasks.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join is inner or left")
-    hot = F.broadcast(hot_keys(left.select(key), key, share).withColumn("__hot", F.lit(True)))
-    dealt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(salts))).otherwise(0).cast("int")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = left.join(hot, key, "left").withColumn("__salt", dealt).drop("__hot")
-    salted_right = right.join(hot, key, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    hot = F.broadcast(hot_keys(left.select(key), key, tasks or shuffle_partitions(left.sparkSession)))
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), salts).cast("int")
+    salted_left = left.join(hot, key, "left").withColumn("__salt", dealt).drop("__salts")
+    salted_right = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
     return salted_left.join(salted_right, [key, "__salt"], how).drop("__salt")
 
 
@@ -55,6 +57,21 @@ def missing_labels(images: DataFrame, labels: DataFrame, key: str = "filename")
     return images.select(key).distinct().join(labels.select(key), key, "left_anti")
 
 
-def gather(labels: DataFrame, images: DataFrame, key: str = "filename") -> DataFrame:
-    """Fetch the images of every label row. Both sides are large; the images of one name may be many."""
-    return salted_join(images, labels, key, "inner")
+def missing_images(labels: DataFrame, images: DataFrame, key: str = "filename") -> DataFrame:
+    """Keys of label rows that have no image, once each."""
+    return missing_labels(labels, images, key)
+
+
+def gather(labels: DataFrame, images: DataFrame, key: str = "filename", on_missing: str = "error") -> DataFrame:
+    """Fetch the images of every label row. Both sides are large; the images of one name may be many.
+
+    A label without image fails the job, or is dropped (`drop`; `missing_images` names those).
+    """
+    if on_missing not in ("error", "drop"):
+        raise ValueError(f"on_missing is error or drop, not {on_missing}")
+    found = salted_join(images, labels, key, "inner")
+    if on_missing == "drop":
+        return found
+    failed = F.raise_error(F.concat(F.lit("no image for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    lost = missing_images(labels, images, key)
+    return found.unionByName(lost.select(*[failed.cast(f.dataType).alias(f.name) for f in found.schema]))

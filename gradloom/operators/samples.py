@@ -27,13 +27,9 @@ def bind_inputs(df: DataFrame, net: Net, keep: Sequence[str] = (), exact: bool =
     return df.select(*keep, *[name for name in wanted if name not in keep])
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a table over all cores when its scan gives fewer tasks than cores; a wide scan is left as it is.
-
-    For heavy per-row work on a table that is small in bytes.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def widen(df: DataFrame, tasks: int) -> DataFrame:
+    """Spread a table over `tasks` tasks: for heavy per-row work on a table that is small in bytes."""
+    return df.repartition(tasks)
 
 
 def convert_inputs(df: DataFrame, net: Net, keep: Sequence[str] = (),

@@ -10,28 +10,25 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from gradloom.operators.samples import bind_inputs
-from gradloom.operators.weights import MOMENTUM, weights_to_dict
-from gradloom.plans.batches import Blobs, check_weights, feed, list_column, unpack
+from gradloom.operators.weights import MOMENTUM
+from gradloom.plans.batches import Blobs, check_shapes, check_weights, feed, list_column, unpack
 from gradloom.plans.kernels import forward_pass
 from gradloom.plans.net import Net
 from gradloom.session import stored
 from gradloom.sources.files import open_path
 
-#: Weights up to this size are broadcast; a net's parameter count proves the bound before anything is collected.
-BROADCAST_BYTES = 512 << 20
 
-
-def shared_weights(net: Net, weights: DataFrame, limit: int = BROADCAST_BYTES) -> Callable[[], Blobs]:
+def shared_weights(net: Net, weights: DataFrame) -> Callable[[], Blobs]:
     """A function that gives tasks the net's weights.
 
-    Up to `limit` bytes they are broadcast. Larger ones never pass through the driver: they are written to the shared
-    folder, where tasks read them.
+    They never pass through the driver, whatever their size: they are written to the shared folder, where each Python
+    worker reads them once.
     """
-    if net.size() * 8 <= limit:
-        shared = weights.sparkSession.sparkContext.broadcast(weights_to_dict(weights, net))
-        return lambda: shared.value
     weights = weights.filter(~F.col("layer").endswith(MOMENTUM))
-    files = tuple(stored(weights, "weights").inputFiles())
+    kept = stored(weights, "weights")
+    shapes = kept.select("layer", "blob", "shape").distinct().collect()  # one row per blob
+    check_shapes(net, {(r["layer"], r["blob"]): tuple(r["shape"]) for r in shapes})
+    files = tuple(kept.inputFiles())
 
     def load() -> Blobs:
         blobs = load_published(files, net.dtype)
@@ -59,8 +56,7 @@ def score_batch(net: Net, weights: Blobs, columns: dict[str, pa.Array], rows: in
 
 
 def forward(df: DataFrame, net: Net, weights: DataFrame, blobs: Sequence[str] | None = None,
-            keep: Sequence[str] = ("sample_id",), batch: int = 256, element: str = "float",
-            broadcast_limit: int = BROADCAST_BYTES) -> DataFrame:
+            keep: Sequence[str] = ("sample_id",), batch: int = 256, element: str = "float") -> DataFrame:
     """`keep` columns plus one array column per blob, scored where the rows lie: no shuffle.
 
     Only the layers that the blobs depend on are run, and only their input columns are read.
@@ -72,7 +68,7 @@ def forward(df: DataFrame, net: Net, weights: DataFrame, blobs: Sequence[str] |
     bound = bind_inputs(df, part, keep)
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in bound.schema if f.name in keep)
     value = pa.float32() if element == "float" else pa.float64()
-    shared = shared_weights(net, weights, broadcast_limit)
+    shared = shared_weights(net, weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:

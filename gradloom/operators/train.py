@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradloom.operators.samples import bind_inputs
-from gradloom.operators.score import BROADCAST_BYTES, shared_weights
+from gradloom.operators.score import shared_weights
 from gradloom.operators.weights import MOMENTUM, average_weights
 from gradloom.plans.batches import WEIGHTS_SCHEMA, Blobs, feed, pack, unpack
 from gradloom.plans.kernels import backward_pass, forward_pass, mean_loss
@@ -19,18 +19,18 @@ from gradloom.plans.solver import Solver
 
 #: Layer name under which a round's mean loss travels with the weights.
 LOSS = ":loss"
-#: Gradient values a task holds before it emits what it has.
-HELD_VALUES = 32 << 20
+#: Keys whose gradients a task holds before it emits what it has.
+HELD_KEYS = 16
 
 
-def gradient(df: DataFrame, net: Net, weights: DataFrame, by: Sequence[str] = (), batch: int = 1024,
-             broadcast_limit: int = BROADCAST_BYTES) -> DataFrame:
+def gradient(df: DataFrame, net: Net, weights: DataFrame, by: Sequence[str] = (), batch: int = 1024) -> DataFrame:
     """Mean gradient over all rows, per value of the `by` columns, as a weights table. The weights do not change.
 
-    A task adds up its rows' gradients and emits them once, so the shuffle carries one gradient per task and key.
+    A task adds up its rows' gradients and emits them once, so the shuffle carries one gradient per task and key; with
+    more than HELD_KEYS keys in a task, sorted or not, it carries several.
     """
     bound = bind_inputs(df, net, by)
-    shared = shared_weights(net, weights, broadcast_limit)
+    shared = shared_weights(net, weights)
     key_types = [f.dataType.simpleString() for f in bound.schema if f.name in by]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +44,7 @@ def gradient(df: DataFrame, net: Net, weights: DataFrame, by: Sequence[str] = ()
                     grads = backward_pass(net, shared(), caches)
                     total, count = held.get(key, ({}, 0))
                     held[key] = {b: total.get(b, 0.0) + g * size for b, g in grads.items()}, count + size
-            if len(held) * net.size() > HELD_VALUES:
+            if len(held) > HELD_KEYS:
                 yield from _emit(held, rows.schema, by)
                 held = {}
         if held:
@@ -64,7 +64,9 @@ def _by_key(rows: pa.RecordBatch, by: Sequence[str], inputs: Sequence[str]):
     for key in keys.to_pylist():
         mask = None
         for name in by:
-            same = pc.equal(rows.column(name), pa.scalar(key[name], rows.schema.field(name).type))
+            column = rows.column(name)
+            # A null key is a group like any other.
+            same = pc.is_null(column) if key[name] is None else pc.fill_null(pc.equal(column, pa.scalar(key[name], column.type)), False)
             mask = same if mask is None else pc.and_(mask, same)
         part = rows.select(list(inputs)).filter(mask)
         yield tuple(key[name] for name in by), {c: part.column(c) for c in inputs}, part.num_rows

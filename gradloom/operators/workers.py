@@ -42,8 +42,13 @@ def assign_workers(df: DataFrame, workers: int, id_col: str = "sample_id", seed:
 def assign_workers_in_place(df: DataFrame, workers: int) -> DataFrame:
     """The variant without a shuffle: merged input partitions are the workers, rows keep their order.
 
+    An input of fewer partitions than workers is an error: repartition it first, or every average would be over fewer
+    workers than asked.
     It follows the physical layout of the input, so store the result (`stored`, `write_segments`) before using it twice.
     """
+    parts = df.rdd.getNumPartitions()
+    if parts < workers:
+        raise ValueError(f"{workers} workers in place need as many partitions; the input has {parts}")
     merged = df.coalesce(workers)
     rank = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return merged.withColumns({"worker": F.spark_partition_id(), "pos": rank})
@@ -124,10 +129,10 @@ def open_segments(spark: SparkSession, path: str, rows: int) -> Segments:
 
 
 def segment_window(stored: Segments, counts: DataFrame, tau: int, batch: int, round_no: int, seed: int = 0,
-                   wrap: bool = False) -> DataFrame:
+                   wrap: bool = False, start: Column | None = None) -> DataFrame:
     """`round_window` over written segments: the window starts, one per worker, select the segments to read."""
     rows = stored.rows
-    starts = round_starts(counts, tau, batch, round_no, seed, wrap).collect()
+    starts = round_starts(counts, tau, batch, round_no, seed, wrap, start).collect()
     segments = set()
     for row in starts:
         first, last, n = row["start"], row["start"] + tau * batch - 1, row["worker_rows"]
@@ -135,4 +140,4 @@ def segment_window(stored: Segments, counts: DataFrame, tau: int, batch: int, ro
         for low, high in spans:
             segments.update(row["worker"] * SEGMENTS + s for s in range(low // rows, high // rows + 1))
     selected = stored.table.filter(F.col("segment").isin(sorted(segments))).drop("segment")
-    return round_window(selected, counts, tau, batch, round_no, seed, wrap)
+    return round_window(selected, counts, tau, batch, round_no, seed, wrap, start)

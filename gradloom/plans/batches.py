@@ -111,8 +111,11 @@ def unpack(table: pa.Table, dtype: str = "float64") -> Blobs:
 
 def check_weights(net: Net, weights: Blobs) -> None:
     """Exactly the net's blobs, in their shapes; momentum rows aside."""
+    check_shapes(net, {name: array.shape for name, array in weights.items() if not name[0].endswith("/momentum")})
+
+
+def check_shapes(net: Net, found: dict[tuple[str, int], tuple[int, ...]]) -> None:
     expected = {(p.layer, p.blob): tuple(p.shape) for p in net.params()}
-    found = {name: array.shape for name, array in weights.items() if not name[0].endswith("/momentum")}
     if found != expected:
         raise ValueError(f"weights {found} do not fit net {net.name}, which has {expected}")
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gradloom.operators.score import evaluate
 from gradloom.operators.train import LOSS, local_sgd_round
@@ -25,13 +26,15 @@ class FitResult:
 
 def fit(samples: DataFrame, net: Net, solver: Solver, rounds: int, tau: int, batch: int, weights: DataFrame | None = None,
         test: DataFrame | None = None, eval_every: int = 0, seed: int = 0, wrap: bool = False, tolerance: float | None = None,
-        weighted: bool = False, segments: Segments | None = None, history_path: str | None = None) -> FitResult:
+        weighted: bool = False, segments: Segments | None = None, history_path: str | None = None,
+        start: Callable[[int], Column] | None = None) -> FitResult:
     """Local SGD: per round, `tau` steps per worker from common weights, then their average.
 
     `samples` is an assigned table (see `assign_workers`); with `segments` its rows are read from the written copy.
     Per round the driver sees the mean loss and, every `eval_every` rounds, the test metrics; the averaged weights go
     to the shared checkpoint folder, so a lost executor costs at most one round. Training stops after `rounds` or
     when the loss changes by less than `tolerance`. `weighted` weighs workers by their rows.
+    `start` gives a round's window starts instead of the draw, as an expression of `worker` and `worker_rows`.
     """
     spark = samples.sparkSession
     began = time.monotonic()
@@ -47,10 +50,11 @@ def fit(samples: DataFrame, net: Net, solver: Solver, rounds: int, tau: int, bat
         if test is not None and eval_every and round_no % eval_every == 0:
             measured = evaluate(test, net, weights).first()
             log += _logged(spark, history_path, round_no, began, accuracy=measured["accuracy"], test_loss=measured["loss"])
+        begin = start(round_no) if start else None
         if segments:
-            window = segment_window(segments, counts, tau, batch, round_no, seed, wrap)
+            window = segment_window(segments, counts, tau, batch, round_no, seed, wrap, begin)
         else:
-            window = round_window(samples, counts, tau, batch, round_no, seed, wrap)
+            window = round_window(samples, counts, tau, batch, round_no, seed, wrap, begin)
         local = local_sgd_round(window, weights, net, solver, workers, tau, batch, round_no, seed, state)
         if keep_local:
             local = cut_lineage(local)

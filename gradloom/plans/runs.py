@@ -66,9 +66,12 @@ def weights_of(weights: DataFrame, net: Net) -> DataFrame:
 
 
 def chunk_images(members: DataFrame, labels: DataFrame, n_chunks: int, landing: str, path: str, height: int, width: int,
-                 seed: int = 0, prefix: str = "train", digits: int = 5, files_per_chunk: int = 1) -> None:
-    """Archive members and labels to shuffled chunks of resized, labelled images, with the label file beside them."""
+                 seed: int = 0, prefix: str = "train", digits: int = 5, files_per_chunk: int = 1, on_missing: str = "drop") -> None:
+    """Archive members and labels to shuffled chunks of resized, labelled images, beside the label file of what was written.
+
+    Labels without an image that can be decoded are dropped by default, as undecodable images are; `on_missing="error"` fails.
+    """
     images = stored(read_archived_images(members, landing, height, width), "images")
-    labelled = gather(labels, images)
+    labelled = gather(labels, images, on_missing=on_missing)
     write_shuffled_chunks(labelled, n_chunks, f"{path}/chunks", "filename", seed, prefix, digits, files_per_chunk)
-    publish_labels(labels, f"{path}/labels")
+    publish_labels(images.sparkSession.read.parquet(f"{path}/chunks"), f"{path}/labels")

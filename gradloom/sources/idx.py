@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gradloom.functions.convert import big_endian_int, byte_at, unsigned_bytes
 from gradloom.functions.shapes import indexed
-from gradloom.sources.files import RANGE_BYTES, list_files, read_ranges, split_records
+from gradloom.sources.files import RANGE_BYTES, basename, list_files, read_ranges, split_records
 
 # The magic numbers of the format (unsigned bytes in three and in one dimension).
 IMAGE_MAGIC = 2051
@@ -70,7 +70,23 @@ def read_idx_labels(spark: SparkSession, path: str) -> DataFrame:
     return decode_idx_labels(_chunks(spark, path, 1, LABEL_MAGIC))
 
 
+# How the data set's files are named, apart from the split.
+KIND_IN_NAME = "(images|labels)([-.]idx[0-9]-ubyte)?"
+
+
+def split_name(path: Column) -> Column:
+    """What an image file and its label file have in common: the name without its kind."""
+    return F.regexp_replace(basename(path), KIND_IN_NAME, "")
+
+
 def zip_by_index(images: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pair images and labels of one split by record number, which is unique on both sides."""
-    return images.select("record_index", "data").join(labels.select("record_index", "label"), "record_index").select(
-        F.col("record_index").alias("sample_id"), "data", "label")
+    """(split, sample_id, data, label): images and labels of the same split and record number.
+
+    A record on one side only fails the job. `sample_id` is the record number, unique within a split.
+    """
+    left = images.select(split_name(F.col("path")).alias("split"), "record_index", "data", F.lit(True).alias("__image"))
+    right = labels.select(split_name(F.col("path")).alias("split"), "record_index", "label", F.lit(True).alias("__label"))
+    joined = left.join(right, ["split", "record_index"], "full")
+    lost = F.raise_error(F.concat(F.lit("no image or no label for record "), F.col("record_index").cast("string"), F.lit(" of "), F.col("split")))
+    both = F.when(F.col("__image") & F.col("__label"), F.col("record_index")).otherwise(lost.cast("bigint"))
+    return joined.select("split", both.alias("sample_id"), "data", "label")

@@ -12,7 +12,8 @@ from gradloom.sources.files import basename
 def decode_resize(images: DataFrame, height: int | None = None, width: int | None = None) -> DataFrame:
     """(filename, data) from Spark's `image` column: planar bytes of the forced size; undecodable images are dropped."""
     return images.filter(F.col("image").isNotNull() & (F.col("image.height") > 0)).select(
-        F.url_decode(basename(F.col("image.origin"))).alias("filename"),
+        # Origins are escaped paths, in which a plus sign stands for itself.
+        F.url_decode(F.replace(basename(F.col("image.origin")), F.lit("+"), F.lit("%2B"))).alias("filename"),
         to_planar_rgb(F.col("image"), height, width).alias("data"))
 
 

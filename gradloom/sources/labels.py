@@ -21,8 +21,11 @@ def parse_labels(lines: DataFrame) -> DataFrame:
     `max_by` combines before the shuffle, so a key repeated in a third of the lines is no hot spot.
     """
     words = F.split(F.trim("line"), " ")
+    # What stands before the last blank is the path, so that a path may hold blanks itself.
+    path = F.rtrim(F.regexp_replace(F.trim("line"), r"[^ ]+$", F.lit("")))
+    path = F.when(F.size(words) > 1, path).otherwise(F.element_at(words, 1))
     return (lines.filter(F.length(F.trim("line")) > 0)
-            .select(basename(F.element_at(words, 1)).alias("filename"), F.element_at(words, -1).cast("int").alias("label"), "order")
+            .select(basename(path).alias("filename"), F.element_at(words, -1).cast("int").alias("label"), "order")
             .groupBy("filename")
             .agg(F.max_by("label", "order").alias("label"), F.count(F.lit(1)).alias("lines")))
 
@@ -38,4 +41,4 @@ def duplicate_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def publish_labels(df: DataFrame, path: str) -> None:
     """Write (filename, label) as `path label` lines."""
-    df.select("filename", "label").write.csv(path, sep=" ")
+    df.select(F.concat_ws(" ", "filename", F.col("label").cast("string")).alias("value")).write.text(path)

@@ -128,7 +128,7 @@ def test_forward_ways_agree_and_leave_weights(spark, images):
     before = unpack(weights.toArrow())
     blobs = ["conv1", "pool1", "prob"]
     shared = forward(images, net, weights, blobs, element="double")
-    written = forward(images, net, weights, blobs, batch=10, element="double", broadcast_limit=0)
+    written = forward(images, net, weights, blobs, batch=10, element="double")
     a = {r["sample_id"]: r for r in shared.collect()}
     b = {r["sample_id"]: r for r in written.collect()}
     assert len(a) == 57 and all(np.allclose(a[k][c], b[k][c], atol=1e-12) for k in a for c in blobs)

@@ -102,6 +102,25 @@ def test_idx_pair(spark, tmp_path):
     assert np.array_equal([r["data"] for r in rows], pixels.reshape(5, -1))
 
 
+def test_idx_folders_pair_by_split(spark, tmp_path):
+    for split, values in (("train", [7, 8]), ("t10k", [9])):
+        for kind, header in (("images-idx3", struct.pack(">IIII", 2051, len(values), 2, 2)), ("labels-idx1", struct.pack(">II", 2049, len(values)))):
+            (tmp_path / kind).mkdir(exist_ok=True)
+            (tmp_path / kind / f"{split}-{kind}-ubyte").write_bytes(header + bytes(x for v in values for x in [v] * (4 if "3" in kind else 1)))
+    read = lambda: idx.zip_by_index(idx.read_idx_images(spark, str(tmp_path / "images-idx3")), idx.read_idx_labels(spark, str(tmp_path / "labels-idx1")))
+    assert sorted((r["split"], r["sample_id"], r["label"], r["data"][0]) for r in read().collect()) == [
+        ("t10k-", 0, 9, 9.0), ("train-", 0, 7, 7.0), ("train-", 1, 8, 8.0)]
+    (tmp_path / "labels-idx1" / "t10k-labels-idx1-ubyte").write_bytes(struct.pack(">II", 2049, 2) + bytes([9, 9]))
+    with pytest.raises(Exception, match="no image or no label for record 1 of t10k"):
+        read().collect()
+
+
+def test_label_names_with_blanks_and_plus_signs(spark, tmp_path):
+    rows = [("a b.bmp", 3), ("a+b.bmp", 4), ("plain.bmp", 5)]
+    labels.publish_labels(spark.createDataFrame(rows, "filename string, label int"), str(tmp_path / "labels"))
+    assert sorted(tuple(r) for r in labels.read_labels(spark, str(tmp_path / "labels")).collect()) == sorted(rows)
+
+
 @pytest.mark.parametrize("header,problem", [((2052, 5, 28, 28), "IDX magic 2051 expected, found 2052"),
                                             ((2051, 6, 28, 28), "length does not match its header")])
 def test_bad_idx(spark, tmp_path, header, problem):

@@ -81,14 +81,20 @@ def test_gradient_does_not_depend_on_partitions(samples, start):
     before = blobs_of(start)
     one, many = (blobs_of(gradient(samples.repartition(p), NET, start, batch=b)) for p, b in ((1, 1000), (7, 9)))
     assert same(one, many) and same(before, blobs_of(start), 0)
-    written = blobs_of(gradient(samples, NET, start, broadcast_limit=0))
-    assert same(one, written)
     by_label = gradient(samples, NET, start, by=["label"])
     sizes = {r["label"]: r["count"] for r in samples.groupBy("label").count().collect()}
     total = sum(sizes[c] * blobs_of(by_label.filter(F.col("label") == c))["ip", 0] for c in sizes) / sum(sizes.values())
     assert np.allclose(total, one["ip", 0])
 
 
+def test_gradient_of_a_null_group_and_of_many_groups(samples, start):
+    keyed = samples.withColumn("k", F.when(F.col("sample_id") % 3 > 0, F.col("sample_id") % 40))
+    groups = gradient(keyed, NET, start, by=["k"])
+    keys = {r["k"] for r in keyed.select("k").distinct().collect()}
+    assert None in keys and {r["k"] for r in groups.select("k").distinct().collect()} == keys
+    assert same(blobs_of(groups.filter("k IS NULL").drop("k")), blobs_of(gradient(keyed.filter("k IS NULL"), NET, start)))
+
+
 def test_two_table_steps_equal_the_batch_solver(samples, start):
     solver = Solver(0.1, 0.9, 0.02)
     weights, velocity = blobs_of(start), {}

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gradloom.operators.joins import attach_labels, gather, hot_keys, missing_labels, salted_join
+from gradloom.operators.joins import attach_labels, gather, hot_keys, missing_images, missing_labels, salted_join
 from gradloom.operators.numbering import number_rows
 from gradloom.operators.samples import persisted, widen
 from gradloom.operators.workers import (assign_workers, assign_workers_in_place, open_segments, round_starts,
@@ -42,6 +42,8 @@ def test_numbering_over_buckets_equals_a_sort(spark):
 
 
 def test_in_place_assignment(samples):
+    with pytest.raises(ValueError, match="need as many partitions"):
+        assign_workers_in_place(samples.coalesce(3), 8)
     df = assign_workers_in_place(samples.repartition(8), 4)
     assert df.rdd.getNumPartitions() == 4
     rows = df.collect()
@@ -98,18 +100,17 @@ def test_skip_and_persist(samples):
     assert not df.is_cached
 
 
-def test_widen_only_narrow_tables(spark, samples):
-    assert widen(samples.coalesce(1)).rdd.getNumPartitions() == 4
-    assert widen(samples.repartition(9)).rdd.getNumPartitions() == 9
+def test_widen(samples):
+    assert widen(samples.coalesce(1), 6).rdd.getNumPartitions() == 6
 
 
 def test_salted_join_equals_plain_join_on_a_hot_key(spark):
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 900).cast("int").alias("k"))
     right = spark.range(600).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))
-    assert [r["k"] for r in hot_keys(left, "k", 100).collect()] == [7]
+    assert [tuple(r) for r in hot_keys(left, "k", 100).collect()] == [(7, 34)]
     for how in ("inner", "left"):
         plain = left.join(right, "k", how).select("k", "id", "v")
-        salted = salted_join(left, right, "k", how, salts=8, share=100).select("k", "id", "v")
+        salted = salted_join(left, right, "k", how, tasks=100).select("k", "id", "v")
         assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
 
 
@@ -123,3 +124,10 @@ def test_labels(spark):
         attach_labels(images, table, "ignore")
     assert [r[0] for r in missing_labels(images, table).collect()] == ["b"]
     assert {tuple(r) for r in gather(table, images).select("filename", "x").collect()} == {("a", 1), ("a", 2)}
+    more = table.union(spark.createDataFrame([("c", 9), (None, 4)], table.schema))
+    with pytest.raises(Exception, match="no image for"):
+        gather(more, images).collect()
+    assert gather(more, images, on_missing="drop").count() == 2
+    assert {r[0] for r in missing_images(more, images).collect()} == {"c", None}
+    with pytest.raises(ValueError):
+        gather(more, images, on_missing="ignore")
