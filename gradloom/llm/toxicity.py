@@ -23,10 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gradloom.llm.ranges import first_by_hash
 from gradloom.llm.words import lower_words, texts_of
 from gradloom.session import stored
 
 PREFIXES = (4, 5, 6)
+#: Columns that `score_texts` adds; their names do not clash with columns of the texts.
+SCORE, PASSAGES = "toxicity__", "passages__"
 
 
 def remainder(column: str, modulus: int = 5) -> Column:
@@ -142,7 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
         strength: float = 4.0, drift: float = 1.5) -> Model:
     """Fit on the labelled texts; leave held-out ids out of `labels` beforehand."""
     chosen = (labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("toxic")).dropna().groupBy("id").agg(F.max("toxic").alias("toxic"))
-              .withColumn("toxic", (F.col("toxic") > 0).cast("int")).orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample))
+              .select("id", (F.col("toxic") > 0).cast("int").alias("toxic"), F.xxhash64("id").alias("h")))
+    chosen = stored(chosen, "labels")
+    chosen = first_by_hash(chosen, chosen.count(), sample).drop("h")
     chosen = stored(chosen.withColumn("fold", remainder("id", 7) % 2), "labelled")
     # At most `sample` small rows are broadcast.
     texts = stored(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
@@ -209,7 +214,7 @@ def calibrate(texts: DataFrame, cross: dict[int, Odds | None], final: Odds, leas
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of docs, with `toxicity` (0 to 1) and `passages` (word ranges with their evidence). One scan, no shuffle."""
+    """All columns of docs, with SCORE (0 to 1) and PASSAGES (word ranges with their evidence). One scan, no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.columns
 
@@ -223,10 +228,10 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 scores.append(model.score(math.sqrt(sum(e for _, _, e in found))))
                 passages.append([{"begin": b, "end": e, "evidence": x} for b, e, x in found])
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(passages, kind)], names=[*kept, "toxicity__", "passages__"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(passages, kind)], names=[*kept, SCORE, PASSAGES])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scan, f"{fields}, toxicity__ double, passages__ array<struct<begin:int,end:int,evidence:double>>")
+    return docs.mapInArrow(scan, f"{fields}, {SCORE} double, {PASSAGES} array<struct<begin:int,end:int,evidence:double>>")
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
@@ -236,5 +241,5 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), learned(docs, labels))
-    return scored.select("doc_id", F.coalesce(remainder("doc_id") == 0, F.lit(False)).alias("held_out"), F.col("toxicity__").alias("score"),
-                         (F.col("toxicity__") >= 0.5).cast("int").alias("predicted"), F.col("passages__").alias("passages"))
+    return scored.select("doc_id", F.coalesce(remainder("doc_id") == 0, F.lit(False)).alias("held_out"), F.col(SCORE).alias("score"),
+                         (F.col(SCORE) >= 0.5).cast("int").alias("predicted"), F.col(PASSAGES).alias("passages"))
