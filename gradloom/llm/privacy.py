@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradloom.llm import bitmap
-from gradloom.llm.words import Words, distinct_by_text, mix, slices, with_row_id
+from gradloom.llm.words import Words, distinct_by_text, fresh, mix, slices, with_row_id
 from gradloom.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -33,7 +33,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # both cases: offsets are those of the text
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -223,13 +223,14 @@ def replaced(text: str, spans: list[dict]) -> str:
 def sanitise(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All rows and columns of docs, with personal data and the terms that reveal them replaced in the text."""
     found = personal_data(docs, id_column, text, **options)
-    changes = stored(found.where(F.size("spans") > 0).select(F.col("row_id").alias("row__"), F.col("spans").alias("spans__")), "spans")
+    own, other, marks = fresh(docs, "row"), fresh(docs, "changed"), fresh(docs, "marks")
+    changes = stored(found.where(F.size("spans") > 0).select("row_id", "spans"), "spans").toDF(other, marks)
     columns = docs.columns
-    joined = with_row_id(docs, "own__").join(changes, F.col("own__") == F.col("row__"), "left").drop("own__", "row__")
+    joined = with_row_id(docs, own).join(changes, F.col(own) == F.col(other), "left").drop(own, other)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [replaced(t, s) if t and s else t for t, s in zip(batch.column(text).to_pylist(), batch.column("spans__").to_pylist())]
+            new = [replaced(t, s) if t and s else t for t, s in zip(batch.column(text).to_pylist(), batch.column(marks).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else batch.column(c) for c in columns], names=columns)
 
     return joined.mapInArrow(apply, docs.schema)

@@ -234,7 +234,8 @@ def nearest(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding",
     none = F.lit(float("-inf"))
     home = queries.where(F.col("home").isin([int(c) for c in parts])) if len(parts) < len(planes.low) else queries
     first = search(home.select(F.col("home").alias("cell"), "row_id", "vector", "point", none.alias("bound")))
-    bounds = first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.expr(f"sort_array(collect_list(score), false)[{k - 1}]").alias("kth"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"))
+    bounds = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query", F.col("score").alias("kth"))
     bounded = queries.join(cut_lineage(bounds), F.col("row_id") == F.col("query"), "left").withColumn("bound", F.coalesce("kth", none))
     there = np.array(sorted(parts), np.int32)
 

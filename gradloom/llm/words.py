@@ -27,6 +27,20 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def without_rows(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of a table scan whose row number is not in the one column of `gone`; all columns, whatever their names."""
+    own, other = fresh(df, "row"), fresh(df, "gone")
+    numbers = gone.toDF(other)
+    return with_row_id(df, own).join(numbers, F.col(own) == F.col(other), "left_anti").drop(own)
+
+
 def lower_words(text: bytes) -> list[bytes]:
     return text.translate(LOWER_WORDS).split()
 
