@@ -1,2 +1,72 @@
-"""The corpus pipeline."""
-QUERIES = {}
+"""From raw documents to a weighted mixture: toxicity, near duplicates, benchmark passages, personal data, mixing.
+
+Each stage takes what its predecessor kept, written as a table and read again. All but the last return the columns of documents;
+the last returns, for every document that is left, how many of its words the mixture takes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gradloom.catalog.registry import Registry, table
+from gradloom.llm import decontaminate, mixing, near_duplicates, privacy, toxicity
+from gradloom.session import ship, stored
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5."""
+    ship(spark)
+    scored = toxicity.score_texts(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
+    return scored.where(F.col(toxicity.SCORE) < 0.5).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    ship(spark)
+    return near_duplicates.first_of_each(docs)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less than 0.8 of every benchmark item's five-word shingles."""
+    ship(spark)
+    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and the terms that reveal it replaced; n_chars follows the text."""
+    ship(spark)
+    return privacy.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, source, source_size, target and taken of every document."""
+    ship(spark)
+    return mixing.mix_sources(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("toxicity", reject_toxic), ("near_duplicates", keep_one_of_each), ("decontamination", remove_benchmark),
+                                   ("personal_data", remove_personal_data), ("mixing", mix_to_weights)]
+#: Log-odds, signatures and co-occurrence thresholds are not SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+REGISTRY = Registry()
+
+
+@REGISTRY.query(ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return run(spark, folder)
+
+
+QUERIES = REGISTRY.queries
