@@ -18,12 +18,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradloom.llm.words import texts_of, with_row_id
+from gradloom.llm.words import slices, texts_of, with_row_id
 from gradloom.session import stored
 
 #: No word: it holds a blank.
@@ -57,6 +58,22 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most `most` tokens, the most frequent first: all above a count that a histogram of fixed size gives."""
+    step = F.floor(F.log2("n") * 32)
+    histogram = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)  # by the logarithm: a few hundred rows
+    total, limit = 0, None
+    for value, n in histogram:
+        total += n
+        if total > most:
+            break
+        limit = value
+    if limit is None:
+        return []
+    found = [(bytes(t), n) for t, n in counts.where(step >= limit).select("token", "n").collect()]
+    return sorted(found, key=lambda x: (-x[1], x[0]))
+
+
 class Weights:
     """Word vectors r (classes, width), context factors c1 and c2, target vectors q, biases b. Class 0 is the start, 1 the shared one."""
 
@@ -97,11 +114,13 @@ class Trainer:
         self.squares = {k: np.full_like(getattr(self.w, k), 1e-6) for k in Weights.SHAPES}
         self.seen = 0
 
-    def _rows(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        rows, gradient = rows[order], gradient[order]
+    def _rows(self, rows: np.ndarray, gradients: dict[str, np.ndarray]) -> None:
+        """Add up the gradients of equal rows, then update. Classes are few: 16-bit rows are sorted by radix."""
+        order = np.argsort(rows.astype(np.uint16) if len(self.log_noise) < 1 << 16 else rows, kind="stable")
+        rows = rows[order]
         begins = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        self._update(name, rows[begins], np.add.reduceat(gradient, begins, axis=0))
+        for name, gradient in gradients.items():
+            self._update(name, rows[begins], np.add.reduceat(gradient[order], begins, axis=0))
 
     def _update(self, name: str, at, gradient: np.ndarray) -> None:
         square, value = self.squares[name], getattr(self.w, name)
@@ -123,10 +142,8 @@ class Trainer:
         d_q = np.concatenate([gain[:, None] * context, loss.T @ context])
         d_b = np.concatenate([gain, loss.sum(0)])
         d_c1, d_c2 = (d_context * ru).sum(0), (d_context * rv).sum(0)
-        self._rows("r", np.concatenate([u, v]), np.concatenate([d_context * w.c1, d_context * w.c2]))
-        both = np.concatenate([word, noise])
-        self._rows("q", both, d_q)
-        self._rows("b", both, d_b)
+        self._rows(np.concatenate([u, v]), {"r": np.concatenate([d_context * w.c1, d_context * w.c2])})
+        self._rows(np.concatenate([word, noise]), {"q": d_q, "b": d_b})
         self._update("c1", slice(None), d_c1)
         self._update("c2", slice(None), d_c2)
         self.seen += len(word)
@@ -148,8 +165,7 @@ class Classes:
         self.n = len(vocabulary) + 2
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.of.get
-        return np.fromiter((get(w, 1) for w in words), np.int32, len(words))
+        return np.fromiter(map(self.of.get, words, repeat(1)), np.int32, len(words))
 
 
 CHUNK = 4096
@@ -227,7 +243,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_column: str = "doc_id",
     counts = stored(token_counts(training), "token-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, distinct = int(sums["n"]), int(sums["v"])
-    top = [(bytes(t), n) for t, n in counts.orderBy(F.desc("n"), "token").limit(head).collect()]
+    top = most_frequent(counts, head)
     own = top[:vocabulary]
     classes = Classes([t for t, _ in own])
     own_sum = sum(n for _, n in own)
@@ -236,44 +252,44 @@ def score_texts(docs: DataFrame, training: DataFrame, id_column: str = "doc_id",
     law = np.array([1e-9, max(n_all - own_sum, 0.5), *(n for _, n in own)], float)
     log_noise = np.log(law / law.sum())
     weights = train(training, classes, Weights.start(log_noise, width), log_noise)
-    known = {t: float(np.log10(n + 0.5)) for t, n in top}
-    sent = docs.sparkSession.sparkContext.broadcast((classes, weights, known))
+    place = {t: i for i, (t, _) in enumerate(top)}
+    logs = np.log10(np.array([n for _, n in top] + [0.5], float) + 0.5)
+    sent = docs.sparkSession.sparkContext.broadcast((weights, place, logs))
     key = id(sent)
 
-    fields = "row_id long, doc_id long, n_tokens long, n_head long, head_sum double, n_shared long, class_sum double, tail array<struct<token:binary,n:int>>"
-    tail_type = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
+    fields = "row_id long, doc_id long, n_tokens long, n_head long, head_sum double, n_shared long, class_sum double, tail array<binary>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, weights, known = sent.value
+        weights, place, logs = sent.value
         scorer = _scorers.get(key)
         if scorer is None:
             _scorers.clear()
             scorer = _scorers[key] = Scorer(weights)
-        for batch in batches:
-            out = []
-            for row, doc, text in zip(batch.column("row_id").to_pylist(), batch.column("doc_id").to_pylist(), texts_of(batch.column("text"))):
-                words = tokens(text)
-                ids = classes.ids(words)
-                u, v = contexts(ids, np.array([len(ids)]))
-                logs = list(map(known.get, words))
-                tail = Counter(w for w, x in zip(words, logs) if x is None)
-                head = [x for x in logs if x is not None]
-                # Tokens with a class of their own have no part in the shared class.
-                shared = sum(x for x, c in zip(logs, ids) if x is not None and c == 1)
-                out.append((row, doc, len(words), len(head), sum(head), int((ids == 1).sum()), float(scorer.log10(u, v, ids).sum()) + shared,
-                            [{"token": t, "n": n} for t, n in tail.items()]))
-            if out:
-                columns = list(zip(*out))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), tail_type]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[f.split()[0] for f in fields.split(", ")])
+        own = len(weights.b) - 2
+        for batch, texts in slices(batches, "text"):
+            split = [tokens(text) for text in texts]
+            counts = np.array([len(x) for x in split])
+            begins = np.cumsum(counts) - counts
+            words = list(chain.from_iterable(split))
+            at = np.fromiter(map(place.get, words, repeat(-1)), np.int32, len(words))
+            classes = np.where((at >= 0) & (at < own), at + 2, 1)
+            u, v = contexts(classes, counts)
+            known = np.where(at >= 0, logs[at], 0.0)
+            # Tokens with a class of their own have no part in the shared class.
+            found = scorer.log10(u, v, classes) + np.where(classes == 1, known, 0.0)
+            total = lambda x: np.add.reduceat(x, begins)
+            rare = np.flatnonzero(at < 0)
+            tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.r_[begins, len(words)]).astype(np.int32)), pa.array([words[i] for i in rare], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(counts), pa.array(total((at >= 0).astype(np.int64))),
+                                              pa.array(total(known)), pa.array(total((classes == 1).astype(np.int64))), pa.array(total(found)), tail],
+                                             names=[f.split()[0] for f in fields.split(", ")])
 
     rows = with_row_id(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")))
     scored = stored(rows.select("row_id", "doc_id", "text").mapInArrow(score, fields), "scored-texts")
-    tail = scored.select("row_id", F.inline("tail"))
+    tail = scored.select("row_id", F.explode("tail").alias("token"))
     # Tail tokens are rarer than the head's last, so no key is hot; one sum by text follows.
     found = tail.join(counts.withColumnRenamed("n", "c"), "token", "left").groupBy("row_id").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"),
-        F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("tail_sum"))
+        F.count("c").alias("tail_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("tail_sum"))
     whole = scored.drop("tail").join(found, "row_id", "left").fillna(0, ["tail_known"]).fillna(0.0, ["tail_sum"])
     return whole.select("doc_id", "n_tokens", (F.col("n_head") + F.col("tail_known")).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
                         (F.col("head_sum") + F.col("tail_sum") - F.col("n_tokens") * F.lit(float(base_floor))).alias("base_score"),
