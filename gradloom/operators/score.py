@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from gradloom.operators.weights import MOMENTUM
 from gradloom.plans.batches import Blobs, check_shapes, check_weights, feed, list_column, unpack
 from gradloom.plans.kernels import forward_pass
 from gradloom.plans.net import Net
-from gradloom.session import stored
+from gradloom.session import shared_path, stored
 from gradloom.sources.files import open_path
 
 
@@ -38,7 +39,22 @@ def shared_weights(net: Net, weights: DataFrame) -> Callable[[], Blobs]:
     return load
 
 
-@functools.lru_cache(maxsize=1)
+def publish(weights: DataFrame) -> tuple[str, ...]:
+    """Write weights to the shared folder; the files."""
+    return tuple(stored(weights, "weights").inputFiles())
+
+
+def published_by(weights: DataFrame, column: str) -> dict[int, tuple[str, ...]]:
+    """Write weights apart by an integer column, such as the worker; each value's files."""
+    path = shared_path(weights.sparkSession, "weights-by")
+    weights.repartition(column).write.partitionBy(column).parquet(path)
+    files: dict[int, list[str]] = {}
+    for file in weights.sparkSession.read.parquet(path).inputFiles():
+        files.setdefault(int(re.search(rf"/{column}=(\d+)/", file)[1]), []).append(file)
+    return {value: tuple(names) for value, names in files.items()}
+
+
+@functools.lru_cache(maxsize=2)
 def load_published(files: tuple[str, ...], dtype: str) -> Blobs:
     """Weights from written files, read once per Python worker and net."""
     return unpack(pa.concat_tables(pq.read_table(open_path(f)) for f in files), dtype)

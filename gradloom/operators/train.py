@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradloom.operators.samples import bind_inputs
-from gradloom.operators.score import shared_weights
+from gradloom.operators.score import load_published, publish, published_by, shared_weights
 from gradloom.operators.weights import MOMENTUM, average_weights
-from gradloom.plans.batches import WEIGHTS_SCHEMA, Blobs, feed, pack, unpack
+from gradloom.plans.batches import WEIGHTS_SCHEMA, Blobs, feed, pack
 from gradloom.plans.kernels import backward_pass, forward_pass, mean_loss
 from gradloom.plans.net import Net
 from gradloom.plans.solver import Solver
@@ -119,39 +119,61 @@ def local_sgd_round(window: DataFrame, weights: DataFrame, net: Net, solver: Sol
                     round_no: int = 0, seed: int = 0, state: DataFrame | None = None) -> DataFrame:
     """Every worker takes `tau` steps on its window from the same weights; returns (worker, weights...) rows.
 
-    `window` comes from `round_window`: a worker's group is its `tau * batch` rows, however large the table, and meets
-    a copy of the weights in one cogroup. Nothing passes through the driver. `state` holds per-worker momentum rows.
+    `window` comes from `round_window`. A worker's rows reach one task, sorted, and stream through it: a step is taken
+    whenever `batch` rows are there, so a task holds a minibatch and the Arrow batch it comes from, never a window.
+    Weights are written once and read by the tasks; nothing passes through the driver or is copied per worker. `state`
+    holds per-worker momentum rows; a task reads those of its worker.
     """
-    rows = bind_inputs(window, net, ["worker", "offset"]).repartitionById(workers, "worker")
-    everyone = F.explode(F.sequence(F.lit(0), F.lit(workers - 1))).alias("worker")
-    columns = ["worker", "layer", "blob", "shape", "chunk", "values"]
-    copies = weights.select(everyone, *columns[1:])
-    if state is not None:
-        copies = copies.unionByName(state.select(*columns))
-    copies = copies.repartitionById(workers, "worker")
-
-    def train(key: tuple[pa.Scalar, ...], rows: pa.Table, blobs: pa.Table) -> pa.Table:
-        worker = key[0].as_py()
-        if not rows.num_rows:
-            raise ValueError(f"worker {worker} has no rows")
-        rows = rows.sort_by("offset")
-        columns = {c: rows.column(c).combine_chunks() for c in net.columns()}
-        start = unpack(blobs, net.dtype)
-        local = {name: w for name, w in start.items() if not name[0].endswith(MOMENTUM)}
-        velocity = {(layer[:-len(MOMENTUM)], b): v for (layer, b), v in start.items() if layer.endswith(MOMENTUM)}
-        losses = []
-        for k in range(tau):
-            low = k * batch % rows.num_rows
-            inputs = feed(net, columns, slice(low, min(low + batch, rows.num_rows)))
-            rng = np.random.default_rng([seed, worker, round_no, k])
-            out, caches = forward_pass(net, local, inputs, train=True, rng=rng)
-            losses.append(mean_loss(net, local, out))
-            grads = backward_pass(net, local, caches)
-            solver.update(net, local, grads, velocity, round_no * tau + k, batch)
+    rows = (bind_inputs(window, net, ["worker", "offset"]).repartitionById(workers, "worker")
+            .sortWithinPartitions("worker", "offset"))
+    common = publish(weights)
+    own = published_by(state, "worker") if state is not None else {}
+
+    def finish(worker: int, step: Callable, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local, velocity, losses = step(parts)
         if solver.momentum and solver.momentum_state != "reset":
             local.update({(layer + MOMENTUM, b): v for (layer, b), v in velocity.items()})
         local[LOSS, 0] = np.array([np.mean(losses)])
-        return pack(local, worker=pa.scalar(worker, pa.int32()))
+        yield from pack(local, worker=pa.scalar(worker, pa.int32())).to_batches()
 
-    grouped = rows.groupBy("worker").cogroup(copies.groupBy("worker"))
-    return grouped.applyInArrow(train, "worker int, " + WEIGHTS_SCHEMA)
+    def begin(worker: int) -> Callable:
+        start = {**load_published(common, net.dtype), **(load_published(own[worker], net.dtype) if worker in own else {})}
+        local = {name: w for name, w in start.items() if not name[0].endswith(MOMENTUM)}
+        velocity = {(layer[:-len(MOMENTUM)], b): v for (layer, b), v in start.items() if layer.endswith(MOMENTUM)}
+        losses: list[float] = []
+
+        def step(parts: list[pa.RecordBatch]):
+            k = len(losses)
+            if parts and k < tau:
+                table = pa.Table.from_batches(parts).combine_chunks()
+                inputs = feed(net, {c: table.column(c).combine_chunks() for c in net.columns()}, slice(0, table.num_rows))
+                out, caches = forward_pass(net, local, inputs, train=True, rng=np.random.default_rng([seed, worker, round_no, k]))
+                losses.append(mean_loss(net, local, out))
+                grads = backward_pass(net, local, caches)
+                solver.update(net, local, grads, velocity, round_no * tau + k, batch)
+            return local, velocity, losses
+
+        return step
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker, step, held, size = None, None, [], 0
+        for rows in batches:
+            at = 0
+            while at < rows.num_rows:
+                now = rows.column("worker")[at].as_py()
+                if now != worker:
+                    if step:
+                        yield from finish(worker, step, held)
+                    worker, step, held, size = now, begin(now), [], 0
+                end = int(np.searchsorted(rows.column("worker").to_numpy(), now, side="right"))
+                part = rows.slice(at, min(end - at, batch - size))
+                held.append(part)
+                size += part.num_rows
+                at += part.num_rows
+                if size == batch:
+                    step(held)
+                    held, size = [], 0
+        if step:
+            yield from finish(worker, step, held)
+
+    return rows.mapInArrow(train, "worker int, " + WEIGHTS_SCHEMA)

@@ -83,9 +83,14 @@ def round_window(assigned: DataFrame, counts: DataFrame, tau: int, batch: int, r
     """
     starts = round_starts(counts, tau, batch, round_no, seed, wrap, start)
     offset = F.col("pos") - F.col("start")
+    windowed = assigned.drop("worker_rows").join(F.broadcast(starts), "worker")
     if wrap:
-        offset = F.pmod(offset, F.col("worker_rows"))
-    windowed = assigned.drop("worker_rows").join(F.broadcast(starts), "worker").withColumn("offset", offset)
+        # A worker with fewer rows than the window goes round as often as it takes.
+        first = F.pmod(offset, F.col("worker_rows"))
+        again = F.sequence(first, F.greatest(first, F.lit(tau * batch - 1).cast("bigint")), F.col("worker_rows"))
+        windowed = windowed.withColumn("offset", F.explode(again))
+    else:
+        windowed = windowed.withColumn("offset", offset)
     windowed = windowed.filter((F.col("offset") >= 0) & (F.col("offset") < tau * batch))
     return windowed.withColumn("batch_id", batch_id(F.col("offset"), batch)).drop("worker_rows", "start")
 
