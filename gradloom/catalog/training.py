@@ -18,7 +18,7 @@ from gradloom.plans.fit import fit
 from gradloom.plans.net import softmax_regression
 from gradloom.plans.solver import Solver
 from gradloom.session import cut_lineage, shared_path
-from gradloom.sources.weights import load_weights, save_weights
+from gradloom.sources.weights import append_history, load_weights, save_weights
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -181,6 +181,31 @@ def weights_saved(spark, folder):
     return flat_blobs(load_weights(spark, path))
 
 
+@query(f"""WITH {EMB}, m AS (SELECT label, pos, avg(x) AS v FROM emb GROUP BY label, pos)
+SELECT 'ip' AS layer, 0 AS blob, (label * 64 + pos)::INTEGER AS pos, round(v, 6) + 0.0 AS value FROM m
+UNION ALL SELECT 'ip' AS layer, 1 AS blob, c::INTEGER AS pos, c / 100.0::DOUBLE AS value FROM range(10) a(c)""")
+def weights_saved_by_name(spark, folder):
+    """A net takes its own layers from saved weights, by name; others are left alone."""
+    path = shared_path(spark, "saved")
+    means = class_mean_weights(spark, folder)
+    bias = fixed_weights(spark, NET).filter("blob = 1")
+    save_weights(means.unionByName(bias).unionByName(means.withColumn("layer", F.lit("other"))), path)
+    return flat_blobs(load_weights(spark, path, NET))
+
+
+@query("""SELECT (o_orderkey % 7)::INTEGER AS round, 'price' AS metric, count(*) AS entries, round(sum(o_totalprice), 2) + 0.0 AS total
+FROM orders GROUP BY o_orderkey % 7""")
+def history_appended(spark, folder):
+    """History rows written in two batches and read together; the orders stand for metrics."""
+    path = shared_path(spark, "history")
+    orders = table(spark, folder, "orders")
+    rows = orders.select((F.col("o_orderkey") % 7).cast("int").alias("round"), F.col("o_orderkey").cast("double").alias("elapsed_s"),
+                         F.lit("price").alias("metric"), F.col("o_totalprice").cast("double").alias("value"))
+    append_history(rows.filter("round < 3"), path)
+    append_history(rows.filter("round >= 3"), path)
+    return spark.read.parquet(path).groupBy("round", "metric").agg(F.count(F.lit(1)).alias("entries"), (F.round(F.sum("value"), 2) + 0.0).alias("total"))
+
+
 @query(f"""WITH {WORKER_MEANS} SELECT t.tolerance AS tolerance, bool_and(abs(a.v - b.v) <= t.tolerance) AS equal FROM m a JOIN m b
 ON a.label = b.label AND a.pos = b.pos AND a.worker = 0 AND b.worker = 1, (SELECT unnest([0.0001, 1.0])::DOUBLE AS tolerance) t GROUP BY t.tolerance""")
 def weights_equal_within(spark, folder):

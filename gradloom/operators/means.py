@@ -14,6 +14,10 @@ from gradloom.functions.shapes import indexed, volume
 from gradloom.plans.batches import matrix
 
 
+#: Values of a mean image that travel in one row.
+CHUNK = 4096
+
+
 def mean_by_position(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., pos, n, mean): exact sums per position, combined before the shuffle. Integers are summed as integers."""
     elements = indexed(df, by, F.col(col), "pos", "x")
@@ -29,7 +33,8 @@ def mean_vector(df: DataFrame, col: str) -> DataFrame:
 def mean_image(df: DataFrame, col: str, shape: tuple[int, ...]) -> DataFrame:
     """One row `mean array<double>` of a `binary` or array column, for large images.
 
-    Each task adds whole Arrow batches into one running sum (64-bit integers for bytes) and emits it once.
+    Each task adds whole Arrow batches into one running sum (64-bit integers for bytes) and emits it once, in chunks,
+    which the shuffle adds up as vectors: a few rows per task, not one per pixel.
     """
     n = volume(shape)
     integer = isinstance(df.schema[col].dataType, T.BinaryType)
@@ -42,13 +47,14 @@ def mean_image(df: DataFrame, col: str, shape: tuple[int, ...]) -> DataFrame:
             total = part if total is None else total + part
             rows += len(values)
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([total])], ["n", "sums"])
-
-    kind = "bigint" if integer else "double"
-    partial = df.select(col).mapInArrow(sums, f"n bigint, sums array<{kind}>")
-    per_position = (indexed(partial, ["n"], F.col("sums"), "pos", "s")
-                    .groupBy("pos").agg((F.sum("s") / F.sum("n")).alias("m")))
-    return per_position.agg(as_array("pos", "m").alias("mean"))
+            parts = [total[at:at + CHUNK].astype("f8") for at in range(0, n, CHUNK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([rows] * len(parts), pa.int64()), pa.array(parts)],
+                                             ["chunk", "n", "sums"])
+
+    partial = df.select(col).mapInArrow(sums, "chunk int, n bigint, sums array<double>")
+    merged = partial.groupBy("chunk").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    means = merged.select("chunk", F.transform("sums", lambda s: s / F.col("n")).alias("m"))
+    return means.agg(F.flatten(as_array("chunk", "m")).alias("mean"))
 
 
 def as_array(position: str, value: str) -> Column:

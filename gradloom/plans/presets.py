@@ -10,7 +10,7 @@ from gradloom.plans.solver import Solver
 
 @dataclass(frozen=True)
 class Run:
-    """Batch sizes, steps per round and evaluation interval of a training run."""
+    """Batch sizes, steps per round and evaluation interval of a training run; `scaled` inputs are pixels to be rescaled."""
 
     batch: int
     test_batch: int
@@ -18,12 +18,13 @@ class Run:
     eval_every: int
     shuffle: bool
     cached: bool
+    scaled: bool = False
 
 
 # Layer sizes, fillers, multipliers and run settings of the published nets.
 RUNS = {
     "cifar": Run(100, 100, 10, 5, shuffle=True, cached=True),
-    "mnist": Run(64, 64, 10, 5, shuffle=True, cached=True),
+    "mnist": Run(64, 64, 10, 5, shuffle=True, cached=True, scaled=True),
     "imagenet": Run(256, 256, 50, 10, shuffle=False, cached=True),
     "imagenet-alexnet": Run(256, 256, 10, 5, shuffle=False, cached=False),
     "featurize": Run(100, 100, 0, 0, shuffle=True, cached=True),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gradloom.functions.convert import Conversion
+from gradloom.functions.convert import Conversion, float_vector
+from gradloom.functions.image import rescale
 from gradloom.operators.joins import gather
 from gradloom.operators.samples import apply_null_policy, convert_inputs, persisted
 from gradloom.operators.score import featurize
@@ -30,6 +31,8 @@ def train(preset: str, samples: DataFrame, workers: int, rounds: int, test: Data
     they are written in segments and each round reads its own.
     """
     run, net, solver = RUNS[preset], net or NETS[preset](), solver or SOLVERS[preset]
+    if run.scaled:
+        conversions = {**{i.name: rescaled_vector for i in net.inputs if not i.label}, **(conversions or {})}
     prepare = lambda df: prepare_inputs(apply_null_policy(df, net.columns(), on_null), net, conversions)
     assigned = (assign_workers(prepare(samples), workers, seed=seed) if run.shuffle
                 else assign_workers_in_place(prepare(samples), workers))
@@ -60,6 +63,11 @@ def prepare_inputs(samples: DataFrame, net: Net, conversions: Mapping[str, Conve
     return convert_inputs(samples, net, ["sample_id"], {**raw, **(conversions or {})})
 
 
+def rescaled_vector(col: Column, data_type: T.DataType, shape: Sequence[int]) -> Column:
+    """Unsigned pixels as `x / 255 - 0.5`."""
+    return rescale(float_vector(col, data_type, shape)).cast("array<float>")
+
+
 def weights_of(weights: DataFrame, net: Net) -> DataFrame:
     """The rows of the layers a net has."""
     return weights.filter(F.col("layer").isin([p.layer for p in net.params()]))

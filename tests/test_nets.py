@@ -215,3 +215,10 @@ def test_l2_and_blob_values(spark):
     blobs = unpack(weights.toArrow())
     assert l2_term(weights, {"ip": 0.5}).first()["l2"] == pytest.approx(0.25 * (blobs["ip", 0] ** 2).sum())
     assert blob_values(weights, "ip", 0).first()["values"] == blobs["ip", 0].reshape(-1).tolist()
+
+
+def test_mnist_inputs_are_rescaled(spark):
+    from gradloom.plans.runs import prepare_inputs, rescaled_vector
+    df = spark.createDataFrame([(1, bytes(range(256)) * 3 + bytes(16), 3)], "sample_id long, data binary, label int")
+    row = prepare_inputs(df, mnist_net(), {"data": rescaled_vector}).first()
+    assert RUNS["mnist"].scaled and np.allclose(row["data"][:256], np.arange(256) / 255 - 0.5, atol=1e-6)
