@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.catalog.registry import Registry, table
 from gradloom.llm import decontaminate, mixing, near_duplicates, privacy, toxicity
+from gradloom.llm.words import fresh
 from gradloom.session import ship, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,8 +21,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5."""
     ship(spark)
-    scored = toxicity.score_texts(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col(toxicity.SCORE) < 0.5).select(*docs.columns)
+    score, passages = fresh(docs, toxicity.SCORE), fresh(docs, toxicity.PASSAGES)
+    scored = toxicity.score_texts(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")), score=score, passages_column=passages)
+    return scored.where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from gradloom.llm.words import lower_words, texts_of
 from gradloom.session import stored
 
 PREFIXES = (4, 5, 6)
-#: Columns that `score_texts` adds; their names do not clash with columns of the texts.
+#: Columns that `score_texts` adds unless it is given other names.
 SCORE, PASSAGES = "toxicity__", "passages__"
 
 
@@ -213,8 +213,8 @@ def calibrate(texts: DataFrame, cross: dict[int, Odds | None], final: Odds, leas
     return model
 
 
-def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of docs, with SCORE (0 to 1) and PASSAGES (word ranges with their evidence). One scan, no shuffle."""
+def score_texts(docs: DataFrame, model: Model, text: str = "text", score: str = SCORE, passages_column: str = PASSAGES) -> DataFrame:
+    """All columns of docs, with the score (0 to 1) and the passages (word ranges with their evidence). One scan, no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.columns
 
@@ -228,10 +228,10 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 scores.append(model.score(math.sqrt(sum(e for _, _, e in found))))
                 passages.append([{"begin": b, "end": e, "evidence": x} for b, e, x in found])
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(passages, kind)], names=[*kept, SCORE, PASSAGES])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(passages, kind)], names=[*kept, score, passages_column])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scan, f"{fields}, {SCORE} double, {PASSAGES} array<struct<begin:int,end:int,evidence:double>>")
+    return docs.mapInArrow(scan, f"{fields}, `{score}` double, `{passages_column}` array<struct<begin:int,end:int,evidence:double>>")
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
