@@ -7,9 +7,9 @@ texts agree in a coordinate with the probability of their weighted Jaccard simil
 
 Texts with the same elements and weights are one class from the start and take part once. Bands of the signatures are sorted, not
 grouped: each row is paired with the one before it and the first of its bucket, so a bucket of any size gives twice its rows in
-pairs, on many tasks. Pairs are verified on the shingles themselves; only pairs that still join different components are. Buckets
-that then still hold several components get all pairs between those compared by signature, in blocks, and what may be similar is
-verified as well: no similar pair that shares a bucket is lost to the shortcut.
+pairs, on many tasks. Pairs are verified on the shingles themselves; only pairs that still join different components are. Where
+buckets then still hold several components, all their members are compared in blocks, by signature and then exactly, inside the
+tasks: no similar pair that shares a bucket is lost to the shortcut, and only links that join two components leave a task.
 
 Defined cases: a null text is empty; texts without words are one class. A text of one to four words has one shingle, all of it.
 Null ids stay null: rows, not ids, are the members. Repeated rows are members of one class.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from gradloom.llm import bitmap
 from gradloom.llm.components import components
 from gradloom.llm.ranges import neighbours
-from gradloom.llm.words import Words, as_long, distinct_by_text, lists, mix, slices, with_row_id
+from gradloom.llm.words import Words, as_long, distinct_by_text, lists, mix, slices, with_row_id, without_rows
 from gradloom.session import cut_lineage, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -135,8 +135,19 @@ def bands(signed: DataFrame) -> DataFrame:
     return signed.select("row_id", "signature").mapInArrow(split, "row_id long, band long, rest long")
 
 
-def shingle_sets(rows: DataFrame, wanted: DataFrame, weighted: bool) -> DataFrame:
-    """(row_id, elements, weights) of the rows whose id is in `wanted`. A bitmap of fixed size keeps most other texts from the join."""
+def unit_elements(words: Words, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of weight 1, sorted: a shingle that counts w times is w elements. Weighted similarity is that of these sets."""
+    elements, weights, counts = elements_of(words, weighted)
+    if not weighted:
+        return elements, counts
+    times = weights.astype(np.int64)
+    copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    owner = np.repeat(np.repeat(np.arange(len(counts)), counts), times)
+    return distinct_by_text(mix(np.repeat(elements, times) + copy.astype(np.uint64) * _STEP), np.bincount(owner, minlength=len(counts)))
+
+
+def element_sets(rows: DataFrame, wanted: DataFrame, weighted: bool) -> DataFrame:
+    """(row_id, elements) of the rows whose id is in `wanted`. A bitmap of fixed size keeps most other texts from the join."""
     wanted = stored(wanted.select(F.col("row_id"), F.xxhash64("row_id").alias("h")).distinct(), "wanted")
     sent = bitmap.build(wanted, "h")
 
@@ -144,15 +155,17 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, weighted: bool) -> DataFram
         for batch in batches:
             keep = bitmap.contains(sent.value, batch.column("h").to_numpy())
             for part, texts in slices(iter([batch.filter(pa.array(keep))]), "text"):
-                elements, weights, counts = elements_of(Words(texts), weighted)
-                yield pa.RecordBatch.from_arrays([part.column("row_id"), lists(elements, counts), lists(weights.astype(np.int32), counts)],
-                                                 names=["row_id", "elements", "weights"])
+                yield pa.RecordBatch.from_arrays([part.column("row_id"), lists(*unit_elements(Words(texts), weighted))], names=["row_id", "elements"])
+
+    sets = rows.select("row_id", F.xxhash64("row_id").alias("h"), "text").mapInArrow(some, "row_id long, elements array<long>")
+    return stored(sets.join(wanted.select("row_id"), "row_id", "left_semi"), "element-sets")
 
-    sets = rows.select("row_id", F.xxhash64("row_id").alias("h"), "text").mapInArrow(some, "row_id long, elements array<long>, weights array<int>")
-    return stored(sets.join(wanted.select("row_id"), "row_id", "left_semi"), "shingle-sets")
 
+def similar(common, size_a, size_b, similarity: float):
+    return common >= similarity * (size_a + size_b - common) - 1e-9
 
-def verified(pairs: DataFrame, sets: DataFrame, weighted: bool, similarity: float) -> DataFrame:
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) whose exact similarity reaches the bound."""
     sides = [sets.select(*[F.col(c).alias(f"{c}_{s}") for c in sets.columns]) for s in ("a", "b")]
     joined = pairs.select("a", "b").join(sides[0], F.col("a") == F.col("row_id_a")).join(sides[1], F.col("b") == F.col("row_id_b"))
@@ -160,14 +173,12 @@ def verified(pairs: DataFrame, sets: DataFrame, weighted: bool, similarity: floa
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y, u, v in zip(*(batch.column(c) for c in ("elements_a", "elements_b", "weights_a", "weights_b"))):
-                x, y, u, v = (np.asarray(z.values) for z in (x, y, u, v))
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                common = np.minimum(u[i], v[j]).sum()
-                keep.append(common >= similarity * (u.sum() + v.sum() - common) - 1e-9)
+            for x, y in zip(batch.column("elements_a"), batch.column("elements_b")):
+                x, y = np.asarray(x.values), np.asarray(y.values)
+                keep.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "elements_a", "elements_b", "weights_a", "weights_b").mapInArrow(check, "a long, b long")
+    return joined.select("a", "b", "elements_a", "elements_b").mapInArrow(check, "a long, b long")
 
 
 def _unlike(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -177,40 +188,55 @@ def _unlike(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(~F.coalesce("label_a", "a").eqNullSafe(F.coalesce("label_b", "b"))).select("a", "b")
 
 
-def mixed_buckets(banded: DataFrame, signed: DataFrame, labels: DataFrame, similarity: float, block: int = 128) -> DataFrame:
-    """Pairs of different components in one bucket of four or more whose signatures agree in nearly enough places to be similar.
+def missed_links(banded: DataFrame, signed: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, block: int = 128) -> DataFrame:
+    """Links (a, b) between components that share a bucket of four or more rows; at least one for every two that are linked.
 
-    The estimate has a standard deviation of 0.04 at similarity 0.8; pairs down to 4.5 of them below are kept. Buckets are cut into
-    blocks of about `block` rows; a task holds two blocks. Smaller buckets have had all their pairs.
+    Buckets with several components are joined to families, so that two rows that share many buckets are compared once. A family
+    is cut into blocks of about `block` rows and a task compares two blocks. A signature estimates similarity 0.8 with a standard
+    deviation of 0.04; pairs down to 4.5 of them below are compared exactly. Smaller buckets have had all their pairs.
     """
     large = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 3")
-    members = (banded.join(stored(large, "large-buckets"), "band").join(labels.withColumnRenamed("node", "row_id"), "row_id", "left")
-               .select("band", "n", "row_id", F.coalesce("label", "row_id").alias("label")))
+    members = (banded.select("band", "row_id").join(stored(large, "large-buckets"), "band").join(labels.withColumnRenamed("node", "row_id"), "row_id", "left")
+               .select("band", "row_id", F.coalesce("label", "row_id").alias("label")))
     members = stored(members, "bucket-members")
-    mixed = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    rows = members.join(stored(mixed, "mixed-buckets"), "band").withColumn("block", F.pmod(F.xxhash64("row_id"), blocks).cast("int"))
-    packed = stored(rows.join(signed.select("row_id", "signature"), "row_id").groupBy("band", "block").agg(
-        F.collect_list(F.struct("row_id", "label", "signature")).alias("rows"), F.max("n").alias("n")), "blocks")
-    left = packed.select("band", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)).alias("other"), "block", F.col("rows").alias("x")).where("block <= other")
-    right = packed.select("band", F.col("block").alias("other"), F.col("rows").alias("y"))
-    least = int(np.floor((similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / (BANDS * ROWS))) * BANDS * ROWS))
+    mixed = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("row_id").alias("first")).where("low < high")
+    members = stored(members.join(stored(mixed.select("band", "first"), "mixed-buckets"), "band").select("row_id", "label", "first").distinct(), "mixed-members")
+    families = stored(components(members.select(F.col("row_id").alias("a"), F.col("first").alias("b"))).withColumnsRenamed({"node": "row_id", "label": "family"}), "families")
+    sizes = stored(families.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "family-sizes")
+    rows = (members.select("row_id", "label").distinct().join(families, "row_id").join(sizes, "family")
+            .withColumn("block", F.pmod(F.xxhash64("row_id"), "blocks").cast("int")))
+    full = rows.join(signed.select("row_id", "signature"), "row_id").join(sets, "row_id")
+    packed = stored(full.groupBy("family", "block", "blocks").agg(F.collect_list(F.struct("row_id", "label", "signature", "elements")).alias("rows")), "blocks")
+    left = packed.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block", F.col("rows").alias("x")).where("block <= other")
+    right = packed.select("family", F.col("block").alias("other"), F.col("rows").alias("y"))
+    k = BANDS * ROWS
+    least = int(np.floor((similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / k)) * k))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column("x"), batch.column("y")):
-                (ri, li, si), (rj, lj, sj) = (_unpack(z.values) for z in (x, y))
-                same = np.zeros((len(ri), len(rj)), np.int16)
-                for c in range(BANDS * ROWS):
-                    same += si[:, c, None] == sj[None, :, c]
-                i, j = np.nonzero((same >= least) & (li[:, None] != lj[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ri[i], rj[j])), pa.array(np.maximum(ri[i], rj[j]))], names=["a", "b"])
-
-    return left.join(right, ["band", "other"]).select("x", "y").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
-
-
-def _unpack(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return rows.field("row_id").to_numpy(), rows.field("label").to_numpy(), rows.field("signature").flatten().to_numpy().reshape(len(rows), -1)
+                (row_x, label_x, sign_x, sets_x), (row_y, label_y, sign_y, sets_y) = _unpack(x.values), _unpack(y.values)
+                same = np.zeros((len(row_x), len(row_y)), np.int16)
+                for c in range(k):
+                    same += sign_x[:, c, None] == sign_y[None, :, c]
+                i, j = np.nonzero((same >= least) & (label_x[:, None] != label_y[None, :]))
+                # The most similar first: two components need one link.
+                linked, out = set(), []
+                for n in np.argsort(-same[i, j], kind="stable"):
+                    u, v = i[n], j[n]
+                    key = (min(label_x[u], label_y[v]), max(label_x[u], label_y[v]))
+                    if key not in linked and similar(len(np.intersect1d(sets_x[u], sets_y[v], assume_unique=True)), len(sets_x[u]), len(sets_y[v]), similarity):
+                        linked.add(key)
+                        out.append((int(row_x[u]), int(row_y[v])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out)], names=["a", "b"])
+
+    return left.join(right, ["family", "other"]).select("x", "y").mapInArrow(compare, "a long, b long")
+
+
+def _unpack(rows: pa.StructArray):
+    return (rows.field("row_id").to_numpy(), rows.field("label").to_numpy(), rows.field("signature").flatten().to_numpy().reshape(len(rows), -1),
+            [np.asarray(e.values) for e in rows.field("elements")])
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, weighted: bool = False) -> DataFrame:
@@ -227,15 +253,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     banded = bands(one_each)
     paired = neighbours(banded, "band", "row_id", ["rest"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = stored(paired.groupBy("a", "b").agg(F.count("*").alias("times")), "candidates")
-    sets = shingle_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("row_id")), weighted)
+    sets = element_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("row_id")), weighted)
     # First each row's most frequent partner; then only what still joins different components.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
-    edges = cut_lineage(verified(best, sets, weighted, similarity))
+    edges = cut_lineage(verified(best, sets, similarity))
     labels = cut_lineage(components(edges))
-    edges = cut_lineage(edges.union(verified(_unlike(pairs, labels), sets, weighted, similarity)))
+    edges = cut_lineage(edges.union(verified(_unlike(pairs, labels), sets, similarity)))
     labels = cut_lineage(components(edges))
-    rest = stored(mixed_buckets(banded, one_each, labels, similarity), "mixed-pairs")
-    edges = edges.union(verified(_unlike(rest, labels), sets, weighted, similarity))
+    edges = edges.union(missed_links(banded, one_each, sets, labels, similarity))
     labels = stored(components(edges), "components")
     named = stored(groups.join(labels, F.col("first") == F.col("node"), "left").select("c1", "c2", F.coalesce("label", "first").alias("class_id")), "classes")
     return signed.select("row_id", "doc_id", "c1", "c2").join(named, ["c1", "c2"]).select("row_id", "doc_id", "class_id")
@@ -244,5 +269,4 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 def first_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without near duplicates: of each class the first row of the scan stays, with all its columns."""
     classes = near_duplicates(docs, id_column, text, similarity)
-    gone = stored(classes.where("row_id <> class_id").select(F.col("row_id").alias("gone__")), "duplicates")
-    return with_row_id(docs, "row__").join(gone, F.col("row__") == F.col("gone__"), "left_anti").drop("row__")
+    return without_rows(docs, stored(classes.where("row_id <> class_id").select("row_id"), "duplicates"))
