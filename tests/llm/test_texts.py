@@ -86,7 +86,7 @@ def test_bitmap_has_all_and_few_others(spark):
     sent = bitmap.build(spark.createDataFrame([(v,) for v in values], "v long"), "v")
     assert bitmap.contains(sent.value, np.array(values[:-1])).all()
     other = np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 10_000)
-    assert bitmap.contains(sent.value, other).mean() < 0.01
+    assert bitmap.contains(sent.value, other).sum() <= 1
 
 
 def test_first_by_hash_is_bounded_and_whole(spark):
