@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradloom.llm import bitmap
-from gradloom.llm.words import Words, distinct_by_text, fresh, mix, slices, with_row_id
+from gradloom.llm.words import Words, distinct_by_text, fresh, mix, slices, small, with_row_id
 from gradloom.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -132,7 +132,7 @@ def scan(rows: DataFrame, reach: int) -> DataFrame:
     near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             base, context = [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text) if text else []
@@ -229,7 +229,7 @@ def sanitise(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **o
     joined = with_row_id(docs, own).join(changes, F.col(own) == F.col(other), "left").drop(own, other)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             new = [replaced(t, s) if t and s else t for t, s in zip(batch.column(text).to_pylist(), batch.column(marks).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == text else batch.column(c) for c in columns], names=columns)
 

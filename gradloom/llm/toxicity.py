@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradloom.llm.ranges import first_by_hash
-from gradloom.llm.words import lower_words, texts_of
+from gradloom.llm.words import lower_words, small, texts_of
 from gradloom.session import stored
 
 PREFIXES = (4, 5, 6)
@@ -61,7 +61,7 @@ class Odds(dict):
         return math.log(share / (1 - share)) - self.zero
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = self.odds(word) - self.drift
         return value
@@ -220,7 +220,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", score: str =
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in small(batches):
             scores, passages = [], []
             for value in texts_of(batch.column(text)):
                 n, found = model.scan(value)
@@ -229,6 +229,8 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", score: str =
                 passages.append([{"begin": b, "end": e, "evidence": x} for b, e, x in found])
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("evidence", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(passages, kind)], names=[*kept, score, passages_column])
+        if model.odds is not None:
+            model.odds.clear()  # the worker lives on, and with it the model it was sent
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(scan, f"{fields}, `{score}` double, `{passages_column}` array<struct<begin:int,end:int,evidence:double>>")
