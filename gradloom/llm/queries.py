@@ -86,7 +86,8 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 @REGISTRY.query(None)
 def op7_shared_passages(spark: SparkSession, folder: str) -> DataFrame:
-    return suffixes.shared_passages(table(spark, folder, "documents")).drop("row_id")
+    """With row_id, since the links name rows."""
+    return suffixes.shared_passages(table(spark, folder, "documents"))
 
 
 @REGISTRY.query(None)
