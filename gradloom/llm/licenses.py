@@ -1,7 +1,7 @@
 """Licence scans by a positional index of rare words.
 
-The templates' words are indexed with their positions. A text's licence words of the highest inverse document frequency (counted
-over all texts) are looked up; each occurrence votes for a template at a relative position (text position less template
+The templates' words of the highest inverse document frequency (counted over all texts) are indexed with their positions. All
+occurrences of them in a text are looked up; each votes for a template at a relative position (text position less template
 position); postings that agree on it are a candidate, which must hold the template's mandatory phrases there. The base phrases
 are found in the same index by their rarest word, at every place.
 
@@ -77,16 +77,16 @@ def document_counts(df: DataFrame, text: str, words: list[bytes]) -> tuple[int,
 
 
 class Scanner:
-    def __init__(self, index: Index, n: int, counts: dict[bytes, int], rare: int, rare_idf: float, least: int):
+    def __init__(self, index: Index, n: int, counts: dict[bytes, int], rare_idf: float, least: int):
         self.idf = {w: math.log((n + 1) / (counts.get(w, 0) + 1)) for w in index.words}
-        self.index, self.rare, self.least = index, rare, least
+        self.index, self.least = index, least
         order = lambda w: (-self.idf[w], w)
         #: A phrase is looked up by its rarest word, and checked around it.
         self.base = []
         for phrase, label in index.base:
             key = min(phrase, key=order)
             self.base.append((phrase, label, key, phrase.index(key)))
-        # Words that are frequent in the corpus are never among a text's rarest words; every template keeps its own rarest few.
+        # Words that are frequent in the corpus do not vote; every template keeps its own rarest few.
         self.postings = defaultdict(list)
         for t, (_, text, _) in enumerate(index.templates):
             own = sorted(set(text), key=order)
@@ -114,7 +114,7 @@ class Scanner:
                 base.add(label)
         labels, score = set(), 0.0
         votes = defaultdict(set)
-        for w in sorted((w for w in there if w in self.postings), key=lambda w: (-self.idf[w], w))[:self.rare]:
+        for w in there & self.postings.keys():
             for p in places[w]:
                 for t, q in self.postings[w]:
                     votes[t, p - q].add(w)
@@ -137,14 +137,14 @@ def holds(words: list[bytes], phrase: list[bytes]) -> bool:
     return any(words[i] == phrase[0] and words[i:i + len(phrase)] == phrase for i in range(len(words) - len(phrase) + 1))
 
 
-def scan_licenses(df: DataFrame, id_column: str = "doc_id", text: str = "text", rare: int = 12, rare_idf: float = 1.5, least: int = 3,
+def scan_licenses(df: DataFrame, id_column: str = "doc_id", text: str = "text", rare_idf: float = 1.5, least: int = 3,
                   notices=NOTICES, base=BASE_PHRASES) -> DataFrame:
-    """One row per text. A notice is found when `least` of the text's `rare` rarest licence words agree on its place.
+    """One row per text. A notice is found when `least` of its rare words agree on its place, whatever else the text holds.
 
     Two scans, no shuffle but a few counters: the first counts in how many texts each licence word stands, the second scans.
     """
     index = Index(notices, base)
-    scanner = Scanner(index, *document_counts(df, text, index.words), rare, rare_idf, least)
+    scanner = Scanner(index, *document_counts(df, text, index.words), rare_idf, least)
     schema = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
