@@ -110,7 +110,7 @@ class Planes:
 class Unit:
     """A small tree over a unit's vectors: leaves of equal size with their boxes."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray):
+    def __init__(self, ids: np.ndarray, names: pa.Array, vectors: np.ndarray, projected: np.ndarray):
         order, todo, self.ends = np.arange(len(ids)), [(0, len(ids))], []
         while todo:
             begin, end = todo.pop()
@@ -123,6 +123,10 @@ class Unit:
             order[begin:end] = own[np.argpartition(projected[own, axis], half)]
             todo += [(begin, begin + half), (begin + half, end)]
         self.ids, self.vectors = ids[order], vectors[order]
+        # Place of each vector among equal scores: by name, nulls last, then by row.
+        place = np.empty(len(ids), np.int64)
+        place[np.lexsort((ids, names.fill_null(0).to_numpy(), names.is_null().to_numpy(zero_copy_only=False)))] = np.arange(len(ids))
+        self.places = place[order]
         points = projected[order]
         self.low = np.array([points[b:e].min(0) for b, e in self.ends])
         self.high = np.array([points[b:e].max(0) for b, e in self.ends])
@@ -131,23 +135,24 @@ class Unit:
         """(scores, ids) of the k best. `far` is |q|^2 + M^2: squared distance = far - 2 score. `bound` is a score that k others reach already."""
         gaps = np.square(np.maximum(np.maximum(self.low - point, point - self.high), 0)).sum(1)
         order = np.argsort(gaps, kind="stable")
-        scores, ids = np.zeros(0), np.zeros(0, np.int64)
+        scores, best = np.zeros(0), np.zeros(0, np.int64)
         at, step = 0, 2
         while at < len(order):
             if gaps[order[at]] > quantile * max(far - 2 * bound, 0.0):
                 break
             some = np.concatenate([np.arange(*self.ends[i]) for i in order[at:at + step]])
-            found = self.vectors[some] @ query
+            # Not a matrix product, whose sums depend on a row's place: equal vectors have equal scores.
+            found = np.einsum("ij,j->i", self.vectors[some], query)
             keep = (found >= bound) & (self.ids[some] != own)
-            scores, ids = np.concatenate([scores, found[keep]]), np.concatenate([ids, self.ids[some][keep]])
+            scores, best = np.concatenate([scores, found[keep]]), np.concatenate([best, some[keep]])
             if len(scores) > k:
-                # Ties go to smaller ids, as in the result.
-                best = np.lexsort((ids, -scores))[:k]
-                scores, ids = scores[best], ids[best]
+                # Ties go to smaller names, as in the result.
+                first = np.lexsort((self.places[best], -scores))[:k]
+                scores, best = scores[first], best[first]
             if len(scores) == k:
                 bound = max(bound, float(scores.min()))
             at, step = at + step, step * 2
-        return scores, ids
+        return scores, self.ids[best]
 
 
 FOUND = "query long, vector long, score double"
@@ -158,7 +163,7 @@ def _searcher(k: int, quantile: float, largest: float):
         out = ([], [], [])
         if vectors.num_rows and queries.num_rows:
             vectors, queries = vectors.combine_chunks(), queries.combine_chunks()
-            unit = Unit(vectors["row_id"].to_numpy(), matrix(vectors["vector"].combine_chunks()), matrix(vectors["point"].combine_chunks()))
+            unit = Unit(vectors["row_id"].to_numpy(), vectors["id"].combine_chunks(), matrix(vectors["vector"].combine_chunks()), matrix(vectors["point"].combine_chunks()))
             wanted, points = matrix(queries["wanted"].combine_chunks()), matrix(queries["aim"].combine_chunks())
             for row, query, point, bound in zip(queries["query"].to_pylist(), wanted, points, queries["bound"].to_pylist()):
                 far = float(query @ query) + largest
@@ -215,14 +220,14 @@ def nearest(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding",
     sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}  # at most CELLS rows
     parts = {c: -(-s // unit) for c, s in sizes.items()}
     known = F.broadcast(rows.sparkSession.createDataFrame([(int(c), int(p)) for c, p in parts.items()], "cell int, parts int"))
-    units = placed.join(known, "cell").select("cell", F.pmod(F.xxhash64("row_id"), "parts").cast("int").alias("part"), "row_id", "vector", "point")
+    units = placed.join(known, "cell").select("cell", F.pmod(F.xxhash64("row_id"), "parts").cast("int").alias("part"), "row_id", "id", "vector", "point")
     queries = placed.where(F.col("id") % query_every == 0).select("row_id", "vector", F.col("asked").alias("point"), "home")
 
     def search(visits: DataFrame) -> DataFrame:
         """visits: (cell, row_id, vector, point, bound). Queries of a cell are dealt to lots of bounded size, each with a copy of the cell's units."""
         lots = visits.groupBy("cell").count().select("cell", F.ceil(F.col("count") / QUERIES).cast("int").alias("lots")).collect()  # at most CELLS rows
         lots = F.broadcast(rows.sparkSession.createDataFrame([(int(c), int(n_)) for c, n_ in lots], "cell int, lots int"))
-        left = units.join(lots, "cell").select("cell", "part", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "row_id", "vector", "point")
+        left = units.join(lots, "cell").select("cell", "part", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "row_id", "id", "vector", "point")
         right = (visits.join(lots, "cell").join(known, "cell").withColumn("lot", F.pmod(F.xxhash64("row_id", F.lit(1)), "lots").cast("int"))
                  .select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "lot",
                          F.col("row_id").alias("query"), F.col("vector").alias("wanted"), F.col("point").alias("aim"), "bound"))
