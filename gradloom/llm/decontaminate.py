@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gradloom.llm import bitmap
-from gradloom.llm.words import Words, as_long, distinct_by_text, lists, mix, slices, with_row_id, without_rows
+from gradloom.llm.words import Words, as_long, distinct_by_text, lists, mix, scanned, slices, with_row_id, without_rows
 from gradloom.session import stored
 
 SHINGLE, CONTAINMENT, FUNCTIONS = 5, 0.8, 48
@@ -138,5 +138,6 @@ def contained_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id"
 
 def without_items(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """The rows of docs that contain no item, with all their columns."""
+    docs = scanned(docs)
     found = contained_items(docs, items, id_column, text, containment=containment)
     return without_rows(docs, stored(found.select("row_id").distinct(), "contaminated"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from gradloom.llm import bitmap
 from gradloom.llm.components import components
 from gradloom.llm.ranges import neighbours
-from gradloom.llm.words import Words, as_long, distinct_by_text, lists, mix, slices, with_row_id, without_rows
+from gradloom.llm.words import Words, as_long, distinct_by_text, lists, mix, scanned, slices, with_row_id, without_rows
 from gradloom.session import cut_lineage, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -268,5 +268,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 def first_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs without near duplicates: of each class the first row of the scan stays, with all its columns."""
+    docs = scanned(docs)
     classes = near_duplicates(docs, id_column, text, similarity)
     return without_rows(docs, stored(classes.where("row_id <> class_id").select("row_id"), "duplicates"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradloom.llm import bitmap
-from gradloom.llm.words import Words, distinct_by_text, fresh, mix, slices, small, with_row_id
+from gradloom.llm.words import Words, distinct_by_text, fresh, mix, scanned, slices, small, with_row_id
 from gradloom.session import stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -222,6 +222,7 @@ def replaced(text: str, spans: list[dict]) -> str:
 
 def sanitise(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All rows and columns of docs, with personal data and the terms that reveal them replaced in the text."""
+    docs = scanned(docs)
     found = personal_data(docs, id_column, text, **options)
     own, other, marks = fresh(docs, "row"), fresh(docs, "changed"), fresh(docs, "marks")
     changes = stored(found.where(F.size("spans") > 0).select("row_id", "spans"), "spans").toDF(other, marks)

@@ -178,7 +178,7 @@ def _searcher(k: int, quantile: float, largest: float):
 def usable(df: DataFrame, id_column: str, vector: str) -> DataFrame:
     """(row_id, id, vector as doubles) of the vectors that take part."""
     numbers = F.transform(F.col(vector), lambda x: x.cast("double"))
-    fine = F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = with_row_id(df.select(F.col(id_column).cast("long").alias("id"), numbers.alias("vector"))).where(F.coalesce(fine, F.lit(False)))
     return rows.where(F.exists("vector", lambda x: x != 0))
 

@@ -12,10 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gradloom.session import stored
+
 #: Words of letters, digits and all non-ASCII bytes; A-Z become a-z, everything else a blank.
 LOWER_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 #: Text that one vectorised step takes at most (a longer text is a step of its own).
 SLICE_BYTES = 2 << 20
+#: Of a row number, those that are the row's place in its file.
+PLACE_BITS = 36
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -23,8 +27,28 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Number the rows of a table scan. The numbers are those of a later scan of the same table, whatever columns it reads."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Number the rows of a Parquet table by file and place in it. A later scan of the table gives the same numbers, whatever columns it
+    reads and however the files are split. Rows that are no such scan are written first: what joins back to `df` by number must
+    begin with `scanned(df)` itself.
+    """
+    df = scanned(df)
+    file, place, path, number = (fresh(df, c) for c in ("file", "place", "path", "number"))
+    # A path without authority is written with one slash or with three.
+    paths = [(p, i) for i, f in enumerate(sorted(df.inputFiles())) for p in {f, f.replace(":///", ":/", 1)}]
+    files = df.sparkSession.createDataFrame(paths, f"{path} string, {number} long")
+    placed = df.withColumns({file: F.col("_metadata.file_path"), place: F.col("_metadata.row_index")})
+    known = F.when(F.col(number).isNull(), F.raise_error(F.concat(F.lit("no number for "), F.col(file))).cast("long")).otherwise(F.col(number))
+    row = F.shiftleft(known, PLACE_BITS) + F.col(place)
+    return placed.join(F.broadcast(files), F.col(file) == F.col(path), "left").select(*[F.col(f"`{c}`") for c in df.columns if c != name], row.alias(name))
+
+
+def scanned(df: DataFrame) -> DataFrame:
+    """`df` if it is a scan of Parquet files, or columns or a part of one; else its rows written as a table."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    scan = plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().toString().lower() == "parquet"
+    return df if scan and "_metadata" not in df.columns else stored(df, "scanned-rows")
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -35,7 +59,7 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def without_rows(df: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of a table scan whose row number is not in the one column of `gone`; all columns, whatever their names."""
+    """Rows of a table scan (see `scanned`) whose row number is not in the one column of `gone`; all columns, whatever their names."""
     own, other = fresh(df, "row"), fresh(df, "gone")
     numbers = gone.toDF(other)
     return with_row_id(df, own).join(numbers, F.col(own) == F.col(other), "left_anti").drop(own)
