@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.catalog.registry import Registry, table
-from gradloom.llm import decontaminate, language_model, licenses, mixing, near_duplicates, privacy, suffixes, toxicity, vector_search, warc
+from gradloom.llm import (bpe, decontaminate, language_model, lexical_search, licenses, mixing, near_duplicates, privacy, suffixes, toxicity, vector_search,
+                          warc, whitening)
 from gradloom.session import shared_path, stored
 
 REGISTRY = Registry()
@@ -100,4 +101,34 @@ def op4_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vector_search.nearest(table(spark, folder, "embeddings"))
 
 
+RANKED_SQL = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS b, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+q AS (SELECT item_id, b, t, count(*) AS repeats FROM b GROUP BY ALL),
+s AS (SELECT count(*)::BIGINT AS n_all, sum(len(w))::BIGINT AS l_all FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, r, len(w)::BIGINT AS n, unnest(w) AS t FROM d),
+f AS (SELECT doc_id, r, n, t, count(*)::BIGINT AS tf FROM p WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+g AS (SELECT t, floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM f, s GROUP BY t, n_all),
+m AS (SELECT item_id, b, doc_id, r, sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_all) // l_all))))::BIGINT AS score
+FROM f JOIN g USING (t) JOIN q USING (t), s GROUP BY item_id, b, doc_id, r)
+SELECT item_id, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM m WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id) <= 20"""
+
+
+@REGISTRY.query(RANKED_SQL)
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@REGISTRY.query(None)
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"), bpe.read_vocabulary(bpe.default_path()))
+
+
+@REGISTRY.query(None)
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES = REGISTRY.queries
