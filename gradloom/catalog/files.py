@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 from gradloom.catalog.preparation import PLANES, image_struct, pixel_bytes
 from gradloom.catalog.registry import Registry, elements, table
 from gradloom.functions.convert import byte_at, unsigned_bytes
-from gradloom.operators.joins import attach_labels
-from gradloom.session import shared_path, stored
-from gradloom.sources.archives import expand_tar, land_members, read_nested_tar, read_tar
+from gradloom.session import shared_path, shuffle_partitions
+from gradloom.sources.archives import expand_tar, index_tar, land_members, list_archives, read_nested_tar, read_tar
 from gradloom.sources.files import basename
 from gradloom.sources.idx import (IMAGE_MAGIC, LABEL_MAGIC, decode_idx_images, decode_idx_labels, idx_header, read_idx_images,
                                   read_idx_labels, zip_by_index)
-from gradloom.sources.images import read_archived_images
+from gradloom.sources.images import read_labelled_images
 from gradloom.sources.labels import publish_labels, read_labels
 from gradloom.sources.records import decode_fixed_records, read_fixed_records
 from gradloom.sources.tabular import read_csv_features
@@ -196,8 +195,23 @@ def image_archives(spark, folder):
                                 F.concat(F.lit("x/"), name).alias("member"), bitmap().alias("body")))
     labels_path = shared_path(spark, "labels")
     publish_labels(df.select(F.concat(F.lit("y/"), name).alias("filename"), "label"), labels_path)
-    members = read_tar(spark, _landed(spark, archives, "image-tars"))
-    images = stored(read_archived_images(members, shared_path(spark, "images"), 4, 4), "decoded")
-    labelled = attach_labels(images, read_labels(spark, labels_path))
-    rows = labelled.select(F.split("filename", "[.]")[0].cast("bigint").alias("vec_id"), "label", unsigned_bytes(F.col("data")).alias("v"))
+    index = index_tar(list_archives(spark, _landed(spark, archives, "image-tars"), shuffle_partitions(spark)))
+    images, _ = read_labelled_images(index, read_labels(spark, labels_path), 4, 4, "error")
+    rows = images.select(F.split("filename", "[.]")[0].cast("bigint").alias("vec_id"), "label", unsigned_bytes(F.col("data")).alias("v"))
     return elements(rows, ["vec_id", "label"], F.col("v"))
+
+
+@query("""SELECT label, count(*) FILTER (WHERE vec_id % 11 <> 3) AS images, any_value(n) AS read, any_value(kept) AS kept, any_value(n - kept) AS dropped
+FROM embeddings, (SELECT count(*) AS n, count(*) FILTER (WHERE vec_id % 11 <> 3) AS kept FROM embeddings WHERE vec_id % 7 <> 2)
+WHERE vec_id % 7 <> 2 GROUP BY label""")
+def broken_images_dropped(spark, folder):
+    """Archives in which every eleventh image is broken and every seventh has no label: what is decoded by label, and how many were dropped."""
+    df = table(spark, folder, "embeddings")
+    name = F.concat("vec_id", F.lit(".bmp"))
+    body = F.when(F.col("vec_id") % 11 == 3, F.encode(F.lit("no image"), "UTF-8")).otherwise(bitmap())
+    archives = tar_up(df.select(F.concat(F.floor(F.col("vec_id") / 50), F.lit(".tar")).alias("filename"), F.concat(F.lit("x/"), name).alias("member"), body.alias("body")))
+    labels = df.where("vec_id % 7 <> 2").select(name.alias("filename"), "label")
+    index = index_tar(list_archives(spark, _landed(spark, archives, "broken-tars"), shuffle_partitions(spark)))
+    images, counts = read_labelled_images(index, labels, 4, 4, group_bytes=40_000)
+    by_label = images.groupBy("label").agg(F.count(F.lit(1)).alias("images"))
+    return by_label.withColumns({c: counts.select(c).scalar() for c in counts.columns})

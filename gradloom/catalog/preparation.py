@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from gradloom.catalog.registry import EMB, PIX, Registry, elements, pixels, r6, table
 from gradloom.functions.convert import signed_bytes, to_float_vector, to_typed, unsigned_bytes, unsigned_bytes_native
-from gradloom.functions.image import crop_chw, crop_corner, prepare_hwc, random_crop, rescale, subtract_mean, to_planar_rgb
+from gradloom.functions.image import crop_chw, crop_corner, prepare_hwc, random_crop, rescale, round_crop, subtract_mean, to_planar_rgb
 from gradloom.functions.shapes import counting, indexed, let
-from gradloom.operators.means import mean_by_position, mean_image, mean_vector
+from gradloom.operators.means import mean_by_position, mean_image, mean_vector, publish_mean
 from gradloom.operators.samples import apply_null_policy, convert_inputs, null_counts, project, widen, with_scalar
+from gradloom.operators.score import prepared_input
 from gradloom.plans.net import softmax_regression
 from gradloom.session import shuffle_partitions
 
@@ -147,6 +148,46 @@ def crop_chw_to_hwc(spark, folder):
     return elements(centred, ["vec_id"], vector)
 
 
+#: Embeddings as 4 x 4 x 4 bytes, their mean image, and in each round crops of 3 x 2 pixels with a corner from id and round.
+CROPPED = PIX + """, mean AS (SELECT pos, avg(px)::FLOAT AS m FROM pix GROUP BY pos), rounds AS (SELECT unnest([0, 1, 2]) AS round),
+cropped AS (SELECT round, vec_id, label, (px::FLOAT - m)::DOUBLE AS x, pix.pos // 16 AS c, (pix.pos // 4) % 4 - (vec_id + round) % 2 AS r,
+pix.pos % 4 - (vec_id + 2 * round) % 3 AS q FROM pix JOIN mean ON pix.pos = mean.pos, rounds),
+crops AS (SELECT round, vec_id, label, c, r, q, x FROM cropped WHERE r BETWEEN 0 AND 2 AND q BETWEEN 0 AND 1)"""
+
+
+def crop_corners(sample, round_no):
+    return F.pmod(sample + round_no, F.lit(2)).cast("int"), F.pmod(sample + 2 * round_no, F.lit(3)).cast("int")
+
+
+def byte_images(spark, folder):
+    """(vec_id, label, data): embeddings as byte images."""
+    return table(spark, folder, "embeddings").select("vec_id", "label", pixel_bytes().alias("data"))
+
+
+def cropping_net(images, interleave=False):
+    """Softmax regression on crops minus the stored mean image, drawn anew in each round."""
+    mean = publish_mean(images, "data", (4, 4, 4))
+    return softmax_regression(24, 10).prepared("data", round_crop(mean, (4, 4, 4), (3, 2), id_col="vec_id", corner=crop_corners, interleave=interleave))
+
+
+def _crop_rounds(spark, folder, interleave):
+    images = byte_images(spark, folder)
+    net = cropping_net(images, interleave=interleave)
+    parts = [prepared_input(images, net, "data", ["vec_id"], r).withColumn("round", F.lit(r)) for r in range(3)]
+    return elements(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["round", "vec_id"], F.col("data"))
+
+
+@query(f"WITH {CROPPED} SELECT round::INTEGER AS round, vec_id, (c * 6 + r * 2 + q)::INTEGER AS pos, round(x, 6) + 0.0 AS value FROM crops")
+def crop_rounds(spark, folder):
+    """Planar batches of three rounds: the stored mean subtracted, another crop in each."""
+    return _crop_rounds(spark, folder, False)
+
+
+@query(f"WITH {CROPPED} SELECT round::INTEGER AS round, vec_id, ((r * 2 + q) * 4 + c)::INTEGER AS pos, round(x, 6) + 0.0 AS value FROM crops")
+def crop_rounds_interleaved(spark, folder):
+    return _crop_rounds(spark, folder, True)
+
+
 @query("SELECT vec_id, 90 AS size, true AS same, true AS inside FROM embeddings")
 def crop_random(spark, folder):
     """Each random crop is the image at its corner, value by value, and the corner leaves room for it."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradloom.catalog.registry import EMB, Registry, elements, r6, table
 from gradloom.catalog.sampling import by_arithmetic
 from gradloom.functions.dense import argmax, dense, percent, relu, softmax, softmax_loss
+from gradloom.functions.fill import BELOW_TWO, MIDDLE, TAIL, TAILS
 from gradloom.operators.evaluate import accuracy, batch_accuracy
 from gradloom.operators.samples import widen, with_scalar
 from gradloom.operators.score import evaluate, featurize, forward
@@ -194,6 +195,40 @@ def average_pooling_flat(spark, folder):
     return elements(df, ["vec_id"], F.col("flat"))
 
 
+DRAWN = n.Net("drawn", (n.Input("embedding", (64,)),), (
+    n.dense("even", "embedding", 3, fillers=(n.Filler("xavier"), n.Filler("constant", value=0.1))),
+    n.dense("bell", "embedding", 3, fillers=(n.Filler("gaussian", std=0.5), n.Filler("gaussian", std=2.0))),
+    n.dense("cut", "embedding", 3, fillers=(n.Filler("truncated", std=0.1), n.Filler("truncated", std=0.1)))))
+
+
+def _horner(factors, x):
+    text = f"({factors[0]!r}::DOUBLE)"
+    for factor in factors[1:]:
+        text = f"({text} * {x} + ({factor!r}::DOUBLE))"
+    return text
+
+
+DRAWN_SQL = f"""WITH {EMB}, place AS (SELECT layer, c, i, '5/' || layer || '/' || CASE WHEN i < 64 THEN '0/' || (c * 64 + i) ELSE '1/' || c END AS name
+FROM (SELECT unnest(['even', 'bell', 'cut']) AS layer), range(3) a(c), range(65) b(i)),
+drawn AS (SELECT *, (('0x' || substr(md5(name), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656::DOUBLE AS u FROM place),
+share AS (SELECT *, CASE layer WHEN 'cut' THEN {BELOW_TWO!r}::DOUBLE + u * ({1 - 2 * BELOW_TWO!r}::DOUBLE) ELSE u END AS p FROM drawn),
+half AS (SELECT *, p - 0.5::DOUBLE AS q, (p - 0.5::DOUBLE) * (p - 0.5::DOUBLE) AS q2, sqrt(-2::DOUBLE * ln(least(p, 1::DOUBLE - p))) AS t FROM share),
+deviate AS (SELECT *, CASE WHEN p BETWEEN {TAIL} AND 1 - {TAIL} THEN {_horner(MIDDLE[0], 'q2')} * q / {_horner(MIDDLE[1], 'q2')}
+ELSE (CASE WHEN p < 0.5 THEN 1 ELSE -1 END) * {_horner(TAILS[0], 't')} / {_horner(TAILS[1], 't')} END AS z FROM half),
+w AS (SELECT layer, c, i, CASE layer WHEN 'even' THEN CASE WHEN i < 64 THEN (2 * u - 1) * sqrt(3 / 64::DOUBLE) ELSE 0.1 END
+WHEN 'bell' THEN CASE WHEN i < 64 THEN 0.5 * z ELSE 2 * z END ELSE 0.1 * z END AS w FROM deviate),
+x AS (SELECT vec_id, pos AS i, x FROM emb UNION ALL SELECT vec_id, 64 AS i, 1.0::DOUBLE AS x FROM embeddings)
+SELECT vec_id, layer, c::INTEGER AS pos, round(sum(x * w), 6) + 0.0 AS value FROM x JOIN w ON x.i = w.i GROUP BY vec_id, layer, c"""
+
+
+@query(DRAWN_SQL)
+def initial_weights_forward(spark, folder):
+    """Layers with drawn weights of every filler: xavier, gaussian, truncated, constant."""
+    df = forward(table(spark, folder, "embeddings"), DRAWN, init_weights(spark, DRAWN, 5), ["even", "bell", "cut"], ["vec_id"], element="double")
+    parts = [elements(df, ["vec_id"], F.col(layer)).withColumn("layer", F.lit(layer)) for layer in ("even", "bell", "cut")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(None)
 def featurize_cifar(spark, folder):
     """The image net's `ip1` activations of tiled embeddings, with drawn initial weights."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gradloom.catalog.preparation import CROPPED, byte_images, cropping_net
 from gradloom.catalog.registry import EMB, Registry, r6, table
 from gradloom.catalog.sampling import by_arithmetic
 from gradloom.catalog.scoring import NET, PROBS, fixed_weights
@@ -127,6 +128,28 @@ def local_round_two_steps(spark, folder):
     return flat_blobs(merged.filter(~F.col("layer").endswith(MOMENTUM) & (F.col("layer") != LOSS)))
 
 
+@query(f"""WITH {CROPPED},
+src AS (SELECT vec_id, (vec_id % 4) AS worker, row_number() OVER (PARTITION BY vec_id % 4 ORDER BY vec_id) - 1 AS rn, count(*) OVER (PARTITION BY vec_id % 4) AS n FROM embeddings),
+win AS (SELECT vec_id, worker FROM src WHERE rn - (worker * 31 + 7) % (n - 10) BETWEEN 0 AND 9),
+x AS (SELECT vec_id, worker, label, c * 6 + r * 2 + q AS i, x / 1 AS x FROM crops JOIN win USING (vec_id) WHERE round = 2
+UNION ALL SELECT vec_id, worker, label, 24 AS i, 1.0::DOUBLE AS x FROM win JOIN embeddings USING (vec_id)),
+w AS (SELECT c, i, CASE WHEN i < 24 THEN ((c * 7 + i) % 5 - 2) / 10.0::DOUBLE ELSE c / 100.0::DOUBLE END AS w FROM range(10) a(c), range(25) b(i)),
+z AS (SELECT worker, vec_id, label, c, sum(x * w) AS z FROM x JOIN w ON x.i = w.i GROUP BY worker, vec_id, label, c),
+e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM z),
+d AS (SELECT worker, vec_id, c, e / sum(e) OVER (PARTITION BY vec_id) - (c = label)::INTEGER AS d FROM e),
+g AS (SELECT d.worker, c, i, avg(d * x) AS g FROM d JOIN x ON d.vec_id = x.vec_id GROUP BY d.worker, c, i)
+SELECT 'ip' AS layer, (w.i = 24)::INTEGER AS blob, (CASE WHEN w.i < 24 THEN w.c * 24 + w.i ELSE w.c END)::INTEGER AS pos,
+round(avg(w - 0.001::DOUBLE * g), 6) + 0.0 AS value FROM w JOIN g ON w.c = g.c AND w.i = g.i GROUP BY w.c, w.i""")
+def crop_round_step(spark, folder):
+    """A step of four workers in round 2 on byte images: mean subtracted and cropped inside the batch, then the average of the weights."""
+    images = byte_images(spark, folder)
+    net = cropping_net(images)
+    df = by_arithmetic(images)
+    window = round_window(df, worker_counts(df), 1, 10, 2, start=(F.col("worker") * 31 + 7) % (F.col("worker_rows") - 10))
+    local = local_sgd_round(window, fixed_weights(spark, net), net, Solver(0.001), 4, 1, 10, round_no=2)
+    return flat_blobs(average_weights(local, 4).filter(F.col("layer") != LOSS))
+
+
 LINEITEM_NET = softmax_regression(4, 3, data="features")
 
 
@@ -241,6 +264,27 @@ def fit_rounds(spark, folder):
     return _fit(spark, folder, "average")
 
 
+EVALUATED = _rounds(1).split(" SELECT 'ip' AS layer")[0] + f""", weights AS (SELECT 0 AS round, c, i, w FROM w0_0 WHERE worker = 0
+UNION ALL SELECT 1 AS round, c, i, avg(w) AS w FROM w0_2 GROUP BY c, i),
+kept AS (SELECT vec_id, label FROM src WHERE rn < n // 15 * 15),
+xs AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings JOIN kept USING (vec_id, label)
+UNION ALL SELECT vec_id, label, 1.0::DOUBLE AS x, 64 AS i FROM kept),
+zs AS (SELECT round, vec_id, label, c, sum(x * w) AS z FROM xs JOIN weights ON xs.i = weights.i GROUP BY round, vec_id, label, c),
+rows_ AS (SELECT round, vec_id, (arg_max(c, z) = any_value(label))::INTEGER AS hit, ln(sum(exp(z - m))) + any_value(m) - max(CASE WHEN c = label THEN z END) AS loss
+FROM (SELECT *, max(z) OVER (PARTITION BY round, vec_id) AS m FROM zs) GROUP BY round, vec_id)
+SELECT round::INTEGER AS round, 'accuracy' AS metric, round(avg(hit), 6) + 0.0 AS value FROM rows_ GROUP BY round
+UNION ALL SELECT round::INTEGER AS round, 'test_loss' AS metric, round(avg(loss), 6) + 0.0 AS value FROM rows_ GROUP BY round"""
+
+
+@query(EVALUATED)
+def fit_rounds_evaluated(spark, folder):
+    """What the history of two rounds says of a test table of four workers, over full minibatches of 15 rows, before each round."""
+    df = cut_lineage(by_arithmetic(table(spark, folder, "embeddings")))
+    start = lambda round_no: (F.col("worker") * 31 + 7 + 13 * round_no) % (F.col("worker_rows") - 20)
+    result = fit(df, NET, SOLVER, rounds=2, tau=2, batch=10, weights=fixed_weights(spark, NET), start=start, test=df, eval_every=1, test_batch=15)
+    return result.history.where("metric <> 'loss'").select("round", "metric", r6("value").alias("value"))
+
+
 @query(_rounds(2, "local"))
 def fit_rounds_local_momentum(spark, folder):
     return _fit(spark, folder, "local")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from gradloom.functions.ndarray import nd_box, nd_subtract
 from gradloom.functions.shapes import counting, let, volume
-from gradloom.plans.batches import list_column, matrix
+from gradloom.plans.batches import StoredVector, list_column, matrix
 from gradloom.plans.net import Prepare
 
 
@@ -97,18 +98,35 @@ def crop_centred(data: Column, mean: np.ndarray, shape: Sequence[int], crop: Seq
     return F.arrow_udf(cropped, T.ArrayType(T.FloatType()))(data, row, col)
 
 
-def crop_preparation(mean: np.ndarray, shape: Sequence[int], crop: Sequence[int], row: str = "crop_row",
+def crop_preparation(mean: np.ndarray | StoredVector, shape: Sequence[int], crop: Sequence[int], row: str = "crop_row",
                      col: str = "crop_col", interleave: bool = False) -> Prepare:
-    """The same inside a scoring or training batch: raw bytes travel to the task, floats never travel at all."""
-    mean = np.asarray(mean, "f4").reshape(shape)
+    """The same inside a scoring or training batch: raw bytes travel to the task, floats never travel at all.
+
+    A stored mean (see `publish_mean`) is read by the tasks and is in no plan or closure.
+    """
+    mean = mean if isinstance(mean, StoredVector) else np.asarray(mean, "f4")
 
     def run(pixels: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        out = crop_pixels(pixels.reshape(-1, *shape), mean, rows, cols, crop)
+        centre = mean.load("f4") if isinstance(mean, StoredVector) else mean
+        out = crop_pixels(pixels.reshape(-1, *shape), centre.reshape(shape), rows, cols, crop)
         return out.transpose(0, 2, 3, 1) if interleave else out
 
     return Prepare(volume(shape), (row, col), run)
 
 
+def round_crop(mean: np.ndarray | StoredVector, shape: Sequence[int], crop: Sequence[int], seed: int = 0, id_col: str = "sample_id",
+               corner: Callable[[Column, int], tuple[Column, Column]] | None = None, interleave: bool = False) -> Prepare:
+    """Mean subtraction and a crop that is drawn anew in every round, inside the batch.
+
+    The corner is a hash of the sample, the round and the seed, so a retried task crops alike; `corner` gives it
+    instead, from the sample's id and the round.
+    """
+    corner = corner or (lambda sample, round_no: crop_corner(sample, shape, crop, round_no, seed))
+    crop_corner(F.col(id_col), shape, crop)  # a crop that is too large fails here
+    fixed = crop_preparation(mean, shape, crop, interleave=interleave)
+    return replace(fixed, draw=lambda round_no: corner(F.col(id_col), round_no), reads=(id_col,))
+
+
 def _planar(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     pixels = np.frombuffer(data, "u1").reshape(height, width, channels)
     pixels = np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[:, :, 2::-1]

@@ -11,7 +11,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gradloom.functions.shapes import indexed, volume
-from gradloom.plans.batches import matrix
+from gradloom.plans.batches import StoredVector, matrix
+from gradloom.session import stored
 
 
 #: Values of a mean image that travel in one row.
@@ -30,8 +31,8 @@ def mean_vector(df: DataFrame, col: str) -> DataFrame:
     return df.agg(vector_to_array(summary).alias("mean"))
 
 
-def mean_image(df: DataFrame, col: str, shape: tuple[int, ...]) -> DataFrame:
-    """One row `mean array<double>` of a `binary` or array column, for large images.
+def mean_chunks(df: DataFrame, col: str, shape: Sequence[int]) -> DataFrame:
+    """(chunk, values) of the mean of a `binary` or array column, for large images.
 
     Each task adds whole Arrow batches into one running sum (64-bit integers for bytes) and emits it once, in chunks,
     which the shuffle adds up as vectors: a few rows per task, not one per pixel.
@@ -53,8 +54,23 @@ def mean_image(df: DataFrame, col: str, shape: tuple[int, ...]) -> DataFrame:
 
     partial = df.select(col).mapInArrow(sums, "chunk int, n bigint, sums array<double>")
     merged = partial.groupBy("chunk").agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
-    means = merged.select("chunk", F.transform("sums", lambda s: s / F.col("n")).alias("m"))
-    return means.agg(F.flatten(as_array("chunk", "m")).alias("mean"))
+    return merged.select("chunk", F.transform("sums", lambda s: s / F.col("n")).alias("values"))
+
+
+def mean_image(df: DataFrame, col: str, shape: Sequence[int]) -> DataFrame:
+    """One row `mean array<double>` (see `mean_chunks`)."""
+    return mean_chunks(df, col, shape).agg(F.flatten(as_array("chunk", "values")).alias("mean"))
+
+
+def publish_mean(df: DataFrame, col: str, shape: Sequence[int]) -> StoredVector:
+    """The mean image, computed once, written to the shared folder and read by the tasks that need it, as weights are.
+
+    A table without rows has no mean, which is an error. One file: the size is that of one image.
+    """
+    kept = stored(mean_chunks(df, col, shape).coalesce(1), "mean")
+    if kept.isEmpty():
+        raise ValueError(f"no rows to take the mean of {col} from")
+    return StoredVector(tuple(kept.inputFiles()), volume(shape))
 
 
 def as_array(position: str, value: str) -> Column:

@@ -27,6 +27,14 @@ def bind_inputs(df: DataFrame, net: Net, keep: Sequence[str] = (), exact: bool =
     return df.select(*keep, *[name for name in wanted if name not in keep])
 
 
+def bind_batch(df: DataFrame, net: Net, keep: Sequence[str] = (), round_no: int = 0) -> DataFrame:
+    """`keep` and the columns of the net's batches; what a preparation draws is drawn for this round."""
+    drawn = {name: column for i in net.inputs if i.prepare and i.prepare.draw for name, column in zip(i.prepare.columns, i.prepare.draw(round_no))}
+    columns = net.batch_columns()
+    bound = bind_inputs(df, net, keep)
+    return bound.select(*keep, *[drawn[name].alias(name) if name in drawn else F.col(name) for name in columns if name not in keep])
+
+
 def widen(df: DataFrame, tasks: int) -> DataFrame:
     """Spread a table over `tasks` tasks: for heavy per-row work on a table that is small in bytes."""
     return df.repartition(tasks)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradloom.operators.samples import bind_inputs
+from gradloom.operators.samples import bind_batch
 from gradloom.operators.score import load_published, publish, published_by, shared_weights
 from gradloom.operators.weights import MOMENTUM, average_weights
 from gradloom.plans.batches import WEIGHTS_SCHEMA, Blobs, feed, pack
@@ -29,14 +29,14 @@ def gradient(df: DataFrame, net: Net, weights: DataFrame, by: Sequence[str] = ()
     A task adds up its rows' gradients and emits them once, so the shuffle carries one gradient per task and key; with
     more than HELD_KEYS keys in a task, sorted or not, it carries several.
     """
-    bound = bind_inputs(df, net, by)
+    bound = bind_batch(df, net, by)
     shared = shared_weights(net, weights)
     key_types = [f.dataType.simpleString() for f in bound.schema if f.name in by]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[Blobs, int]] = {}
         for rows in batches:
-            for key, columns, n in _by_key(rows, by, net.columns()):
+            for key, columns, n in _by_key(rows, by, net.batch_columns()):
                 for low in range(0, n, batch):
                     inputs = feed(net, columns, slice(low, min(low + batch, n)))
                     size = len(inputs[net.inputs[0].name])
@@ -122,9 +122,10 @@ def local_sgd_round(window: DataFrame, weights: DataFrame, net: Net, solver: Sol
     `window` comes from `round_window`. A worker's rows reach one task, sorted, and stream through it: a step is taken
     whenever `batch` rows are there, so a task holds a minibatch and the Arrow batch it comes from, never a window.
     Weights are written once and read by the tasks; nothing passes through the driver or is copied per worker. `state`
-    holds per-worker momentum rows; a task reads those of its worker.
+    holds per-worker momentum rows; a task reads those of its worker. Preparations that draw do so for this round, before
+    the rows move, so that only what is drawn travels with the raw input.
     """
-    rows = (bind_inputs(window, net, ["worker", "offset"]).repartitionById(workers, "worker")
+    rows = (bind_batch(window, net, ["worker", "offset"], round_no).repartitionById(workers, "worker")
             .sortWithinPartitions("worker", "offset"))
     common = publish(weights)
     own = published_by(state, "worker") if state is not None else {}
@@ -146,7 +147,7 @@ def local_sgd_round(window: DataFrame, weights: DataFrame, net: Net, solver: Sol
             k = len(losses)
             if parts and k < tau:
                 table = pa.Table.from_batches(parts).combine_chunks()
-                inputs = feed(net, {c: table.column(c).combine_chunks() for c in net.columns()}, slice(0, table.num_rows))
+                inputs = feed(net, {c: table.column(c).combine_chunks() for c in net.batch_columns()}, slice(0, table.num_rows))
                 out, caches = forward_pass(net, local, inputs, train=True, rng=np.random.default_rng([seed, worker, round_no, k]))
                 losses.append(mean_loss(net, local, out))
                 grads = backward_pass(net, local, caches)

@@ -5,18 +5,18 @@ Optimizer state travels as further rows whose layer ends in `/momentum`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from gradloom.functions.fill import filler_value, uniform
 from gradloom.functions.ndarray import nd_equal
-from gradloom.plans.net import Net
+from gradloom.plans.net import Net, Param
 from gradloom.session import shuffle_partitions
-from gradloom.plans.batches import CHUNK, WEIGHTS_SCHEMA, check_weights, draw_values, pack, unpack
+from gradloom.plans.batches import CHUNK, WEIGHTS_SCHEMA, check_weights, pack, unpack
 
 MOMENTUM = "/momentum"
 
@@ -32,23 +32,21 @@ def declared_chunks(spark: SparkSession, net: Net) -> DataFrame:
 def init_weights(spark: SparkSession, net: Net, seed: int = 0) -> DataFrame:
     """Initial weights drawn by each blob's filler, chunk by chunk in parallel, equal for every worker.
 
-    Each chunk has its own generator seeded by (seed, blob, chunk), so the values do not depend on partitioning.
+    A value is a function of seed, layer, blob and place in the blob, so it depends neither on partitioning nor on the other blobs.
     """
-    params = {(p.layer, p.blob): (at, p) for at, p in enumerate(net.params())}
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = []
-            for row in batch.select(["layer", "blob", "chunk"]).to_pylist():
-                at, param = params[row["layer"], row["blob"]]
-                n = min(CHUNK, param.size - row["chunk"] * CHUNK)
-                values.append(draw_values(param.filler, param.shape, n, [seed, at, row["chunk"]]))
-            columns = [batch.column(c) for c in ("layer", "blob", "shape", "chunk")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.list_(pa.float64()))],
-                                             ["layer", "blob", "shape", "chunk", "values"])
-
-    chunks = declared_chunks(spark, net)
-    return chunks.repartition(shuffle_partitions(spark), "layer", "blob", "chunk").mapInArrow(fill, WEIGHTS_SCHEMA)
+    chunks = declared_chunks(spark, net).repartition(shuffle_partitions(spark), "layer", "blob", "chunk")
+    first = F.col("chunk").cast("bigint") * CHUNK
+    places = F.sequence(first, F.least(first + CHUNK, F.col("size")) - 1)
+    values = F.lit(None).cast("array<double>")
+    for param in net.params():
+        here = (F.col("layer") == param.layer) & (F.col("blob") == param.blob)
+        values = F.when(here, F.transform(places, filling(param, seed))).otherwise(values)
+    return chunks.select("layer", "blob", "shape", "chunk", values.alias("values"))
+
+
+def filling(param: Param, seed: int) -> Callable[[Column], Column]:
+    """A blob's value by place."""
+    return lambda place: filler_value(param.filler, param.shape, uniform(seed, F.lit(param.layer), F.lit(param.blob), place))
 
 
 def average_weights(local: DataFrame, workers: int | None = None, weight: str | None = None,

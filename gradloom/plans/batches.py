@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
-from gradloom.plans.net import Filler, Net
+from gradloom.plans.net import Net
+from gradloom.sources.files import open_path
 
 #: Values per row of the weights table.
 CHUNK = 4096
@@ -109,6 +113,27 @@ def unpack(table: pa.Table, dtype: str = "float64") -> Blobs:
     return out
 
 
+@dataclass(frozen=True)
+class StoredVector:
+    """A vector of a fixed size, such as a mean image, written once in the shared folder as (chunk, values) rows."""
+
+    files: tuple[str, ...]
+    size: int
+
+    def load(self, dtype: str = "float64") -> np.ndarray:
+        """The values, read once per Python worker."""
+        return _load_vector(self.files, self.size, dtype)
+
+
+@functools.lru_cache(maxsize=4)
+def _load_vector(files: tuple[str, ...], size: int, dtype: str) -> np.ndarray:
+    table = pa.concat_tables(pq.read_table(open_path(f)) for f in files).sort_by("chunk")
+    values = table.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(dtype)
+    if len(values) != size:
+        raise ValueError(f"the stored vector has {len(values)} values, not {size}")
+    return values
+
+
 def check_weights(net: Net, weights: Blobs) -> None:
     """Exactly the net's blobs, in their shapes; momentum rows aside."""
     check_shapes(net, {name: array.shape for name, array in weights.items() if not name[0].endswith("/momentum")})
@@ -118,21 +143,3 @@ def check_shapes(net: Net, found: dict[tuple[str, int], tuple[int, ...]]) -> Non
     expected = {(p.layer, p.blob): tuple(p.shape) for p in net.params()}
     if found != expected:
         raise ValueError(f"weights {found} do not fit net {net.name}, which has {expected}")
-
-
-def draw_values(filler: Filler, shape: Sequence[int], n: int, seed: Sequence[int]) -> np.ndarray:
-    """`n` values of a blob of the given shape."""
-    rng = np.random.default_rng(list(seed))
-    if filler.kind == "constant":
-        return np.full(n, filler.value)
-    if filler.kind == "gaussian":
-        return rng.normal(0.0, filler.std, n)
-    if filler.kind == "xavier":
-        limit = np.sqrt(3.0 / np.prod(shape[1:]))
-        return rng.uniform(-limit, limit, n)
-    if filler.kind == "truncated":
-        values = rng.normal(0.0, filler.std, n)
-        while (outside := np.abs(values) > 2 * filler.std).any():
-            values[outside] = rng.normal(0.0, filler.std, outside.sum())
-        return values
-    raise ValueError(f"unknown filler {filler.kind}")

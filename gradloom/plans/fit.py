@@ -27,13 +27,15 @@ class FitResult:
 def fit(samples: DataFrame, net: Net, solver: Solver, rounds: int, tau: int, batch: int, weights: DataFrame | None = None,
         test: DataFrame | None = None, eval_every: int = 0, seed: int = 0, wrap: bool = False, tolerance: float | None = None,
         weighted: bool = False, segments: Segments | None = None, history_path: str | None = None,
-        start: Callable[[int], Column] | None = None) -> FitResult:
+        start: Callable[[int], Column] | None = None, test_batch: int | None = None, drop_remainder: bool = True) -> FitResult:
     """Local SGD: per round, `tau` steps per worker from common weights, then their average.
 
     `samples` is an assigned table (see `assign_workers`); with `segments` its rows are read from the written copy.
     Per round the driver sees the mean loss and, every `eval_every` rounds, the test metrics; the averaged weights go
     to the shared checkpoint folder, so a lost executor costs at most one round. Training stops after `rounds` or
     when the loss changes by less than `tolerance`. `weighted` weighs workers by their rows.
+    With `test_batch` the test table is an assigned one too, and its metrics are means over its workers' minibatches (see `evaluate`);
+    without a full minibatch there is no such row.
     `start` gives a round's window starts instead of the draw, as an expression of `worker` and `worker_rows`.
     """
     spark = samples.sparkSession
@@ -48,7 +50,7 @@ def fit(samples: DataFrame, net: Net, solver: Solver, rounds: int, tau: int, bat
     state, last, log = None, None, []
     for round_no in range(rounds):
         if test is not None and eval_every and round_no % eval_every == 0:
-            measured = evaluate(test, net, weights).first()
+            measured = evaluate(test, net, weights, test_batch, drop_remainder, round_no=round_no).first()
             log += _logged(spark, history_path, round_no, began, accuracy=measured["accuracy"], test_loss=measured["loss"])
         begin = start(round_no) if start else None
         if segments:
@@ -74,7 +76,7 @@ def fit(samples: DataFrame, net: Net, solver: Solver, rounds: int, tau: int, bat
 
 
 def _logged(spark, path: str | None, round_no: int, began: float, **metrics: float) -> list[tuple]:
-    rows = [(round_no, time.monotonic() - began, name, float(value)) for name, value in metrics.items()]
+    rows = [(round_no, time.monotonic() - began, name, float(value)) for name, value in metrics.items() if value is not None]
     if path:
         append_history(spark.createDataFrame(rows, HISTORY_SCHEMA), path)
     return rows

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from math import ceil, prod
 
 import numpy as np
-from pyspark.sql import types as T
+from pyspark.sql import Column, types as T
 
 
 @dataclass(frozen=True)
@@ -21,11 +21,17 @@ class Filler:
 
 @dataclass(frozen=True)
 class Prepare:
-    """A batch preparation of one input: rows of `width` raw values and the extra `columns` to the input's shape."""
+    """A batch preparation of one input: rows of `width` raw values and the extra `columns` to the input's shape.
+
+    The table holds the extra columns, or `draw` makes them anew for every pass over the data: expressions of the columns
+    that it `reads`, for a given round.
+    """
 
     width: int
     columns: tuple[str, ...]
     run: Callable[..., np.ndarray]
+    draw: Callable[[int], Sequence[Column]] | None = None
+    reads: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -107,10 +113,19 @@ class Net:
     dtype: str = "float64"
 
     def columns(self) -> list[str]:
-        """All columns the net reads: its inputs and what their preparations need."""
+        """All columns the net reads from a table: its inputs and what their preparations need."""
+        extra = [c for i in self.inputs if i.prepare for c in (i.prepare.reads if i.prepare.draw else i.prepare.columns)]
+        return list(dict.fromkeys([i.name for i in self.inputs] + extra))
+
+    def batch_columns(self) -> list[str]:
+        """All columns a batch of the net is made of: those of the table, with drawn ones instead of what they are drawn from."""
         extra = [c for i in self.inputs if i.prepare for c in i.prepare.columns]
         return list(dict.fromkeys([i.name for i in self.inputs] + extra))
 
+    def prepared(self, name: str, prepare: Prepare) -> Net:
+        """The same net with a batch preparation of one input."""
+        return replace(self, inputs=tuple(replace(i, prepare=prepare) if i.name == name else i for i in self.inputs))
+
     @property
     def label(self) -> str | None:
         return next((i.name for i in self.inputs if i.label), None)

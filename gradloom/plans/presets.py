@@ -10,7 +10,11 @@ from gradloom.plans.solver import Solver
 
 @dataclass(frozen=True)
 class Run:
-    """Batch sizes, steps per round and evaluation interval of a training run; `scaled` inputs are pixels to be rescaled."""
+    """Batch sizes, steps per round and evaluation interval of a training run.
+
+    `scaled` inputs are pixels to be rescaled; of `raw` images as bytes the mean is subtracted and a crop of the net's size taken
+    anew in each round.
+    """
 
     batch: int
     test_batch: int
@@ -19,14 +23,15 @@ class Run:
     shuffle: bool
     cached: bool
     scaled: bool = False
+    raw: tuple[int, int, int] | None = None
 
 
 # Layer sizes, fillers, multipliers and run settings of the published nets.
 RUNS = {
     "cifar": Run(100, 100, 10, 5, shuffle=True, cached=True),
     "mnist": Run(64, 64, 10, 5, shuffle=True, cached=True, scaled=True),
-    "imagenet": Run(256, 256, 50, 10, shuffle=False, cached=True),
-    "imagenet-alexnet": Run(256, 256, 10, 5, shuffle=False, cached=False),
+    "imagenet": Run(256, 256, 50, 10, shuffle=False, cached=True, raw=(3, 256, 256)),
+    "imagenet-alexnet": Run(256, 256, 10, 5, shuffle=False, cached=False, raw=(3, 256, 256)),
     "featurize": Run(100, 100, 0, 0, shuffle=True, cached=True),
     "adult": Run(64, 64, 0, 0, shuffle=False, cached=False),
 }

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gradloom.operators.joins import gather
 from gradloom.session import shuffle_partitions
 from gradloom.sources.files import BATCH_BYTES, basename, file_system, list_files, open_path, read_ranges, whole_files
 
@@ -57,6 +58,16 @@ def index_tar(archives: DataFrame) -> DataFrame:
     return starts.mapInArrow(index, INDEX_SCHEMA)
 
 
+def attach_index_labels(index: DataFrame, labels: DataFrame, on_missing: str = "drop", label: str = "label") -> DataFrame:
+    """(path, parent, member, offset, size, filename, label): the members that have a label, before a byte of them is read.
+
+    Index rows are a few dozen bytes, so the join shuffles no content; a name may stand in many archives and a label of it once.
+    A label without member fails, or is dropped (`on_missing`).
+    """
+    named = index.withColumn("filename", basename(F.col("member")))
+    return gather(labels.select("filename", label), named, on_missing=on_missing)
+
+
 def read_members(index: DataFrame, num_parts: int | None = None) -> DataFrame:
     """(path, parent, member, filename, content) of indexed members."""
     return read_ranges(index, num_parts).select(
@@ -117,14 +128,14 @@ def _members(archive: bytes) -> Iterator[tuple[str, bytes]]:
                 yield entry.name, entries.extractfile(entry).read()
 
 
-def land_members(members: DataFrame, directory: str, unique_names: bool = False) -> DataFrame:
+def land_members(members: DataFrame, directory: str, unique_names: bool = False, prefix: str | None = None) -> DataFrame:
     """Write members as single files, for readers that open files only; returns (filename, landed).
 
-    Unless file names are unique, a hash of archive and member goes before them. A repeated task overwrites its own
-    files with the same bytes.
+    Unless file names are unique, a hash of archive and member goes before them, and after it the column `prefix`. A repeated
+    task overwrites its own files with the same bytes.
     """
     name = F.col("filename") if unique_names else F.concat_ws(
-        "-", F.hex(F.xxhash64("path", "parent", "member")), "filename")
+        "-", F.hex(F.xxhash64("path", "parent", "member")), *[c for c in (prefix,) if c], "filename")
     named = members.select("filename", "content", name.alias("landed"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

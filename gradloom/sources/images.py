@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.functions.image import to_planar_rgb
-from gradloom.sources.archives import land_members
-from gradloom.sources.files import basename
+from gradloom.session import remove, shared_path, stored
+from gradloom.sources.archives import attach_index_labels, land_members
+from gradloom.sources.files import basename, read_ranges
+
+#: Archive members that are landed as files at a time.
+GROUP_BYTES = 64 << 30
 
 
 def decode_resize(images: DataFrame, height: int | None = None, width: int | None = None) -> DataFrame:
@@ -31,6 +37,41 @@ def read_archived_images(members: DataFrame, directory: str, height: int, width:
     return images.withColumn("filename", F.regexp_replace("filename", "^[0-9A-F]+-", ""))
 
 
+def read_labelled_images(index: DataFrame, labels: DataFrame, height: int, width: int, on_missing: str = "drop",
+                         group_bytes: int = GROUP_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(filename, label, data) of the archive members that have a label and can be decoded, as a stored table, and how many were
+    (read, kept, dropped), one row.
+
+    Labels meet the index, not the images. Then groups of members, `group_bytes` of them at a time, are read by range, landed,
+    decoded where the files lie, and appended; a member's label travels in the name of its file, so no exchange carries an image. Each group's
+    folder is deleted once it is stored: neither files nor listings grow with the whole input.
+    """
+    spark = index.sparkSession
+    kind = labels.schema["label"].dataType
+    found = stored(attach_index_labels(index, labels, on_missing), "labelled-index")
+    # A label that stands twice is an image that is there twice.
+    groups = max(1, math.ceil((found.agg(F.sum("size")).first()[0] or 0) / group_bytes))
+    group = F.pmod(F.xxhash64("path", "offset"), F.lit(groups)).alias("group")
+    members = stored(found.groupBy("path", "parent", "member", "offset", "size", "filename", "label", group).agg(F.count(F.lit(1)).alias("copies")), "members")
+    text = F.hex(F.encode(F.coalesce(F.col("label").cast("string"), F.lit("")), "UTF-8"))
+    table = shared_path(spark, "images")
+    for number in range(groups):
+        some = members.where(F.col("group") == number).drop("group")
+        landing = shared_path(spark, "landing")
+        content = read_ranges(some.withColumn("prefix", F.concat_ws("-", text, "copies")))
+        landed = land_members(content, landing, prefix="prefix")
+        landed.write.format("noop").mode("overwrite").save()
+        parts = F.split("filename", "-", 4)
+        image = read_images(spark, landing, height, width).withColumn("parts", parts)
+        label = F.decode(F.unhex(F.element_at("parts", 2)), "UTF-8")
+        rows = image.select(F.element_at("parts", 4).alias("filename"), F.when(label != "", label).cast(kind).alias("label"), "data",
+                            F.explode(F.sequence(F.lit(1), F.element_at("parts", 3).cast("int"))).alias("copy"))
+        rows.drop("copy").write.mode("append").parquet(table)
+        remove(spark, landing)
+    images = spark.read.parquet(table)
+    return images, dropped_count(found, images)
+
+
 def dropped_count(before: DataFrame, after: DataFrame) -> DataFrame:
     """How many rows a filter dropped, as one row."""
     counts = before.agg(F.count(F.lit(1)).alias("read")).withColumn(

@@ -1,14 +1,17 @@
+from statistics import NormalDist
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
 from gradloom.functions.dense import argmax, dense, learning_rate, percent, relu, softmax, softmax_loss
+from gradloom.functions.fill import filler_value, inverse_normal, uniform
 from gradloom.functions.image import crop_preparation
 from gradloom.operators.samples import bind_inputs
 from gradloom.operators.score import evaluate, featurize, forward
 from gradloom.operators.weights import (blob_values, init_weights, l2_term, weights_equal, weights_from_dict)
 from gradloom.plans import net as n
-from gradloom.plans.batches import draw_values, pack, unpack
+from gradloom.plans.batches import pack, unpack
 from gradloom.plans.kernels import backward_pass, forward_pass, mean_loss
 from gradloom.plans.presets import NETS, RUNS, SOLVERS, adult_net, alexnet, cifar_net, mnist_net
 from gradloom.plans.solver import Solver
@@ -90,14 +93,29 @@ def test_binding(spark):
         bind_inputs(df.drop("label"), net)
 
 
-def test_fillers():
-    assert (draw_values(n.Filler(value=0.1), (5,), 5, [1]) == 0.1).all()
-    gauss = draw_values(n.Filler("gaussian", std=0.01), (100, 100), 10000, [1])
-    assert abs(gauss.std() - 0.01) < 5e-4
-    cut = draw_values(n.Filler("truncated", std=0.1), (100, 100), 10000, [1])
+def drawn(spark, filler, shape, seed=1):
+    rows = spark.range(int(np.prod(shape))).select(filler_value(filler, shape, uniform(seed, F.lit("layer"), F.lit(0), F.col("id"))).alias("x"))
+    return rows.toArrow().column("x").to_numpy()
+
+
+def test_fillers(spark):
+    assert (drawn(spark, n.Filler(value=0.1), (5,)) == 0.1).all()
+    gauss = drawn(spark, n.Filler("gaussian", std=0.01), (100, 100))
+    assert abs(gauss.std() - 0.01) < 5e-4 and abs(gauss.mean()) < 5e-4 and np.abs(gauss).max() > 0.03
+    cut = drawn(spark, n.Filler("truncated", std=0.1), (100, 100))
     assert np.abs(cut).max() <= 0.2 and cut.std() > 0.08
-    xavier = draw_values(n.Filler("xavier"), (10, 12), 120, [1])
+    xavier = drawn(spark, n.Filler("xavier"), (10, 12))
     assert np.abs(xavier).max() <= 0.5 and np.abs(xavier).max() > 0.45
+    assert not np.array_equal(gauss, drawn(spark, n.Filler("gaussian", std=0.01), (100, 100), 2))
+    with pytest.raises(ValueError, match="unknown filler"):
+        filler_value(n.Filler("other"), (1,), F.lit(0.5))
+
+
+def test_inverse_normal(spark):
+    shares = [1e-9, 0.001, 0.0242, 0.0243, 0.3, 0.5, 0.9, 0.9757, 0.9758, 1 - 1e-9]
+    law = NormalDist()
+    found = [r[0] for r in spark.createDataFrame([(p,) for p in shares], "p double").select(inverse_normal(F.col("p"))).collect()]
+    assert all(abs(x - law.inv_cdf(p)) < 1e-8 * max(1, abs(x)) for x, p in zip(found, shares))
 
 
 def test_initial_weights_do_not_depend_on_partitions(spark):

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from gradloom.operators.joins import attach_labels
 from gradloom.plans.net import softmax_regression
+from gradloom.session import checkpoint_root
 from gradloom.operators.weights import init_weights, weights_equal
-from gradloom.plans.runs import chunk_images
+from gradloom.plans.runs import chunk_archives, chunk_images
 from gradloom.sources import archives, chunks, files, idx, images, labels, records, tabular, weights
 
 RNG = np.random.default_rng(3)
@@ -257,3 +258,56 @@ def test_range_reads_keep_their_width(spark, tmp_path):
     read = files.read_ranges(ranges, 16)
     used = read.select(F.spark_partition_id().alias("p")).distinct().count()
     assert used > 8
+
+
+def test_chunk_bounds(spark):
+    keys = [(-1 << 63), *range(-50, 50), 1 << 40, 1 << 62]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(5)
+    for count in (1, 2, 7, 103, 150):
+        bounds = chunks.chunk_bounds(df, count)
+        sizes = np.bincount(np.searchsorted(bounds, np.array(keys), side="right"), minlength=count) if bounds else [len(keys)]
+        assert sorted(sizes, reverse=True) == sorted([len(keys) // count + (c < len(keys) % count) for c in range(count)], reverse=True)
+    assert chunks.chunk_bounds(df.limit(0), 3) == [(1 << 63) - 1] * 2
+    assert chunks.chunk_bounds(df.union(df), 103) is not None
+    assert chunks.chunk_bounds(spark.createDataFrame([(7,)] * 10, "k long"), 3) is None
+
+
+def test_chunks_send_content_once(spark, tmp_path, monkeypatch):
+    """One exchange carries the content; rows of one id that fill more than a chunk are still dealt evenly."""
+    df = spark.range(60).select(F.col("id").alias("sample_id"), F.lit("x").alias("key"), F.repeat(F.lit("y"), 50).alias("text"))
+    plans = []
+    writer = type(df.write)
+    original = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, path, **o: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), original(self, path, **o))[1])
+    chunks.write_shuffled_chunks(df, 7, str(tmp_path / "a"), seed=1)
+    assert plans[-1].count("Exchange") == 1
+    chunks.write_shuffled_chunks(df.unionByName(df.withColumn("sample_id", F.lit(5))), 7, str(tmp_path / "b"), seed=1)
+    for name, total in (("a", 60), ("b", 120)):
+        back = spark.read.parquet(str(tmp_path / name))
+        assert sorted(back.columns) == ["chunk", "key", "sample_id", "text"]
+        sizes = [r["count"] for r in back.groupBy("chunk").count().collect()]
+        assert sum(sizes) == total and max(sizes) - min(sizes) <= 1
+
+
+def test_labels_before_bytes(spark, tmp_path):
+    """Only labelled members are read; broken ones are dropped and counted; labels of any kind, twice if they stand twice."""
+    source = tmp_path / "in"
+    source.mkdir()
+    files = {f"d/n-{i}+ä.png": png(np.full((4, 4, 3), i, "u1")) for i in range(9)} | {"d/broken.png": b"no image", "d/other.png": png(np.zeros((2, 2, 3), "u1"))}
+    (source / "a.tar").write_bytes(tar_bytes(files))
+    (source / "b.tar").write_bytes(tar_bytes({"n-3+ä.png": png(np.full((4, 4, 3), 99, "u1"))}))
+    names = [(f"n-{i}+ä.png", f"k-{i}" if i != 4 else None) for i in range(9)] + [("n-0+ä.png", "k-0"), ("broken.png", "b"), ("absent.png", "a")]
+    table = spark.createDataFrame(names, "filename string, label string")
+    index = archives.index_tar(archives.list_archives(spark, str(source), 2)).cache()
+    labelled = archives.attach_index_labels(index, table)
+    assert "content" not in labelled.columns and labelled.count() == 12
+    found, counts = images.read_labelled_images(index, table, 2, 2, group_bytes=300)
+    assert counts.first().asDict() == {"read": 12, "kept": 11, "dropped": 1}
+    rows = sorted((r["filename"], r["label"] or "", r["data"][0]) for r in found.collect())
+    assert rows == sorted([(f"n-{i}+ä.png", f"k-{i}" if i != 4 else "", i) for i in (*range(9), 0)] + [("n-3+ä.png", "k-3", 99)])
+    with pytest.raises(Exception, match="no image for absent.png"):
+        archives.attach_index_labels(index, table, "error").collect()
+    counts = chunk_archives(archives.list_archives(spark, str(source), 2), table.where("label <> 'a'"), 2, str(tmp_path / "out"), 2, 2)
+    assert counts.first()["dropped"] == 1 and spark.read.parquet(str(tmp_path / "out" / "chunks")).count() == 10
+    root = checkpoint_root(spark)
+    assert not [f for f in os.listdir(root.removeprefix("file:")) if f.startswith("landing-")]
