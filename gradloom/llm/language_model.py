@@ -7,7 +7,8 @@ from its count, so that the probabilities of all tokens, one unseen token includ
 
 Training is data parallel: every task takes one pass over its training texts from common start weights, and the tasks' weights
 are averaged by the words they saw, in partial sums. Counts cover all training texts. Counts of the `head` most frequent tokens
-are sent to the tasks; all other tokens get theirs by a join, so nothing that grows with the corpus is broadcast.
+are sent to the tasks; all other tokens get theirs by a join, so nothing that grows with the corpus is broadcast. Tokens are told apart
+by 64-bit hashes of their bytes, in arrays for whole slices of texts.
 
 Defined cases: a null text is empty and has one token, its end. A null id is not held out. Repeated rows count and are scored
 each. Without training texts N and V are 0, the base gives each token log10(0.5 / 0.5) = 0, and the model has the one shared
@@ -16,62 +17,93 @@ class, which gives the same.
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradloom.llm.words import slices, texts_of, with_row_id
+from gradloom.llm.words import BLANK_WORDS, Words, mix, once, slices, with_row_id
 from gradloom.session import stored
 
-#: No word: it holds a blank.
-END = b" end"
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 VOCABULARY, WIDTH, HEAD = 1000, 16, 200_000
 NOISE, BATCH, RATE = 64, 2048, 0.1
+#: Distinct tokens that a counting task holds.
+HELD = 400_000
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return [*text.translate(_LOWER).split(), END]
+def hash_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens of all texts, each text closed by END, and how many each has."""
+    words = Words(texts, BLANK_WORDS)
+    return np.insert(words.hashes.view(np.int64), words.firsts + words.counts, END), words.counts + 1
+
+
+#: The end token: no run of letters has this hash but by the chance of any two.
+END = mix(np.array([0], np.uint64) - np.uint64(1)).view(np.int64)[0]
+
+
+def merged(token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(token, kind="stable")
+    token, n = token[order], n[order]
+    begins = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+    return token[begins], np.add.reduceat(n, begins) if len(token) else n
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
-    """(token, n) over the texts. Tasks count in a dictionary of bounded size, Spark sums."""
+    """(token, n) over the texts, tokens as hashes. Tasks count up to HELD tokens at a time, Spark sums."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        def table(token, n):
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], names=["token", "n"])
 
-        def flush():
-            made = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["token", "n"])
-            found.clear()
-            return made
+        token, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _, some in slices(batches, "text"):
+            new, times = np.unique(hash_tokens(some)[0], return_counts=True)
+            token, n = merged(np.append(token, new), np.append(n, times))
+            if len(token) > HELD:
+                yield table(token, n)
+                token, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield table(token, n)
 
-        for batch in batches:
-            for text in texts_of(batch.column("text")):
-                found.update(tokens(text))
-                if len(found) > 400_000:
-                    yield flush()
-        yield flush()
+    return texts.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
-    return texts.select("text").mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
+def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `most` most frequent tokens and their counts, the most frequent first, equal ones by hash.
 
-def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most `most` tokens, the most frequent first: all above a count that a histogram of fixed size gives."""
+    A histogram of fixed size (by the logarithm: a few hundred rows) says above which count all tokens are among them; of the step below as
+    many as are missing are taken, with about the least hashes, so that about `most` rows reach the driver.
+    """
     step = F.floor(F.log2("n") * 32)
-    histogram = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)  # by the logarithm: a few hundred rows
-    total, limit = 0, None
-    for value, n in histogram:
-        total += n
-        if total > most:
+    total, limit, rest = 0, None, None
+    for value, n in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if total + n > most:
+            rest = value, n
             break
-        limit = value
-    if limit is None:
-        return []
-    found = [(bytes(t), n) for t, n in counts.where(step >= limit).select("token", "n").collect()]
-    return sorted(found, key=lambda x: (-x[1], x[0]))
+        total, limit = total + n, value
+    wanted = F.lit(False) if limit is None else step >= limit
+    if rest and most > total:
+        # A step's tokens differ by 2% in count at most; the hash decides between them, as between equal ones.
+        share = min(1.0, 1.05 * (most - total) / rest[1] + 1e-4)
+        wanted = wanted | ((step == rest[0]) & (F.col("token") <= min(int(-(1 << 63) + share * (1 << 64)), (1 << 63) - 1)))
+    found = counts.where(wanted).select("token", "n").toArrow()
+    token, n = (found.column(c).to_numpy() for c in ("token", "n"))
+    order = np.lexsort((token, -n))[:most]
+    return token[order], n[order]
+
+
+class Places:
+    """Tokens by hash: the rank of each in a list, or -1."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.order = np.argsort(tokens, kind="stable").astype(np.int32)
+        self.sorted = tokens[self.order]
+
+    def find(self, tokens: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.full(len(tokens), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.sorted, tokens), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == tokens, self.order[at], np.int32(-1))
 
 
 class Weights:
@@ -159,42 +191,22 @@ def contexts(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return u, v
 
 
-class Classes:
-    def __init__(self, vocabulary: list[bytes]):
-        self.of = {t: i + 2 for i, t in enumerate(vocabulary)}
-        self.n = len(vocabulary) + 2
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.of.get, words, repeat(1)), np.int32, len(words))
-
-
 CHUNK = 4096
 
 
-def train(texts: DataFrame, classes: Classes, start: Weights, log_noise: np.ndarray) -> Weights:
+def train(texts: DataFrame, vocabulary: Places, start: Weights, log_noise: np.ndarray) -> Weights:
     """One pass over all texts in every task, then the average of the tasks' weights."""
-    sent = texts.sparkSession.sparkContext.broadcast((classes, start, log_noise))
+    sent = texts.sparkSession.sparkContext.broadcast((vocabulary, start, log_noise))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, start, log_noise = sent.value
-        trainer, held, counts, size = Trainer(start, log_noise), [], [], 0
-
-        def learn():
-            ids = np.concatenate(held)
-            u, v = contexts(ids, np.array(counts))
+        vocabulary, start, log_noise = sent.value
+        trainer = Trainer(start, log_noise)
+        for _, some in slices(batches, "text", 1 << 20):
+            tokens, counts = hash_tokens(some)
+            ids = vocabulary.find(tokens) + 2  # 1, the shared class, if not found
+            u, v = contexts(ids, counts)
             for at in range(0, len(ids), BATCH):
                 trainer.step(u[at:at + BATCH], v[at:at + BATCH], ids[at:at + BATCH])
-
-        for batch in batches:
-            for text in texts_of(batch.column("text")):
-                held.append(classes.ids(tokens(text)))
-                counts.append(len(held[-1]))
-                size += counts[-1]
-                if size >= 100_000:
-                    learn()
-                    held, counts, size = [], [], 0
-        if size:
-            learn()
         if trainer.seen:
             change = (trainer.w.flat() - start.flat()).astype(np.float64) * trainer.seen
             for k, at in enumerate(range(0, len(change), CHUNK)):
@@ -234,54 +246,45 @@ class Scorer:
         return (self.first[u, word].astype(np.float64) + self.second[v, word] - self.norm[at]) / np.log(10)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score_texts(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY,
                 width: int = WIDTH, head: int = HEAD) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every text; `training` has the texts to learn from (column `text`)."""
     counts = stored(token_counts(training), "token-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, distinct = int(sums["n"]), int(sums["v"])
-    top = most_frequent(counts, head)
-    own = top[:vocabulary]
-    classes = Classes([t for t, _ in own])
-    own_sum = sum(n for _, n in own)
+    tokens, times = most_frequent(counts, head)
+    own = times[:vocabulary]
+    own_sum = int(own.sum())
     base_floor = np.log10(n_all + 0.5 * (distinct + 1))
     shared_floor = np.log10(n_all - own_sum + 0.5 * (distinct - len(own) + 1))
-    law = np.array([1e-9, max(n_all - own_sum, 0.5), *(n for _, n in own)], float)
+    law = np.array([1e-9, max(n_all - own_sum, 0.5), *own], float)
     log_noise = np.log(law / law.sum())
-    weights = train(training, classes, Weights.start(log_noise, width), log_noise)
-    place = {t: i for i, (t, _) in enumerate(top)}
-    logs = np.log10(np.array([n for _, n in top] + [0.5], float) + 0.5)
-    sent = docs.sparkSession.sparkContext.broadcast((weights, place, logs))
-    key = id(sent)
+    weights = train(training, Places(tokens[:vocabulary]), Weights.start(log_noise, width), log_noise)
+    # The last one is for tokens outside the head, which get their share by a join.
+    logs = np.log10(np.append(times, 0.5) + 0.5)
+    sent = docs.sparkSession.sparkContext.broadcast((weights, Places(tokens), logs))
+    key = uuid.uuid4().hex
 
-    fields = "row_id long, doc_id long, n_tokens long, n_head long, head_sum double, n_shared long, class_sum double, tail array<binary>"
+    fields = "row_id long, doc_id long, n_tokens long, n_head long, head_sum double, n_shared long, class_sum double, tail array<long>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, place, logs = sent.value
-        scorer = _scorers.get(key)
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[key] = Scorer(weights)
+        weights, places, logs = sent.value
+        scorer = once(key, lambda: Scorer(weights))
         own = len(weights.b) - 2
-        for batch, texts in slices(batches, "text"):
-            split = [tokens(text) for text in texts]
-            counts = np.array([len(x) for x in split])
+        for batch, texts in slices(batches, "text", 1 << 20):
+            found, counts = hash_tokens(texts)
             begins = np.cumsum(counts) - counts
-            words = list(chain.from_iterable(split))
-            at = np.fromiter(map(place.get, words, repeat(-1)), np.int32, len(words))
+            at = places.find(found)
             classes = np.where((at >= 0) & (at < own), at + 2, 1)
             u, v = contexts(classes, counts)
             known = np.where(at >= 0, logs[at], 0.0)
             # Tokens with a class of their own have no part in the shared class.
-            found = scorer.log10(u, v, classes) + np.where(classes == 1, known, 0.0)
+            scores = scorer.log10(u, v, classes) + np.where(classes == 1, known, 0.0)
             total = lambda x: np.add.reduceat(x, begins)
             rare = np.flatnonzero(at < 0)
-            tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.r_[begins, len(words)]).astype(np.int32)), pa.array([words[i] for i in rare], pa.binary()))
+            tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.r_[begins, len(found)]).astype(np.int32)), pa.array(found[rare]))
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(counts), pa.array(total((at >= 0).astype(np.int64))),
-                                              pa.array(total(known)), pa.array(total((classes == 1).astype(np.int64))), pa.array(total(found)), tail],
+                                              pa.array(total(known)), pa.array(total((classes == 1).astype(np.int64))), pa.array(total(scores)), tail],
                                              names=[f.split()[0] for f in fields.split(", ")])
 
     rows = with_row_id(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")))

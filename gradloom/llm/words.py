@@ -6,16 +6,20 @@ retried task gives the same values.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from gradloom.session import stored
 
 #: Words of letters, digits and all non-ASCII bytes; A-Z become a-z, everything else a blank.
 LOWER_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
+#: Words of anything but blanks; A-Z become a-z.
+BLANK_WORDS = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 #: Text that one vectorised step takes at most (a longer text is a step of its own).
 SLICE_BYTES = 2 << 20
 #: Of a row number, those that are the row's place in its file.
@@ -79,15 +83,16 @@ def texts_of(column) -> list[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows whose texts have at most `limit` bytes together, or one row."""
     for batch in batches:
-        texts = texts_of(batch.column(column))
+        texts = batch.column(column)
         begin = size = 0
-        for i, text in enumerate(texts):
-            if i > begin and size + len(text) > limit:
-                yield batch.slice(begin, i - begin), texts[begin:i]
+        for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            if i > begin and size + n > limit:
+                yield batch.slice(begin, i - begin), texts_of(texts.slice(begin, i - begin))
                 begin, size = i, 0
-            size += len(text)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+            size += n
+        if begin < batch.num_rows:
+            yield batch.slice(begin), texts_of(texts.slice(begin))
+    give_back()
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -95,6 +100,28 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers live on, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+    if trim:
+        trim(0)
+
+
+_kept: dict[str, object] = {}
+
+
+def once(key: str, make: Callable[[], object]) -> object:
+    """What `make` gives, kept by the Python worker for the tasks that follow; only the last value is kept. (A function of this module: what
+    a task's closure holds itself is sent anew to every task.)
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,10 +143,13 @@ def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
 
 
 class Words:
-    """The lower-cased words of several texts: `hashes`, byte offsets `starts` and `ends` in `buffer`, `counts` and `firsts` by text."""
+    """The words of several texts: `hashes`, byte offsets `starts` and `ends` in `buffer`, `counts` and `firsts` by text.
+
+    `letters` maps the bytes: what becomes a blank parts words.
+    """
 
-    def __init__(self, texts: list[bytes]):
-        self.buffer = b" ".join(texts).translate(LOWER_WORDS)
+    def __init__(self, texts: list[bytes], letters: bytes = LOWER_WORDS):
+        self.buffer = b" ".join(texts).translate(letters)
         letters = np.frombuffer(self.buffer, np.uint8)
         edges = np.flatnonzero(np.diff((letters != 32).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
         self.starts, self.ends = edges[::2], edges[1::2]
