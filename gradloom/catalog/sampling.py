@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from gradloom.catalog.registry import Registry, table
 from gradloom.session import shared_path, stored
 from gradloom.operators.joins import attach_labels, gather, missing_images, missing_labels
-from gradloom.operators.workers import (assign_workers, assign_workers_in_place, batch_id, open_segments, round_window, segment_window,
-                                        skip_rows, worker_counts, write_segments)
+from gradloom.operators.workers import (assign_workers, assign_workers_in_place, batch_id, open_positions, position_window, round_window,
+                                        skip_rows, worker_counts, write_positions)
 from gradloom.sources.chunks import assign_chunks, chunk_name, write_shuffled_chunks
 from gradloom.sources.labels import parse_labels
 from gradloom.sources.tabular import read_samples
@@ -67,12 +67,12 @@ def round_windows(spark, folder):
 
 @query(f'WITH {WINDOW} SELECT vec_id, worker, pos, "offset" FROM picked')
 def segment_windows(spark, folder):
-    """The same windows, read from written segments."""
+    """The same windows, read from files in order of positions."""
     df = by_arithmetic(table(spark, folder, "embeddings").select("vec_id"))
-    path = shared_path(spark, "segments")
-    write_segments(df, path, 16)
+    path = shared_path(spark, "positions")
+    write_positions(df, path, 16)
     start = (F.col("worker") * 31 + 7) % (F.col("worker_rows") - 40)
-    found = segment_window(open_segments(spark, path, 16), worker_counts(df), 4, 10, 0, start=start)
+    found = position_window(open_positions(spark, path, 16), worker_counts(df), 4, 10, 0, start=start)
     return found.select("vec_id", "worker", "pos", "offset")
 
 

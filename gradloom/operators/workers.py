@@ -6,12 +6,13 @@ A worker is a number in a column, not a process: any task may handle any worker,
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gradloom.operators.numbering import hash_bucket, number_rows
-from gradloom.session import shuffle_partitions
+from gradloom.session import shuffle_partitions, stored
 
 #: Segment numbers per worker in a written sample table.
 SEGMENTS = 1 << 20
@@ -133,16 +134,84 @@ def open_segments(spark: SparkSession, path: str, rows: int) -> Segments:
     return Segments(spark.read.parquet(path), rows)
 
 
-def segment_window(stored: Segments, counts: DataFrame, tau: int, batch: int, round_no: int, seed: int = 0,
+def segment_window(segments: Segments, counts: DataFrame, tau: int, batch: int, round_no: int, seed: int = 0,
                    wrap: bool = False, start: Column | None = None) -> DataFrame:
     """`round_window` over written segments: the window starts, one per worker, select the segments to read."""
-    rows = stored.rows
+    rows = segments.rows
     starts = round_starts(counts, tau, batch, round_no, seed, wrap, start).collect()
-    segments = set()
+    touched = set()
     for row in starts:
         first, last, n = row["start"], row["start"] + tau * batch - 1, row["worker_rows"]
         spans = [(first, min(last, n - 1))] + ([(0, min(last - n, n - 1))] if last >= n else [])
         for low, high in spans:
-            segments.update(row["worker"] * SEGMENTS + s for s in range(low // rows, high // rows + 1))
-    selected = stored.table.filter(F.col("segment").isin(sorted(segments))).drop("segment")
+            touched.update(row["worker"] * SEGMENTS + s for s in range(low // rows, high // rows + 1))
+    selected = segments.table.filter(F.col("segment").isin(sorted(touched))).drop("segment")
     return round_window(selected, counts, tau, batch, round_no, seed, wrap, start)
+
+
+#: A row's place in a sample table: worker * SPAN + position.
+SPAN = 1 << 40
+
+
+def write_positions(assigned: DataFrame, path: str, rows: int) -> None:
+    """Write an assigned table so that a training round reads its windows only: files sorted by (worker, position), in pages of `rows` rows.
+
+    An assigned table is already clustered by ranges of positions, so it is written without another shuffle, whatever the number of
+    workers, and a task writes one file.
+    """
+    place = F.col("worker").cast("bigint") * SPAN + F.col("pos")
+    (assigned.withColumn("place", place).sortWithinPartitions("place")
+     .write.option("parquet.page.row.count.limit", str(rows)).parquet(path))
+
+
+@dataclass(frozen=True)
+class SampleFiles:
+    """A table written by `write_positions`: its rows, and as a small table which file holds rows of which run of `rows` positions."""
+
+    table: DataFrame
+    places: DataFrame
+    rows: int
+
+
+def open_positions(spark: SparkSession, path: str, rows: int) -> SampleFiles:
+    """One scan of the place column makes the table of places; it has a row for each run and stays distributed."""
+    table = spark.read.parquet(path)
+    runs = table.select(segment_number(F.col("place"), rows).alias("run"), F.col("_metadata.file_path").alias("file")).distinct()
+    return SampleFiles(table.drop("place"), stored(runs, "places"), rows)
+
+
+def segment_number(place: Column, rows: int) -> Column:
+    """Worker and run of `rows` positions as one number."""
+    position = place.bitwiseAND(F.lit(SPAN - 1))
+    return place - position + F.floor(position / rows)
+
+
+def position_window(files: SampleFiles, counts: DataFrame, tau: int, batch: int, round_no: int, seed: int = 0,
+                    wrap: bool = False, start: Column | None = None) -> DataFrame:
+    """`round_window` over written files: the files that the windows touch are opened, and of these the row groups and pages that hold rows of one.
+
+    The driver sees each worker's window and the files they lie in, a few per worker.
+    """
+    spark, rows = files.table.sparkSession, files.rows
+    spans = []
+    for row in round_starts(counts, tau, batch, round_no, seed, wrap, start).collect():
+        first, last, n = row["start"], row["start"] + tau * batch - 1, row["worker_rows"]
+        parts = [(first, min(last, n - 1))] + ([(0, min(last - n, n - 1))] if last >= n else [])
+        spans += [(row["worker"] * SPAN, low, high) for low, high in parts]
+    if not spans:
+        return round_window(files.table, counts, tau, batch, round_no, seed, wrap, start)
+    asked = spark.createDataFrame([(worker, low // rows, high // rows) for worker, low, high in spans], "worker long, low long, high long")
+    runs = asked.select(F.explode(F.transform(F.sequence("low", "high"), lambda run: F.col("worker") + run)).alias("run")).distinct()
+    found = sorted(r[0] for r in files.places.join(runs, "run", "left_semi").select("file").distinct().collect())
+    place = F.col("place")
+    inside = any_of([(place >= worker + low) & (place <= worker + high) for worker, low, high in spans])
+    selected = spark.read.schema(T.StructType([*files.table.schema.fields, T.StructField("place", T.LongType())])).parquet(*found).where(inside).drop("place")
+    return round_window(selected, counts, tau, batch, round_no, seed, wrap, start)
+
+
+def any_of(conditions: Sequence[Column]) -> Column:
+    """Their disjunction as a balanced tree, so that many of them nest no deeper than their logarithm."""
+    conditions = list(conditions)
+    while len(conditions) > 1:
+        conditions = [a | b for a, b in zip(conditions[::2], conditions[1::2])] + (conditions[-1:] if len(conditions) % 2 else [])
+    return conditions[0]

@@ -13,12 +13,12 @@ from gradloom.operators.joins import gather
 from gradloom.operators.means import publish_mean
 from gradloom.operators.samples import apply_null_policy, convert_inputs, persisted
 from gradloom.operators.score import featurize
-from gradloom.operators.workers import assign_workers, assign_workers_in_place, open_segments, write_segments
+from gradloom.operators.workers import assign_workers, assign_workers_in_place, open_positions, write_positions
 from gradloom.plans.fit import FitResult, fit
 from gradloom.plans.net import Input, Net
 from gradloom.plans.presets import NETS, RUNS, SOLVERS
 from gradloom.plans.solver import Solver
-from gradloom.session import shared_path, stored
+from gradloom.session import lifetime, shared_path, stored
 from gradloom.sources.archives import index_tar
 from gradloom.sources.chunks import write_shuffled_chunks
 from gradloom.sources.images import read_archived_images, read_labelled_images
@@ -30,8 +30,8 @@ def train(preset: str, samples: DataFrame, workers: int, rounds: int, test: Data
           seed: int = 0, raw: Sequence[int] | None = None, **options) -> FitResult:
     """Train a preset's net on (sample_id, inputs...) rows; `net` and `solver` override the preset's.
 
-    Rows are shuffled over the workers or left where they are, as the preset says. Either they are kept in memory, or
-    they are written in segments and each round reads its own. Raw images (bytes of the preset's `raw` shape, or of `raw`) stay bytes
+    Rows are shuffled over the workers or left where they are, as the preset says. They are written once in order of their positions, and
+    each round reads its windows; test rows are kept in memory. Raw images (bytes of the preset's `raw` shape, or of `raw`) stay bytes
     until they are in a batch: their mean is taken once over the training rows and stored, and each round crops anew. Test metrics are
     means over minibatches of the preset's size, the short ones at the workers' ends too unless `drop_remainder=True`.
     """
@@ -44,23 +44,21 @@ def train(preset: str, samples: DataFrame, workers: int, rounds: int, test: Data
     centred = lambda table: net.prepared(image.name, round_crop(publish_mean(table, image.name, raw), raw, image.shape[1:], seed)) if image else net
     if run.scaled:
         conversions = {**{i.name: rescaled_vector for i in net.inputs if not i.label}, **(conversions or {})}
-    prepare = lambda df: prepare_inputs(apply_null_policy(df, net.columns(), on_null), net, conversions)
-    assigned = (assign_workers(prepare(samples), workers, seed=seed) if run.shuffle
-                else assign_workers_in_place(prepare(samples), workers))
-    if test is not None:
-        # Test rows are never reshuffled; their minibatches are numbered where the rows lie.
-        test = prepare(test)
-        test = assign_workers(test, workers, seed=seed) if run.shuffle else stored(assign_workers_in_place(test, workers), "test-samples")
-    options = {"test": test, "eval_every": run.eval_every, "test_batch": run.test_batch, "drop_remainder": False, "seed": seed, **options}
-    if not run.cached:
-        path, rows = shared_path(samples.sparkSession, "samples"), 4 * run.tau * run.batch
-        write_segments(assigned, path, rows)
-        segments = open_segments(samples.sparkSession, path, rows)
-        return fit(segments.table, centred(segments.table), solver, rounds, run.tau, run.batch, segments=segments, **options)
-    if not run.shuffle:
-        assigned = stored(assigned, "samples")
-    with persisted(*[t for t in (assigned, test) if t is not None]):
-        return fit(assigned, centred(assigned), solver, rounds, run.tau, run.batch, **options)
+    spark = samples.sparkSession
+    with lifetime(spark):  # samples, means and places are needed until the weights are there
+        prepare = lambda df: prepare_inputs(apply_null_policy(df, net.columns(), on_null), net, conversions)
+        assigned = (assign_workers(prepare(samples), workers, seed=seed) if run.shuffle
+                    else assign_workers_in_place(prepare(samples), workers))
+        if test is not None:
+            # Test rows are never reshuffled; their minibatches are numbered where the rows lie.
+            test = prepare(test)
+            test = assign_workers(test, workers, seed=seed) if run.shuffle else stored(assign_workers_in_place(test, workers), "test-samples")
+        options = {"test": test, "eval_every": run.eval_every, "test_batch": run.test_batch, "drop_remainder": False, "seed": seed, **options}
+        path, rows = shared_path(spark, "samples"), run.tau * run.batch
+        write_positions(assigned, path, rows)
+        files = open_positions(spark, path, rows)
+        with persisted(*[t for t in (test,) if t is not None and run.cached]):
+            return fit(files.table, centred(files.table), solver, rounds, run.tau, run.batch, segments=files, **options)
 
 
 def raw_image(net: Net, samples: DataFrame) -> Input | None:
@@ -102,9 +100,10 @@ def chunk_archives(archives: DataFrame, labels: DataFrame, n_chunks: int, path:
 
     Returns how many labelled members were read, kept and dropped as undecodable.
     """
-    images, counts = read_labelled_images(index_tar(archives), labels, height, width, on_missing)
-    write_shuffled_chunks(images, n_chunks, f"{path}/chunks", "filename", seed, prefix, digits, files_per_chunk)
-    publish_labels(archives.sparkSession.read.parquet(f"{path}/chunks"), f"{path}/labels")
+    with lifetime(archives.sparkSession):
+        images, counts = read_labelled_images(index_tar(archives), labels, height, width, on_missing)
+        write_shuffled_chunks(images, n_chunks, f"{path}/chunks", "filename", seed, prefix, digits, files_per_chunk)
+        publish_labels(archives.sparkSession.read.parquet(f"{path}/chunks"), f"{path}/labels")
     return counts
 
 

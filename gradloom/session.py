@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +31,50 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a new Parquet table in the shared folder and read it back: the lineage cut for large tables."""
-    path = shared_path(df.sparkSession, name)
+def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """Write `df` as a new Parquet table in the shared folder and read it back: the lineage cut for large tables.
+
+    A table that `outlives` the `lifetime` it is written in belongs to the one around it.
+    """
+    path = shared_path(df.sparkSession, name, outlives)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+def shared_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    """A new path in the shared folder; within a `lifetime` it is deleted at its end."""
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    scopes = _scopes()
+    if scopes[:len(scopes) - outlives]:
+        scopes[-1 - outlives].append(path)
+    return path
+
+
+_local = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """The lifetimes that are open in this thread, the innermost last."""
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
+@contextmanager
+def lifetime(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of the block, the tables and files that were written into the shared folder inside it.
+
+    The results that leave the block must have been computed in it, or be tables that outlive it (`stored(..., outlives=True)`):
+    a DataFrame that still reads a deleted table fails.
+    """
+    own: list[str] = []
+    _scopes().append(own)
+    try:
+        yield
+    finally:
+        _scopes().pop()
+        for path in own:
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.functions.image import to_planar_rgb
-from gradloom.session import remove, shared_path, stored
+from gradloom.session import lifetime, shared_path, stored
 from gradloom.sources.archives import attach_index_labels, land_members
 from gradloom.sources.files import basename, read_ranges
 
@@ -48,28 +48,30 @@ def read_labelled_images(index: DataFrame, labels: DataFrame, height: int, width
     """
     spark = index.sparkSession
     kind = labels.schema["label"].dataType
-    found = stored(attach_index_labels(index, labels, on_missing), "labelled-index")
-    # A label that stands twice is an image that is there twice.
-    groups = max(1, math.ceil((found.agg(F.sum("size")).first()[0] or 0) / group_bytes))
-    group = F.pmod(F.xxhash64("path", "offset"), F.lit(groups)).alias("group")
-    members = stored(found.groupBy("path", "parent", "member", "offset", "size", "filename", "label", group).agg(F.count(F.lit(1)).alias("copies")), "members")
-    text = F.hex(F.encode(F.coalesce(F.col("label").cast("string"), F.lit("")), "UTF-8"))
-    table = shared_path(spark, "images")
-    for number in range(groups):
-        some = members.where(F.col("group") == number).drop("group")
-        landing = shared_path(spark, "landing")
-        content = read_ranges(some.withColumn("prefix", F.concat_ws("-", text, "copies")))
-        landed = land_members(content, landing, prefix="prefix")
-        landed.write.format("noop").mode("overwrite").save()
-        parts = F.split("filename", "-", 4)
-        image = read_images(spark, landing, height, width).withColumn("parts", parts)
-        label = F.decode(F.unhex(F.element_at("parts", 2)), "UTF-8")
-        rows = image.select(F.element_at("parts", 4).alias("filename"), F.when(label != "", label).cast(kind).alias("label"), "data",
-                            F.explode(F.sequence(F.lit(1), F.element_at("parts", 3).cast("int"))).alias("copy"))
-        rows.drop("copy").write.mode("append").parquet(table)
-        remove(spark, landing)
-    images = spark.read.parquet(table)
-    return images, dropped_count(found, images)
+    with lifetime(spark):
+        found = stored(attach_index_labels(index, labels, on_missing), "labelled-index")
+        # A label that stands twice is an image that is there twice.
+        groups = max(1, math.ceil((found.agg(F.sum("size")).first()[0] or 0) / group_bytes))
+        group = F.pmod(F.xxhash64("path", "offset"), F.lit(groups)).alias("group")
+        members = stored(found.groupBy("path", "parent", "member", "offset", "size", "filename", "label", group).agg(F.count(F.lit(1)).alias("copies")), "members")
+        text = F.hex(F.encode(F.coalesce(F.col("label").cast("string"), F.lit("")), "UTF-8"))
+        table = shared_path(spark, "images", outlives=True)
+        for number in range(groups):
+            with lifetime(spark):
+                some = members.where(F.col("group") == number).drop("group")
+                landing = shared_path(spark, "landing")
+                content = read_ranges(some.withColumn("prefix", F.concat_ws("-", text, "copies")))
+                landed = land_members(content, landing, prefix="prefix")
+                landed.write.format("noop").mode("overwrite").save()
+                parts = F.split("filename", "-", 4)
+                image = read_images(spark, landing, height, width).withColumn("parts", parts)
+                label = F.decode(F.unhex(F.element_at("parts", 2)), "UTF-8")
+                rows = image.select(F.element_at("parts", 4).alias("filename"), F.when(label != "", label).cast(kind).alias("label"), "data",
+                                    F.explode(F.sequence(F.lit(1), F.element_at("parts", 3).cast("int"))).alias("copy"))
+                rows.drop("copy").write.mode("append").parquet(table)
+        images = spark.read.parquet(table)
+        counts = dropped_count(found, images)
+        return images, spark.createDataFrame(counts.collect(), counts.schema)  # one row, counted while the index is there
 
 
 def dropped_count(before: DataFrame, after: DataFrame) -> DataFrame:

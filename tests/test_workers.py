@@ -1,11 +1,13 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from gradloom.operators.joins import attach_labels, gather, hot_keys, missing_images, missing_labels, salted_join
 from gradloom.operators.numbering import number_rows
 from gradloom.operators.samples import persisted, widen
-from gradloom.operators.workers import (assign_workers, assign_workers_in_place, open_segments, round_starts,
-                                        round_window, segment_window, skip_rows, worker_counts, write_segments)
+from gradloom.operators.workers import (any_of, assign_workers, assign_workers_in_place, open_positions, open_segments, position_window, round_starts,
+                                        round_window, segment_window, skip_rows, worker_counts, write_positions, write_segments)
 
 
 def placed(df):
@@ -94,6 +96,38 @@ def test_segments_give_the_same_window(spark, samples, tmp_path, wrap, regroup):
     assert "segment" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
+@pytest.mark.parametrize("wrap,rows", [(False, 30), (True, 7), (True, 1000)])
+def test_sorted_files_give_the_same_window(spark, samples, tmp_path, wrap, rows):
+    df = assign_workers(samples, 4)
+    counts = worker_counts(df)
+    path = str(tmp_path / "p")
+    write_positions(df, path, rows)
+    assert not [f for f in os.listdir(path) if "=" in f]  # no folder by worker or run
+    opened = open_positions(spark, path, rows)
+    for round_no in range(3):
+        found = position_window(opened, counts, 3, 10, round_no, 2, wrap)
+        direct = round_window(df, counts, 3, 10, round_no, 2, wrap)
+        assert sorted(map(tuple, found.select(direct.columns).collect())) == sorted(map(tuple, direct.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(place" in plan.split("PushedFilters:")[1].split("ReadSchema")[0]
+
+
+def test_files_without_a_window_are_not_opened(spark, tmp_path):
+    """Workers in place, a file each or several: a round of one worker opens only the files that its window lies in."""
+    df = spark.range(0, 4000, numPartitions=8).select(F.col("id").alias("sample_id"), (F.col("id") % 500).alias("pos"), (F.col("id") / 500).cast("int").alias("worker"),
+                                                      F.lit(500).cast("bigint").alias("worker_rows"))
+    write_positions(df, str(tmp_path / "p"), 50)
+    opened = open_positions(spark, str(tmp_path / "p"), 50)
+    assert opened.places.count() == 80
+    window = position_window(opened, worker_counts(df).where("worker = 3"), 1, 20, 0, start=F.lit(390))
+    assert [r["pos"] for r in window.orderBy("pos").collect()] == list(range(390, 410)) and len(window.inputFiles()) == 1
+
+
+def test_many_conditions(spark):
+    wide = any_of([F.col("id") == i for i in range(0, 3000, 3)])
+    assert spark.range(3000).where(wide).count() == 1000
+
+
 def test_skip_and_persist(samples):
     with persisted(assign_workers(samples, 2)) as (df,):
         assert df.is_cached and skip_rows(df, 200).count() == df.filter("pos >= 200").count()
