@@ -110,9 +110,9 @@ def signatures(rows: DataFrame, weighted: bool) -> DataFrame:
             elements, weights, counts = elements_of(Words(texts), weighted)
             both = mix(elements + weights.astype(np.uint64) * _STEP)
             c1, c2 = _sum_by_text(both, counts), _sum_by_text(mix(both + np.uint64(7)), counts)
-            total = np.bincount(np.repeat(np.arange(len(counts)), counts), weights, minlength=len(counts))
+            total = np.bincount(np.repeat(np.arange(len(counts)), counts), weights, minlength=len(counts)).astype(float)  # whole numbers if there are none
             signature = dart_signatures(elements, weights, counts, BANDS * ROWS)
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), as_long(c1), as_long(c2), pa.array(total),
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), as_long(c1), as_long(c2), pa.array(total, pa.float64()),
                                               lists(signature.ravel(), np.full(len(counts), BANDS * ROWS))], names=["row_id", "doc_id", "c1", "c2", "weight", "signature"])
 
     return rows.select("row_id", "doc_id", "text").mapInArrow(sign, "row_id long, doc_id long, c1 long, c2 long, weight double, signature array<int>")

@@ -58,7 +58,9 @@ def test_personal_data_is_replaced(stages):
         spans = privacy.base_spans(before[i]["text"])
         assert not privacy.base_spans(row["text"]) and row["n_chars"] == len(row["text"])
         assert Counter(re.findall(r"\[(?:email|ip|card|phone)\]", row["text"]))["[email]"] == sum(k == 0 for _, k, _ in spans)
-        if not spans:
+        keys = re.findall(r"\b[0-9a-f]{40}\b", before[i]["text"])
+        assert row["text"].count("[secret]") >= len(keys) and not any(k in row["text"] for k in keys)
+        if not spans and not keys:
             assert row == before[i]
         changed += bool(spans)
     assert changed
@@ -75,3 +77,34 @@ def test_the_mixture_takes_its_targets(stages):
 
 def test_run_gives_the_same_rows(spark, folder, stages):
     assert sorted(map(str, corpus_pipeline.run(spark, folder).collect())) == sorted(map(str, stages[5].collect()))
+
+
+def odd_rows():
+    long = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
+    texts = [None, "", "one", "a b c d e f g h", "a b c d e f g h", long, "mail x.y@corp.example now " + "k l m n o p q r s t", "\x00 \U0001F600 é"]
+    rows = [(i, t, "en", None if i % 3 == 0 else "s", None, 7, 0.9, "p", 1) for i, t in enumerate(texts)]
+    return rows + [rows[3], (None, "no id here at all", None, None, 3, None, None, None, None)]
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row_id int, score double, passages string, gone int"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_rows_go_through_all_stages(spark, tmp_path, empty):
+    """Null, empty and very long texts, null ids and sources, repeated rows, clashing columns; and no rows at all."""
+    folder = str(tmp_path)
+    spark.createDataFrame([] if empty else odd_rows(), ODD).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "k l m n o"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, folder), name)
+        assert docs.columns == [f.split()[0] for f in ODD.split(", ")]
+        kept.append(sorted(str(r["doc_id"]) for r in docs.collect()))
+    # No label of both classes: nothing is toxic. Texts without words are one group, the equal ones another; row 6 holds a benchmark item.
+    ids = [] if empty else ["0", "1", "2", "3", "3", "4", "5", "6", "7", "None"]
+    assert kept[0] == ids and len(kept[1]) == (0 if empty else 7)
+    assert kept[2] == [i for i in kept[1] if i != "6"] == kept[3]
+    found = corpus_pipeline.run(spark, folder)
+    assert sorted(str(r["doc_id"]) for r in found.collect()) == kept[3]
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in found.collect())
