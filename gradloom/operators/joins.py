@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from gradloom.session import shuffle_partitions
 
@@ -21,15 +21,16 @@ def hot_keys(df: DataFrame, key: str, tasks: int) -> DataFrame:
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", tasks: int | None = None) -> DataFrame:
     """Inner or left equi-join over `tasks` tasks (the session's shuffle width); the left rows of a hot key are dealt over several.
 
-    Only the hot keys' right rows are copied, once per salt. A row's salt is a hash of its values and of the input
-    partition it is in: a repeated task deals alike, and even full copies of one row are spread. The list of hot keys
+    Only the hot keys' right rows are copied, once per salt. A row's salt is a hash of its plain values (no bytes or arrays, which may be
+    whole images) and of the input partition it is in: a repeated task deals alike, and even full copies of one row are spread. The list of hot keys
     is the one side broadcast here; it has fewer rows than there are tasks.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join is inner or left")
     hot = F.broadcast(hot_keys(left.select(key), key, tasks or shuffle_partitions(left.sparkSession)))
     salts = F.coalesce("__salts", F.lit(1))
-    dealt = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), salts).cast("int")
+    plain = [f.name for f in left.schema if isinstance(f.dataType, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.BooleanType))]
+    dealt = F.pmod(F.xxhash64(*plain, F.spark_partition_id()), salts).cast("int")
     salted_left = left.join(hot, key, "left").withColumn("__salt", dealt).drop("__salts")
     salted_right = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
     return salted_left.join(salted_right, [key, "__salt"], how).drop("__salt")

@@ -181,6 +181,8 @@ def test_sample_ids_from_places(spark, tmp_path):
     spark.createDataFrame([(1,)] * 50, "x int").repartition(3).write.parquet(str(tmp_path / "t"))
     a, b = ({r["sample_id"] for r in tabular.read_samples(spark, str(tmp_path / "t")).collect()} for _ in range(2))
     assert a == b and len(a) == 50
+    files = {i >> tabular.PLACE_BITS for i in a}
+    assert files == set(range(len(files))) and {i & 31 for i in a} <= set(range(50)) and len(files) == 3
 
 
 def test_nested_tar(spark, tmp_path):
