@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gradloom.llm.words import BLANK_WORDS, Words, mix, once, slices, with_row_id
+from gradloom.llm.words import BLANK_WORDS, Words, mix, once, slices, summed, with_row_id
 from gradloom.session import stored
 
 VOCABULARY, WIDTH, HEAD = 1000, 16, 200_000
@@ -43,13 +43,6 @@ def hash_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 END = mix(np.array([0], np.uint64) - np.uint64(1)).view(np.int64)[0]
 
 
-def merged(token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(token, kind="stable")
-    token, n = token[order], n[order]
-    begins = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-    return token[begins], np.add.reduceat(n, begins) if len(token) else n
-
-
 def token_counts(texts: DataFrame) -> DataFrame:
     """(token, n) over the texts, tokens as hashes. Tasks count up to HELD tokens at a time, Spark sums."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +52,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
         token, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for _, some in slices(batches, "text"):
             new, times = np.unique(hash_tokens(some)[0], return_counts=True)
-            token, n = merged(np.append(token, new), np.append(n, times))
+            token, n = summed(np.append(token, new), np.append(n, times))
             if len(token) > HELD:
                 yield table(token, n)
                 token, n = np.zeros(0, np.int64), np.zeros(0, np.int64)

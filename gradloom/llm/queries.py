@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradloom.catalog.registry import Registry, table
+from gradloom.catalog import registry
+from gradloom.catalog.registry import Registry
 from gradloom.llm import (bpe, decontaminate, language_model, lexical_search, licenses, mixing, near_duplicates, privacy, suffixes, toxicity, vector_search,
                           warc, whitening)
+from gradloom.llm.words import bound_batches
 from gradloom.session import shared_path, stored
 
 REGISTRY = Registry()
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bound_batches(spark)
+    return registry.table(spark, folder, name)
+
+
 # Fixed value: the base32 alphabet.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 

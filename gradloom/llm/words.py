@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.session import stored
 
@@ -21,7 +21,9 @@ LOWER_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b
 #: Words of anything but blanks; A-Z become a-z.
 BLANK_WORDS = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 #: Text that one vectorised step takes at most (a longer text is a step of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch of texts, of which the JVM and the worker hold copies for every task.
+BATCH_BYTES = "8m"
 #: Of a row number, those that are the row's place in its file.
 PLACE_BITS = 36
 
@@ -30,6 +32,13 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES in this session, unless it has a bound of its own: ten thousand texts are much more than as many numbers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m").lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Number the rows of a Parquet table by file and place in it. A later scan of the table gives the same numbers, whatever columns it
     reads and however the files are split. Rows that are no such scan are written first: what joins back to `df` by number must
@@ -208,6 +217,16 @@ def distinct_by_text(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray
     return values[keep], np.bincount(owner[keep], minlength=len(counts))
 
 
+def summed(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and the sums of their `n`."""
+    if not len(values):
+        return values, n
+    order = np.argsort(values, kind="stable")
+    values, n = values[order], n[order]
+    begins = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+    return values[begins], np.add.reduceat(n, begins)
+
+
 def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     """An Arrow list column from flat values and their number by row."""
     offsets = np.zeros(len(counts) + 1, np.int32)
