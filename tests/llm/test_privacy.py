@@ -55,5 +55,46 @@ def test_terms_that_reveal_an_entity(spark):
     assert clean[100]["text"] == dict(rows)[100] and clean[401]["text"] is None and len(clean) == len({r[0] for r in rows})
 
 
+def test_rare_entities(spark):
+    """One occurrence with a part of the address near it, two occurrences in different contexts, and what must not be flagged."""
+    rng = random.Random(6)
+    filler = lambda n: " ".join(f"common{rng.randrange(40)}" for _ in range(n))
+    rows = [(0, f"{filler(4)} Quillon {filler(1)} quillon@mail.example {filler(3)}"),
+            (1, f"{filler(4)} Varnax {filler(2)} two@mail.example {filler(3)}"), (2, f"Varnax {filler(3)} two@mail.example {filler(6)}"),
+            (3, f"{filler(4)} Lonely {filler(2)} one@mail.example {filler(3)}"),
+            (4, f"Twice {filler(3)} both@mail.example {filler(30)} Twice {filler(1)} both@mail.example {filler(2)}"),
+            (5, "copied Onlyone x@mail.example"), (6, "copied Onlyone x@mail.example")]
+    rows += [(100 + i, filler(60)) for i in range(400)]
+    found = {r["doc_id"]: r for r in privacy.digest(privacy.personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    text = dict(rows)
+    flagged = {i: {text[i][int(s.split(":")[1]):int(s.split(":")[2])] for s in r["spans"].split(",") if s.startswith(("removed", "generalised"))} for i, r in found.items()}
+    assert flagged[0] == {"Quillon"} and flagged[1] == flagged[2] == {"Varnax"} and flagged[4] == {"Twice"}
+    assert not any(flagged[i] for i in (3, 5, 6)) and not any(r["spans"] for i, r in found.items() if i >= 100)
+    assert found[0]["n_revealing"] == 1 and found[4]["n_revealing"] == 2
+
+
+def test_secrets(spark):
+    """Keys that nobody could guess, at any place; long words, numbers and repeated letters of ordinary texts are left alone."""
+    rng = random.Random(7)
+    syllables = ["heit", "lich", "ver", "ung", "schaft", "tion", "ble", "ing", "eau", "été"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randrange(1, 9)))
+    texts = [" ".join(word() if rng.random() < 0.95 else str(rng.randrange(10**9)) for _ in range(120)) for _ in range(300)]
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    planted = {i: key() for i in range(0, 40, 2)}
+    for i, k in planted.items():
+        texts[i] = f"é{texts[i]} token = \"{k.upper() if i % 4 else k}\" {texts[i]}"
+    texts += ["a" * 30 + " " + "12" * 10, "versicherungsgesellschaftlichkeiten " * 3, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r for r in privacy.digest(privacy.personal_data(docs)).collect()}
+    for i, r in found.items():
+        if i in planted:
+            begin = texts[i].lower().index(planted[i])
+            assert f"secret:{begin}:{begin + 40}" in r["spans"].split(",") and r["n_secret"] == 1
+        else:
+            assert r["n_secret"] == 0, texts[i]
+    clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(docs).collect()}
+    assert clean[0].count("[secret]") == 1 and planted[0] not in clean[0] and clean[1] == texts[1]
+
+
 def test_empty_table(spark):
     assert privacy.digest(privacy.personal_data(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
