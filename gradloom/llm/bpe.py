@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from gradloom.llm.words import fresh, small
+from gradloom.llm.words import fresh, once, small
 
 # Fixed value: the pattern of byte-level vocabularies (contractions, then letters, digits, others with a blank before, then blanks).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^\s{LN}]+|\s+(?!\S)|\s+"
@@ -43,8 +43,8 @@ AFTER_UNICODE_16 = """
 """.split()
 #: The UTF-8 bytes that a code point from the first of these on may begin with.
 HIGH = bytes(range(chr(int(AFTER_UNICODE_16[0], 16)).encode()[0], 256))
-#: Words whose tokens (and pairs of tokens that) a Python worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_LENGTH = 200_000, 48
+#: Words and pairs of tokens that a Python worker remembers, and the longest of these words in characters.
+REMEMBERED, REMEMBERED_PAIRS, REMEMBERED_LENGTH = 400_000, 200_000, 48
 #: Words of one text that are held at a time.
 HELD_WORDS = 65_536
 
@@ -171,7 +171,7 @@ class Automaton:
                     pair = last << 32 | arc
                     found = pairs.get(pair)
                     if found is None:
-                        if len(pairs) > REMEMBERED:
+                        if len(pairs) > REMEMBERED_PAIRS:
                             pairs.clear()
                         found = pairs[pair] = self.has(last, arc, end)
                     if found:
@@ -193,6 +193,21 @@ class Automaton:
         return path
 
 
+class Known(dict):
+    """Packed ids by word. A new word is read by the automaton and remembered, up to a fixed number of words."""
+
+    def __init__(self, automaton: Automaton, packed: list[bytes]):
+        self.automaton, self.packed = automaton, packed
+
+    def __missing__(self, word: str) -> bytes:
+        ids = b"".join([self.packed[arc] for arc in self.automaton.read(word.encode())])
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Texts to token ids with one compiled automaton; remembers the tokens of words it has seen, up to a fixed number."""
 
@@ -201,36 +216,22 @@ class Encoder:
         lost = [label for label in self.automaton.label if label not in vocabulary.ids]
         if lost:
             raise ValueError(f"the vocabulary has no ids for {lost[:3]}")
-        self.packed = [vocabulary.ids[label].to_bytes(4, "little") for label in self.automaton.label]
+        self.known = Known(self.automaton, [vocabulary.ids[label].to_bytes(4, "little") for label in self.automaton.label])
         self.special = {s: i.to_bytes(4, "little") for s, i in vocabulary.special.items()}
         longest_first = sorted(vocabulary.special, key=len, reverse=True)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         self.plain, self.any = _patterns()
-        self.known: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        return b"".join([self.packed[arc] for arc in self.automaton.read(word.encode())])
 
     def _piece(self, text: str) -> Iterator[bytes]:
         """Ids of a text without special tokens, for at most HELD_WORDS words at a time."""
         data = text.encode()
         pattern = self.plain if len(data.translate(None, HIGH)) == len(data) else self.any
+        if len(text) <= HELD_WORDS:
+            yield b"".join(map(self.known.__getitem__, pattern.findall(text)))
+            return
         matches = pattern.finditer(text)
-        while words := [m[0] for m in islice(matches, HELD_WORDS)] if len(text) > HELD_WORDS else pattern.findall(text):
-            new = set(words).difference(self.known)
-            if len(self.known) + len(new) > REMEMBERED + HELD_WORDS:
-                self.known.clear()
-                new = set(words)
-            for word in new:
-                self.known[word] = self._word(word)
+        while words := [m[0] for m in islice(matches, HELD_WORDS)]:
             yield b"".join(map(self.known.__getitem__, words))
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            for word in new:
-                if len(word) > REMEMBERED_LENGTH:
-                    self.known.pop(word, None)
-            if len(text) <= HELD_WORDS:
-                break
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
@@ -243,17 +244,6 @@ class Encoder:
         return b"".join(parts)
 
 
-_compiled: dict[str, object] = {}
-
-
-def once(key: str, make: Callable[[], object]) -> object:
-    """What `make` gives, kept by the Python worker for the tasks that follow; only the last value is kept."""
-    if key not in _compiled:
-        _compiled.clear()
-        _compiled[key] = make()
-    return _compiled[key]
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", tokens: str = "tokens") -> DataFrame:
     """All rows and columns, and `tokens`: the ids of the whole text, packed as little-endian unsigned 32-bit integers (see `token_ids`).
 
