@@ -1,6 +1,6 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Items are put into classes by their number of shingles, (s/2, s] for s = 8, 16, 32, ... For every class that has items, each
+Items are put into classes by their number of shingles, (s/2, s] for s = 1, 2, 4, ... For every class that has items, each
 document is cut into overlapping windows of 2 s shingles, one every s, so that any run of s shingles lies whole in one window and
 a window is never more than four times as long as an item. Containment in a long document so becomes a plain similarity of two
 sets of like size. `functions` minima are taken of windows and items; one common minimum makes a candidate. What an item and a
@@ -29,8 +29,8 @@ SHINGLE, CONTAINMENT, FUNCTIONS = 5, 0.8, 48
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
-    """The class s of items with n shingles, a power of two, at least 8."""
-    return np.maximum(8, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    """The class s of items with n shingles: the power of two that is not below n."""
+    return 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
 
 
 def _functions(k: int) -> np.ndarray:

@@ -133,3 +133,17 @@ def test_contained_items_by_brute_force(spark):
     assert found == expected
     assert decontaminate.contained_items(a, b.where("false")).count() == 0 and decontaminate.contained_items(a.where("false"), b).count() == 0
     assert decontaminate.without_items(a, b).count() == len(docs) - len({x[0] for x in expected if x[0] not in ("None", "9003")}) - 3
+
+
+def test_no_short_item_is_lost(spark):
+    """1,000 items of five words, and some of six to nine, each inside a document of 400 shingles."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    items = [(i, " ".join(word() for _ in range(5 if i < 1000 else 6 + i % 4))) for i in range(1100)]
+    docs = []
+    for i, text in items:
+        words = [word() for _ in range(400)]
+        at = rng.randrange(400)
+        docs.append((i, " ".join([*words[:at], text, *words[at:]])))
+    found = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, i) for i, _ in items}
