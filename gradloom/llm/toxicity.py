@@ -9,7 +9,8 @@ lambda, K and the curve are fitted on texts that the log-odds used for them have
 The classifier is fitted on at most `sample` labelled texts, taken by hash; so is the size of the model that tasks receive.
 
 Defined cases: a null text is empty; an empty text has no passages and the score of a text without evidence. Labels with a null
-id or value are left out; repeated labels count as toxic if one of them does. Repeated rows are scored each. Without labelled
+id or value are left out; repeated labels count as toxic if one of them does. Of the rows that share a labelled id one is learned from, that
+whose text has the least hash; all are scored. Without labelled
 texts of both classes the score is 0 for every text.
 """
 
@@ -150,8 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     chosen = first_by_hash(chosen, chosen.count(), sample).drop("h")
     chosen = stored(chosen.withColumn("fold", remainder("id", 7) % 2), "labelled")
     # At most `sample` small rows are broadcast.
-    texts = stored(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
-                   .select("text", F.col("fold").cast("int").alias("fold"), "toxic"), "labelled-texts")
+    joined = (docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+              .select("id", F.struct("text", F.col("fold").cast("int").alias("fold"), "toxic").alias("row")))
+    # An id that many rows hold counts once: no more texts than labels, whatever repeats. Partial aggregates keep one text by id and task.
+    texts = stored(joined.groupBy("id").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row.*"), "labelled-texts")
     sums = texts.mapInArrow(_count, "node binary, fold int, toxic int, n long").groupBy("node").agg(
         *[F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{f}{t}") for f in (0, 1) for t in (1, 0)])
     counts = stored(sums, "toxic-counts")

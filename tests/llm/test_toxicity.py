@@ -40,6 +40,21 @@ def test_held_out_texts(spark):
     assert row[900]["score"] == row[901]["score"] < 0.5 and row[902]["predicted"] == row[None]["predicted"] == 0
 
 
+def test_a_repeated_labelled_id_counts_once(spark, monkeypatch):
+    """A third of all rows holds one labelled id: what is learned from, and what reaches the driver, is one text for each label."""
+    docs, labels = corpus()
+    seen = []
+    original = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda texts, *rest: (seen.append(texts.count()), original(texts, *rest))[1])
+    model = toxicity.fit(*frames(spark, docs, labels))
+    many = spark.createDataFrame(docs, "doc_id long, text string, passages int").unionByName(
+        spark.range(20_000).selectExpr("1L AS doc_id", "concat('w1 w2 copy', id) AS text", "7 AS passages"))
+    again = toxicity.fit(many, frames(spark, docs, labels)[1])
+    assert seen == [len(labels), len(labels)]
+    scores = [[r["score"] for r in toxicity.score_texts(frames(spark, docs, labels)[0].drop("passages"), m, score="score").orderBy("doc_id").collect()] for m in (model, again)]
+    assert sum((a >= 0.5) == (b >= 0.5) for a, b in zip(*scores)) >= 0.97 * len(docs)
+
+
 def test_no_labels_and_no_rows(spark):
     docs, _ = corpus()
     assert {r["score"] for r in toxicity.score_toxicity(*frames(spark, docs[:5], [])).collect()} == {0.0}
