@@ -184,6 +184,13 @@ def bitmap():
     return F.concat(F.unhex(F.lit(header)), *rows)
 
 
+def _image_archives(df, name, body):
+    """Archives of fifty images each. The images are made behind the exchange: their table may be one small file, and would be one task."""
+    placed = df.withColumn("filename", F.concat(F.floor(F.col("vec_id") / 50), F.lit(".tar")))
+    placed = placed.repartition(shuffle_partitions(df.sparkSession), "filename")
+    return tar_up(placed.select("filename", F.concat(F.lit("x/"), name).alias("member"), body.alias("body")))
+
+
 @query(f"""WITH {PLANES} SELECT vec_id, label::INTEGER AS label, (c * 16 + (spot // 16) * 4 + (spot % 8) // 2)::INTEGER AS pos,
 floor(avg(px) + 0.5)::DOUBLE AS value FROM (SELECT plane.*, embeddings.label FROM plane JOIN embeddings ON plane.vec_id = embeddings.vec_id)
 GROUP BY vec_id, label, c, spot // 16, (spot % 8) // 2""")
@@ -191,8 +198,7 @@ def image_archives(spark, folder):
     """Archives of bitmaps and a label file to decoded, resized, labelled images."""
     df = table(spark, folder, "embeddings")
     name = F.concat("vec_id", F.lit(".bmp"))
-    archives = tar_up(df.select(F.concat(F.floor(F.col("vec_id") / 50), F.lit(".tar")).alias("filename"),
-                                F.concat(F.lit("x/"), name).alias("member"), bitmap().alias("body")))
+    archives = _image_archives(df, name, bitmap())
     labels_path = shared_path(spark, "labels")
     publish_labels(df.select(F.concat(F.lit("y/"), name).alias("filename"), "label"), labels_path)
     index = index_tar(list_archives(spark, _landed(spark, archives, "image-tars"), shuffle_partitions(spark)))
@@ -209,7 +215,7 @@ def broken_images_dropped(spark, folder):
     df = table(spark, folder, "embeddings")
     name = F.concat("vec_id", F.lit(".bmp"))
     body = F.when(F.col("vec_id") % 11 == 3, F.encode(F.lit("no image"), "UTF-8")).otherwise(bitmap())
-    archives = tar_up(df.select(F.concat(F.floor(F.col("vec_id") / 50), F.lit(".tar")).alias("filename"), F.concat(F.lit("x/"), name).alias("member"), body.alias("body")))
+    archives = _image_archives(df, name, body)
     labels = df.where("vec_id % 7 <> 2").select(name.alias("filename"), "label")
     index = index_tar(list_archives(spark, _landed(spark, archives, "broken-tars"), shuffle_partitions(spark)))
     images, counts = read_labelled_images(index, labels, 4, 4, group_bytes=40_000)

@@ -7,12 +7,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gradloom.functions.image import to_planar_rgb
-from gradloom.session import lifetime, shared_path, stored
+from gradloom.session import lifetime, shared_path, shuffle_partitions, stored
 from gradloom.sources.archives import attach_index_labels, land_members
 from gradloom.sources.files import basename, read_ranges
 
 #: Archive members that are landed as files at a time.
 GROUP_BYTES = 64 << 30
+#: Disk that a file takes besides its bytes, about, and the least disk that a group is made for: below it the fixed cost of a group, not its images, would be the time.
+FILE_BYTES, LEAST_GROUP_BYTES = 4096, 256 << 20
 
 
 def decode_resize(images: DataFrame, height: int | None = None, width: int | None = None) -> DataFrame:
@@ -43,7 +45,7 @@ def read_labelled_images(index: DataFrame, labels: DataFrame, height: int, width
     (read, kept, dropped), one row.
 
     Labels meet the index, not the images. Then groups of members, `group_bytes` of them at a time, are read by range, landed,
-    decoded where the files lie, and appended; a member's label travels in the name of its file, so no exchange carries an image. Each group's
+    decoded where the files lie, and appended; groups that would take less disk than LEAST_GROUP_BYTES are made larger. A member's label travels in the name of its file, so no exchange carries an image. Each group's
     folder is deleted once it is stored: neither files nor listings grow with the whole input.
     """
     spark = index.sparkSession
@@ -51,7 +53,8 @@ def read_labelled_images(index: DataFrame, labels: DataFrame, height: int, width
     with lifetime(spark):
         found = stored(attach_index_labels(index, labels, on_missing), "labelled-index")
         # A label that stands twice is an image that is there twice.
-        groups = max(1, math.ceil((found.agg(F.sum("size")).first()[0] or 0) / group_bytes))
+        size, files = found.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+        groups = max(1, min(math.ceil(size / group_bytes), math.ceil((size + files * FILE_BYTES) / LEAST_GROUP_BYTES)))
         group = F.pmod(F.xxhash64("path", "offset"), F.lit(groups)).alias("group")
         members = stored(found.groupBy("path", "parent", "member", "offset", "size", "filename", "label", group).agg(F.count(F.lit(1)).alias("copies")), "members")
         text = F.hex(F.encode(F.coalesce(F.col("label").cast("string"), F.lit("")), "UTF-8"))
@@ -68,7 +71,8 @@ def read_labelled_images(index: DataFrame, labels: DataFrame, height: int, width
                 label = F.decode(F.unhex(F.element_at("parts", 2)), "UTF-8")
                 rows = image.select(F.element_at("parts", 4).alias("filename"), F.when(label != "", label).cast(kind).alias("label"), "data",
                                     F.explode(F.sequence(F.lit(1), F.element_at("parts", 3).cast("int"))).alias("copy"))
-                rows.drop("copy").write.mode("append").parquet(table)
+                # Spark's reader counts 4 MB for a file: small images would be a few to a task.
+                rows.drop("copy").coalesce(max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)).write.mode("append").parquet(table)
         images = spark.read.parquet(table)
         counts = dropped_count(found, images)
         return images, spark.createDataFrame(counts.collect(), counts.schema)  # one row, counted while the index is there

@@ -313,3 +313,22 @@ def test_labels_before_bytes(spark, tmp_path):
     assert counts.first()["dropped"] == 1 and spark.read.parquet(str(tmp_path / "out" / "chunks")).count() == 10
     root = checkpoint_root(spark)
     assert not [f for f in os.listdir(root.removeprefix("file:")) if f.startswith("landing-")]
+
+
+def test_groups_of_images_have_a_least_size(spark, tmp_path, monkeypatch):
+    """A few images are one round, whatever `group_bytes`; enough disk is several."""
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.tar").write_bytes(tar_bytes({f"d/n-{i}.png": png(np.full((4, 4, 3), i, "u1")) for i in range(9)}))
+    index = archives.index_tar(archives.list_archives(spark, str(source), 2)).cache()
+    table = spark.createDataFrame([(f"n-{i}.png", i) for i in range(9)], "filename string, label int")
+    land, rounds = images.land_members, []
+    monkeypatch.setattr(images, "land_members", lambda *a, **b: rounds.append(1) or land(*a, **b))
+    found, _ = images.read_labelled_images(index, table, 2, 2, group_bytes=100)
+    assert len(rounds) == 1
+    rows = sorted((r["label"], bytes(r["data"])) for r in found.collect())
+    assert len(rows) == 9
+    monkeypatch.setattr(images, "LEAST_GROUP_BYTES", 8192)
+    found, counts = images.read_labelled_images(index, table, 2, 2, group_bytes=100)
+    assert len(rounds) > 3 and counts.first()["kept"] == 9
+    assert sorted((r["label"], bytes(r["data"])) for r in found.collect()) == rows
