@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradloom.catalog.registry import Registry, table
 from gradloom.session import shared_path, stored
 from gradloom.operators.joins import attach_labels, gather, missing_images, missing_labels
+from gradloom.operators.numbering import count_distinct
 from gradloom.operators.workers import (assign_workers, assign_workers_in_place, batch_id, open_positions, position_window, round_window,
                                         skip_rows, worker_counts, write_positions)
 from gradloom.sources.chunks import assign_chunks, chunk_name, write_shuffled_chunks
@@ -45,12 +46,11 @@ def worker_positions(spark, folder):
 @query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS ids, sum(o_orderkey)::BIGINT AS total, 4::BIGINT AS workers, true AS complete FROM orders")
 def worker_shuffle(spark, folder):
     """Workers and order from hashes: every row once, and each worker's positions are 0 to its size less 1."""
-    placed = assign_workers(table(spark, folder, "orders").select("o_orderkey"), WORKERS, "o_orderkey")
-    each = placed.groupBy("worker").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("ids"), F.sum("o_orderkey").alias("total"), F.countDistinct("pos").alias("places"),
-        F.min("pos").alias("low"), F.max("pos").alias("high"), F.min("worker_rows").alias("least"), F.max("worker_rows").alias("most"))
-    whole = (F.col("places") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("least") == F.col("n")) & (F.col("most") == F.col("n"))
-    return each.agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("workers"),
+    placed = stored(assign_workers(table(spark, folder, "orders").select("o_orderkey"), WORKERS, "o_orderkey"), "placed")
+    ends = placed.groupBy("worker").agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.min("worker_rows").alias("least"), F.max("worker_rows").alias("most"))
+    each = count_distinct(placed, ["worker"], ["o_orderkey", "pos"], placed.count()).join(ends, "worker")
+    whole = (F.col("pos") == F.col("n")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("least") == F.col("n")) & (F.col("most") == F.col("n"))
+    return each.agg(F.sum("n").alias("n"), F.sum("o_orderkey").alias("ids"), F.sum("o_orderkey_total").alias("total"), F.count(F.lit(1)).alias("workers"),
                     F.bool_and(whole).alias("complete"))
 
 
@@ -105,10 +105,9 @@ def sample_ids(spark, folder):
 def workers_in_place(spark, folder):
     """Every row once, and each worker's positions without repeats."""
     df = stored(assign_workers_in_place(table(spark, folder, "orders").repartition(8), 3), "workers")
-    each = df.groupBy("worker").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("ids"), F.sum("o_orderkey").alias("total"),
-                                    F.countDistinct("pos").alias("places"))
-    return each.agg(F.sum("n").alias("n"), F.sum("ids").alias("ids"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("workers"),
-                    F.bool_and(F.col("places") == F.col("n")).alias("complete"))
+    each = count_distinct(df, ["worker"], ["o_orderkey", "pos"], df.count())
+    return each.agg(F.sum("n").alias("n"), F.sum("o_orderkey").alias("ids"), F.sum("o_orderkey_total").alias("total"), F.count(F.lit(1)).alias("workers"),
+                    F.bool_and(F.col("pos") == F.col("n")).alias("complete"))
 
 
 @query(f"WITH {POS} SELECT worker, pos // 30 AS batch_id, count(*) AS n FROM w GROUP BY worker, pos // 30")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import shutil
 import tempfile
@@ -12,6 +13,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that one task sorts or groups, about; a larger table gets more tasks than the session's shuffle width.
+TASK_ROWS = 1 << 19
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
@@ -102,6 +106,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for a sort or a grouping of so many rows: the memory of one does not grow with the table."""
+    return max(shuffle_partitions(spark), math.ceil(rows / TASK_ROWS))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and continue from there."""
     checkpoint_root(df.sparkSession)

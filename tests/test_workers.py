@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradloom.operators.joins import attach_labels, gather, hot_keys, missing_images, missing_labels, salted_join
-from gradloom.operators.numbering import number_rows
+from gradloom.operators.numbering import count_distinct, number_rows
 from gradloom.operators.samples import persisted, widen
 from gradloom.operators.workers import (any_of, assign_workers, assign_workers_in_place, open_positions, open_segments, position_window, round_starts,
                                         round_window, segment_window, skip_rows, worker_counts, write_positions, write_segments)
@@ -165,3 +165,25 @@ def test_labels(spark):
     assert {r[0] for r in missing_images(more, images).collect()} == {"c", None}
     with pytest.raises(ValueError):
         gather(more, images, on_missing="ignore")
+
+
+def test_tasks_follow_rows(spark, samples, monkeypatch, capsys):
+    """More rows are sorted and numbered by more tasks, to the same positions."""
+    before = placed(assign_workers(samples, 3))
+    monkeypatch.setattr("gradloom.session.TASK_ROWS", 50)
+    df = assign_workers(samples, 3)
+    df.explain()
+    assert ", 10), REPARTITION_BY_NUM" in capsys.readouterr().out
+    assert placed(df) == before
+
+
+def test_distinct_counts_follow_rows(spark, monkeypatch, capsys):
+    monkeypatch.setattr("gradloom.session.TASK_ROWS", 50)
+    df = spark.range(300).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 5 > 0, F.col("id") % 40).alias("x"), F.col("id").alias("y"))
+    counts = count_distinct(df, ["g"], ["x", "y"], 300)
+    expected = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("x"), F.sum("x").alias("x_total"),
+                                   F.countDistinct("y").alias("y"), F.sum("y").alias("y_total"))
+    assert sorted(counts.collect()) == sorted(expected.collect())
+    counts.explain()
+    assert ", 12), REPARTITION_BY_NUM" in capsys.readouterr().out
+    assert count_distinct(df.where("g > 5"), ["g"], ["x"], 0).count() == 0
