@@ -97,8 +97,9 @@ def sample_ids(spark, folder):
     """Ids for a table without key are distinct, and so are the places they are assigned."""
     df = read_samples(spark, f"{folder}/lineitem.parquet").select("sample_id")
     placed = assign_workers(df, WORKERS)
-    return placed.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sample_id").alias("ids"),
-                      F.countDistinct("worker", "pos").alias("places"))
+    # Equal ids have one worker, so ids are distinct if they are in each worker.
+    each = count_distinct(placed, ["worker"], ["sample_id", "pos"], df.count())
+    return each.agg(*[F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(name) for c, name in (("n", "n"), ("sample_id", "ids"), ("pos", "places"))])
 
 
 @query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS ids, sum(o_orderkey)::BIGINT AS total, 3::BIGINT AS workers, true AS complete FROM orders")

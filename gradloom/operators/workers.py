@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gradloom.operators.numbering import hash_bucket, number_rows
-from gradloom.session import shuffle_partitions, stored
+from gradloom.session import stored, tasks_for
 
 #: Segment numbers per worker in a written sample table.
 SEGMENTS = 1 << 20
@@ -25,19 +25,20 @@ def assign_workers(df: DataFrame, workers: int, id_col: str = "sample_id", seed:
 
     Worker and order come from hashes of the sample id, so the shuffle is the same on every run and retry. The id must
     be unique for the hashes to be even; `read_samples` makes one for tables that have none. `buckets`
-    is the number of ranges in which a worker's rows are numbered (default: about four per shuffle partition in all).
+    is the number of ranges in which a worker's rows are numbered (default: about four per task in all).
     With an own `order`, `bucket` must be given, bounded in rows and not decreasing along it.
     """
     identity = F.col(id_col)
+    rows = df.count()
     worker = worker if worker is not None else F.pmod(F.xxhash64(identity), F.lit(workers))
     if order is None:
         order = F.xxhash64(identity, F.lit(seed))
-        buckets = buckets or max(1, 4 * shuffle_partitions(df.sparkSession) // workers)
+        buckets = buckets or max(1, 4 * tasks_for(df.sparkSession, rows) // workers)
         bucket = hash_bucket(order, math.ceil(math.log2(buckets)))
     elif bucket is None:
         raise ValueError("an own order needs a bucket")
     placed = df.withColumn("worker", worker.cast("int"))
-    return number_rows(placed, ["worker"], [order, identity], bucket, "pos", "worker_rows")
+    return number_rows(placed, ["worker"], [order, identity], bucket, "pos", "worker_rows", rows)
 
 
 def assign_workers_in_place(df: DataFrame, workers: int) -> DataFrame:
