@@ -27,7 +27,7 @@ from gradloom.llm import bitmap
 from gradloom.llm.components import components
 from gradloom.llm.ranges import neighbours
 from gradloom.llm.words import Words, as_long, distinct_by_text, lists, mix, scanned, slices, with_row_id, without_rows
-from gradloom.session import cut_lineage, stored
+from gradloom.session import lifetime, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 24 bands of 4 coordinates: a pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6.
@@ -201,7 +201,7 @@ def missed_links(banded: DataFrame, signed: DataFrame, sets: DataFrame, labels:
     members = stored(members, "bucket-members")
     mixed = members.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("row_id").alias("first")).where("low < high")
     members = stored(members.join(stored(mixed.select("band", "first"), "mixed-buckets"), "band").select("row_id", "label", "first").distinct(), "mixed-members")
-    families = stored(components(members.select(F.col("row_id").alias("a"), F.col("first").alias("b"))).withColumnsRenamed({"node": "row_id", "label": "family"}), "families")
+    families = components(members.select(F.col("row_id").alias("a"), F.col("first").alias("b"))).withColumnsRenamed({"node": "row_id", "label": "family"})
     sizes = stored(families.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "family-sizes")
     rows = (members.select("row_id", "label").distinct().join(families, "row_id").join(sizes, "family")
             .withColumn("block", F.pmod(F.xxhash64("row_id"), "blocks").cast("int")))
@@ -243,27 +243,28 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """row_id, doc_id and class_id of every row: texts joined by chains of pairs of at least this similarity are one class.
 
     class_id is the row_id of the class's first row. row_id numbers the rows of the table scan. `weighted` counts a shingle as
-    often as it stands in the text; else the similarity is that of the shingle sets.
+    often as it stands in the text; else the similarity is that of the shingle sets. The result is a table; those on the way to it go.
     """
-    rows = with_row_id(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    signed = stored(signatures(rows, weighted), "signatures")
-    groups = stored(signed.groupBy("c1", "c2").agg(F.min("row_id").alias("first"), F.count("*").alias("copies")), "exact-classes")
-    one_each = signed.join(groups.select(F.col("first").alias("row_id")), "row_id", "left_semi").where("weight > 0")
-    one_each = stored(one_each.select("row_id", "signature"), "distinct-signatures")
-    banded = bands(one_each)
-    paired = neighbours(banded, "band", "row_id", ["rest"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(paired.groupBy("a", "b").agg(F.count("*").alias("times")), "candidates")
-    sets = element_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("row_id")), weighted)
-    # First each row's most frequent partner; then only what still joins different components.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
-    edges = cut_lineage(verified(best, sets, similarity))
-    labels = cut_lineage(components(edges))
-    edges = cut_lineage(edges.union(verified(_unlike(pairs, labels), sets, similarity)))
-    labels = cut_lineage(components(edges))
-    edges = edges.union(missed_links(banded, one_each, sets, labels, similarity))
-    labels = stored(components(edges), "components")
-    named = stored(groups.join(labels, F.col("first") == F.col("node"), "left").select("c1", "c2", F.coalesce("label", "first").alias("class_id")), "classes")
-    return signed.select("row_id", "doc_id", "c1", "c2").join(named, ["c1", "c2"]).select("row_id", "doc_id", "class_id")
+    with lifetime(docs.sparkSession):
+        rows = with_row_id(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")))
+        signed = stored(signatures(rows, weighted), "signatures")
+        groups = stored(signed.groupBy("c1", "c2").agg(F.min("row_id").alias("first"), F.count("*").alias("copies")), "exact-classes")
+        one_each = signed.join(groups.select(F.col("first").alias("row_id")), "row_id", "left_semi").where("weight > 0")
+        one_each = stored(one_each.select("row_id", "signature"), "distinct-signatures")
+        banded = bands(one_each)
+        paired = neighbours(banded, "band", "row_id", ["rest"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = stored(paired.groupBy("a", "b").agg(F.count("*").alias("times")), "candidates")
+        sets = element_sets(rows, pairs.select(F.explode(F.array("a", "b")).alias("row_id")), weighted)
+        # First each row's most frequent partner; then only what still joins different components.
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a")).select("a", "b")
+        edges = stored(verified(best, sets, similarity), "links")
+        labels = components(edges)
+        edges = stored(edges.union(verified(_unlike(pairs, labels), sets, similarity)), "links")
+        labels = components(edges)
+        edges = edges.union(missed_links(banded, one_each, sets, labels, similarity))
+        labels = components(edges)
+        named = stored(groups.join(labels, F.col("first") == F.col("node"), "left").select("c1", "c2", F.coalesce("label", "first").alias("class_id")), "classes")
+        return stored(signed.select("row_id", "doc_id", "c1", "c2").join(named, ["c1", "c2"]).select("row_id", "doc_id", "class_id"), "document-classes", outlives=True)
 
 
 def first_of_each(docs: DataFrame, text: str = "text", id_column: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:

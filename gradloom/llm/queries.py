@@ -74,7 +74,6 @@ def op6_language_model(spark: SparkSession, folder: str) -> DataFrame:
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """class_id is the smallest doc_id of the class, or null if all are null."""
     classes = near_duplicates.near_duplicates(table(spark, folder, "documents"))
-    classes = stored(classes, "document-classes")
     names = stored(classes.groupBy("class_id").agg(F.min("doc_id").alias("name"), F.count("*").alias("members")), "class-names")
     return classes.join(names, "class_id").select("doc_id", F.col("name").alias("class_id"), "members")
 

@@ -41,10 +41,23 @@ def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     A table that `outlives` the `lifetime` it is written in belongs to the one around it.
     """
     path = shared_path(df.sparkSession, name, outlives)
-    df.write.parquet(path)
+    with shuffles_end(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes in the block go when each of them ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def shared_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
     """A new path in the shared folder; within a `lifetime` it is deleted at its end."""
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -1,15 +1,17 @@
 """Shared helpers: word hashes, sorted neighbours, prefix sums, components, bitmaps."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradloom.llm import bitmap
+from gradloom.llm import bitmap, near_duplicates
 from gradloom.llm.components import components
 from gradloom.llm.ranges import first_by_hash, neighbours, prefix_sums
 from gradloom.llm.words import Words, lower_words
+from gradloom.session import checkpoint_root, stored
 
 TEXTS = ["", "One", "one two  THREE", "a-b c.d É é", "x " * 300, "\n\t", "one two three four five six"]
 
@@ -93,3 +95,15 @@ def test_first_by_hash_is_bounded_and_whole(spark):
     df = spark.range(5000).withColumn("h", F.xxhash64("id"))
     assert first_by_hash(df, 5000, 300).count() == 300
     assert first_by_hash(df, 5000, 9000).count() == 5000
+
+
+def test_near_duplicates_leave_their_result_only(spark):
+    """Tables on the way to the classes go, also those of the components' rounds; no checkpoint is written."""
+    root = checkpoint_root(spark).removeprefix("file:")
+    docs = stored(spark.createDataFrame([(i, f"one two three four five six seven {i // 2}") for i in range(20)], "doc_id long, text string"), "docs")
+    before = {os.path.join(d, x) for d, names, _ in os.walk(root) for x in names}
+    found = near_duplicates.near_duplicates(docs)
+    after = {os.path.join(d, x) for d, names, _ in os.walk(root) for x in names} - before
+    assert [x.rpartition("/")[2].rpartition("-")[0] for x in after if os.path.dirname(x) == root] == ["document-classes"]
+    assert not [x for x in after if "/rdd-" in x]
+    assert found.count() == 20 and found.select("class_id").distinct().count() == 10
