@@ -38,6 +38,8 @@ SHARD_BYTES, SHARD_DOCS, BLOCK, QUERY_BYTES, BEST = 8 << 20, 16_384, 64, 4 << 20
 SHARD = ("n_docs long, n_words long, doc_ids array<long>, lengths array<long>, terms array<long>, df array<int>, block_of array<int>, last array<int>, "
          "gap_at array<int>, gaps binary, tf_at array<int>, tfs binary, bound_at array<int>, bound_tf array<long>, bound_n array<long>")
 _NAMES = [f.split()[0] for f in SHARD.split(", ")]
+#: A row group for each shard: the writer holds, and the reader decodes, a row group's rows at once, by default a hundred rows of any size at least.
+ONE_BY_ONE = {"parquet.block.row.count.limit": "1"}
 
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +134,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             yield emit()
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stored(rows.mapInArrow(invert, SHARD), "lexical-index")
+    return stored(rows.mapInArrow(invert, SHARD), "lexical-index", options=ONE_BY_ONE)
 
 
 class Shard:

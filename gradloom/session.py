@@ -35,14 +35,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return configured
 
 
-def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, outlives: bool = False, options: dict[str, str] | None = None) -> DataFrame:
     """Write `df` as a new Parquet table in the shared folder and read it back: the lineage cut for large tables.
 
-    A table that `outlives` the `lifetime` it is written in belongs to the one around it.
+    A table that `outlives` the `lifetime` it is written in belongs to the one around it. `options` are those of the Parquet writer.
     """
     path = shared_path(df.sparkSession, name, outlives)
     with shuffles_end(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options or {}).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

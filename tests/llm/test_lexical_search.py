@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from gradloom.llm import lexical_search as ls
@@ -100,3 +101,24 @@ def test_no_documents_or_items(spark):
     assert ls.ranked(spark.createDataFrame([(1, None), (2, "")], docs), spark.createDataFrame([(1, "a")], items)).count() == 0
     assert ls.ranked(some, spark.createDataFrame([], items)).count() == 0
     assert [tuple(r) for r in ls.ranked(some, spark.createDataFrame([(1, "a")], items)).collect()] == brute([(1, "a b")], [(1, "a")])
+
+
+def test_shards_of_a_file_are_read_one_by_one(spark):
+    """A task that makes many shards writes each as a row group of its own: what the reader decodes at once is one shard."""
+    docs, items = corpus(5, 300)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20")
+    try:
+        index = ls.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), shard_bytes=2_000)
+    finally:
+        spark.conf.set(key, before)
+    groups = [n for path in index.inputFiles() for n in row_groups(path)]
+    assert len(groups) == index.count() > 10 and set(groups) == {1}
+    some = items[:5]
+    assert sorted(map(tuple, ls.search(index, spark.createDataFrame(some, "item_id long, text string")).collect())) == sorted(brute(docs, some))
+
+
+def row_groups(path):
+    meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+    return [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
