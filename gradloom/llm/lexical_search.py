@@ -1,8 +1,8 @@
 """Ranked lexical search over an inverted index of block-compressed postings, by Block-Max MaxScore.
 
 Index: a task cuts its texts into shards of about `SHARD_BYTES` and inverts each by itself, so nothing is shuffled. A shard is one row: its
-documents (id, length), its terms sorted by hash, and per term blocks of `BLOCK` postings, gaps and frequencies as varints. What
-bounds a block's scores are the (frequency, length) pairs that no other posting of the block beats in both; they are stored instead
+documents (id, length), its terms sorted by hash, and per term blocks of `BLOCK` postings, gaps and frequencies as varints. All but the
+documents are bytes, so that Spark moves a shard in little memory. What bounds a block's scores are the (frequency, length) pairs that no other posting of the block beats in both; they are stored instead
 of a score, so the index needs no corpus statistics and stays right when other shards are added.
 
 Search: document frequencies of the query terms, N and L are summed over the shards. A task then goes through its shards with one heap
@@ -35,21 +35,24 @@ from gradloom.session import shared_path, stored
 #: Text and documents of a shard, postings of a block, text of a block of queries, results by query.
 SHARD_BYTES, SHARD_DOCS, BLOCK, QUERY_BYTES, BEST = 8 << 20, 16_384, 64, 4 << 20, 20
 
-SHARD = ("n_docs long, n_words long, doc_ids array<long>, lengths array<long>, terms array<long>, df array<int>, block_of array<int>, last array<int>, "
-         "gap_at array<int>, gaps binary, tf_at array<int>, tfs binary, bound_at array<int>, bound_tf array<long>, bound_n array<long>")
+#: Bytes of `terms` are 64-bit and of `last` (document of a block) 32-bit numbers, all others varints: `df` by term; by block the sizes of its
+#: gaps and frequencies and the number of its bounds.
+SHARD = ("n_docs long, n_words long, doc_ids array<long>, lengths array<long>, terms binary, df binary, last binary, "
+         "gap_sizes binary, gaps binary, tf_sizes binary, tfs binary, bounds binary, bound_tf binary, bound_n binary")
 _NAMES = [f.split()[0] for f in SHARD.split(", ")]
 #: A row group for each shard: the writer holds, and the reader decodes, a row group's rows at once, by default a hundred rows of any size at least.
-ONE_BY_ONE = {"parquet.block.row.count.limit": "1"}
+#: Statistics would keep every shard's bytes, as least and greatest values, until the file is closed.
+ONE_BY_ONE = {"parquet.block.row.count.limit": "1", "parquet.column.statistics.enabled": "false", "parquet.enable.dictionary": "false"}
 
 
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Seven bits a byte, the lowest first, the last byte below 128: the bytes, and how many each value has."""
     values = values.astype(np.uint64)
-    sizes = np.ones(len(values), np.int64)
+    sizes = np.ones(len(values), np.uint8)
     for k in range(1, 10):
         sizes += values >= np.uint64(1 << 7 * k)
-    begins = np.cumsum(sizes) - sizes
-    out = np.zeros(int(sizes.sum()), np.uint8)
+    begins = np.cumsum(sizes, dtype=np.int64) - sizes
+    out = np.zeros(int(sizes.sum(dtype=np.int64)), np.uint8)
     for k in range(int(sizes.max(initial=0))):
         some = np.flatnonzero(sizes > k)
         more = (sizes[some] > k + 1).astype(np.uint8) << 7
@@ -68,6 +71,10 @@ def read_varints(data: np.ndarray) -> np.ndarray:
     return value
 
 
+def numbers(cell: pa.BinaryScalar, kind: type = np.uint8) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), kind)
+
+
 def ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All integers of several half-open ranges, one after the other."""
     sizes = ends - begins
@@ -77,30 +84,33 @@ def ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def shard_row(term: np.ndarray, doc: np.ndarray, tf: np.ndarray, ids: list, lengths: np.ndarray) -> pa.RecordBatch:
     """One shard from its (term, doc, tf) triples; docs are places in `ids` and `lengths`."""
     order = np.lexsort((doc, term))
-    term, doc, tf = term[order], doc[order].astype(np.int64), tf[order].astype(np.int64)
+    term, doc, tf = term[order], doc[order], tf[order]
+    del order
     firsts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-    df = np.diff(np.append(firsts, len(term)))
-    place = np.arange(len(term)) - np.repeat(firsts, df)
+    terms, df = term[firsts], np.diff(np.append(firsts, len(term)))
+    del term
+    place = np.arange(len(doc)) - np.repeat(firsts, df)
     opens = place % BLOCK == 0
     block_begin = np.flatnonzero(opens)
-    block_end = np.append(block_begin[1:], len(term))
-    block_of = np.append(0, np.cumsum(-(-df // BLOCK)))
+    block_end = np.append(block_begin[1:], len(doc))
+    by_block = lambda sizes: np.add.reduceat(sizes, block_begin, dtype=np.int64)
+    data = lambda values: varints(values)[0].tobytes()
     # A list's gaps run through its blocks: a block begins from the last document of the one before.
-    gap = np.where(place == 0, doc, doc - np.roll(doc, 1) - 1)
-    gaps, gap_size = varints(gap)
+    gaps, gap_size = varints(np.where(place == 0, doc, doc - np.roll(doc, 1) - 1))
     tfs, tf_size = varints(tf - 1)
-    at = lambda sizes: np.append(0, np.cumsum(np.add.reduceat(sizes, block_begin)))
-    block, n = np.cumsum(opens) - 1, lengths[doc]
+    del place
+    columns = [len(ids), int(lengths.sum()), ids, lengths, terms.tobytes(), data(df), doc[block_end - 1].astype(np.int32).tobytes(),
+               data(by_block(gap_size)), gaps.tobytes(), data(by_block(tf_size)), tfs.tobytes()]
+    del gaps, gap_size, tfs, tf_size
+    block, n = np.cumsum(opens, dtype=np.int32) - 1, lengths[doc]
     by_tf = np.lexsort((n, -tf, block))
     # Down the frequencies of a block, only postings in ever shorter documents can have a better score.
     step = np.int64(n.max() + 1)
     least = np.minimum.accumulate(n[by_tf] - block[by_tf] * step)
     best = by_tf[np.r_[True, least[1:] < least[:-1]]]
-    bounds = np.bincount(block[best], minlength=len(block_begin))
-    columns = [len(ids), int(lengths.sum()), ids, lengths, term[firsts], df, block_of, doc[block_end - 1], at(gap_size), gaps.tobytes(), at(tf_size),
-               tfs.tobytes(), np.append(0, np.cumsum(bounds)), tf[best], n[best]]
+    columns += [data(np.bincount(block[best], minlength=len(block_begin))), data(tf[best]), data(n[best])]
     kinds = [f.split()[1] for f in SHARD.split(", ")]
-    arrow = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    arrow = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     return pa.RecordBatch.from_arrays([pa.array([c], arrow[k]) for c, k in zip(columns, kinds)], names=_NAMES)
 
 
@@ -111,6 +121,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
         def emit():
             term, doc, tf = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             return shard_row(term, doc, tf, ids, np.array(lengths, np.int64))
 
         for batch, texts in slices(batches, "text"):
@@ -123,7 +134,7 @@ def build_index(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
             order = np.lexsort((term, doc))
             term, doc = term[order], doc[order]
             begins = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])
-            held.append((term[begins], doc[begins], np.diff(np.append(begins, len(term)))))
+            held.append((term[begins], doc[begins].astype(np.int32), np.diff(np.append(begins, len(term))).astype(np.int32)))
             ids += batch.column("doc_id").take(pa.array(some)).to_pylist()
             lengths += words.counts[some].tolist()
             size += sum(map(len, texts))
@@ -144,12 +155,15 @@ class Shard:
         self.row = row
         self.ids = np.array([-1 if i is None else i for i in row["doc_ids"].to_pylist()], np.int64) if row["doc_ids"].null_count else row["doc_ids"].to_numpy()
         self.unnamed = ~np.asarray(row["doc_ids"].is_valid())
-        get = lambda name: row[name].to_numpy()
-        self.terms, self.block_of, self.last, self.gap_at, self.tf_at = (get(k) for k in ("terms", "block_of", "last", "gap_at", "tf_at"))
-        self.gaps, self.tfs = (np.frombuffer(row[k].as_py(), np.uint8) for k in ("gaps", "tfs"))
-        self.m = self.length_part(get("lengths"), n, total)
+        get = lambda name: read_varints(numbers(row[name]))
+        begins = lambda sizes: np.append(0, np.cumsum(sizes))
+        self.terms, self.last = numbers(row["terms"], np.int64), numbers(row["last"], np.int32)
+        self.gaps, self.tfs = numbers(row["gaps"]), numbers(row["tfs"])
+        self.block_of = begins(-(-get("df") // BLOCK))
+        self.gap_at, self.tf_at = begins(get("gap_sizes")), begins(get("tf_sizes"))
+        self.m = self.length_part(row["lengths"].to_numpy(), n, total)
         part = self.part(get("bound_tf"), self.length_part(get("bound_n"), n, total))
-        self.block_best = np.maximum.reduceat(part, get("bound_at")[:-1])
+        self.block_best = np.maximum.reduceat(part, begins(get("bounds"))[:-1])
         self.list_best = np.maximum.reduceat(self.block_best, self.block_of[:-1])
         self.lists: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.read = 0
@@ -276,7 +290,7 @@ def _frequencies(index: DataFrame, terms: np.ndarray) -> np.ndarray:
         total = np.zeros(len(sent.value), np.int64)
         for batch in batches:
             for own, df in zip(batch.column("terms"), batch.column("df")):
-                own, df = own.values.to_numpy(), df.values.to_numpy()
+                own, df = numbers(own, np.int64), read_varints(numbers(df))
                 at = np.minimum(np.searchsorted(own, sent.value), len(own) - 1)
                 total += np.where(own[at] == sent.value, df[at], 0)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int32()), pa.array(total[total > 0])], names=["at", "df"])

@@ -103,8 +103,9 @@ def test_no_documents_or_items(spark):
     assert [tuple(r) for r in ls.ranked(some, spark.createDataFrame([(1, "a")], items)).collect()] == brute([(1, "a b")], [(1, "a")])
 
 
-def test_shards_of_a_file_are_read_one_by_one(spark):
-    """A task that makes many shards writes each as a row group of its own: what the reader decodes at once is one shard."""
+def test_shards_of_a_file_are_written_and_read_one_by_one(spark):
+    """A task that makes many shards writes each as a row group of its own: what the reader decodes at once is one shard. Nor does the writer
+    keep shards as statistics."""
     docs, items = corpus(5, 300)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
@@ -113,12 +114,9 @@ def test_shards_of_a_file_are_read_one_by_one(spark):
         index = ls.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), shard_bytes=2_000)
     finally:
         spark.conf.set(key, before)
-    groups = [n for path in index.inputFiles() for n in row_groups(path)]
-    assert len(groups) == index.count() > 10 and set(groups) == {1}
+    metas = [pq.ParquetFile(path.removeprefix("file://")).metadata for path in index.inputFiles()]
+    groups = [meta.row_group(i) for meta in metas for i in range(meta.num_row_groups)]
+    assert len(groups) == index.count() > 10 and {group.num_rows for group in groups} == {1}
+    assert not any(group.column(i).is_stats_set for group in groups for i in range(group.num_columns))
     some = items[:5]
     assert sorted(map(tuple, ls.search(index, spark.createDataFrame(some, "item_id long, text string")).collect())) == sorted(brute(docs, some))
-
-
-def row_groups(path):
-    meta = pq.ParquetFile(path.removeprefix("file://")).metadata
-    return [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
